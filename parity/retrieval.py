@@ -110,7 +110,7 @@ per AS (
          coalesce(max(relevant), 0) AS h100,
          coalesce(sum(CASE WHEN rank <= 10 AND relevant = 1 THEN hits / rank::DOUBLE ELSE 0 END), 0)
            / least(10, greatest(1, t.n_relevant)) AS ap
-  FROM truth t LEFT JOIN hits h USING (query_id) GROUP BY ALL)
+  FROM truth t LEFT JOIN hits h ON h.query_id = t.query_id GROUP BY t.query_id, t.n_relevant)
 """
 
 

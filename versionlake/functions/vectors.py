@@ -25,8 +25,14 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
-    """Unit vector; a norm below `eps` counts as `eps`, so a zero vector stays zero."""
-    return F.transform(as_double(a), lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """Unit vector; a norm below `eps` counts as `eps`, so a zero vector stays zero.
+
+    The norm is bound to a variable first: written inside the inner lambda it would be computed again for
+    every element.
+    """
+    size = F.greatest(norm(a), F.lit(eps))
+    return F.element_at(
+        F.transform(F.array(size), lambda n: F.transform(as_double(a), lambda x: x / n)), 1)
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:

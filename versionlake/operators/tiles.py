@@ -30,8 +30,10 @@ SCORE_DIGITS = 9
 # ---------------------------------------------------------------- grid
 
 def _items(df: DataFrame, columns: list[str], extra: tuple = ()) -> DataFrame:
-    label = F.col("label") if "label" in df.columns else F.lit(None).cast("string").alias("label")
-    return df.select("id", label, *columns, *[c for c in extra if c in df.columns])
+    label = F.col("label") if "label" in df.columns else F.lit(None).cast("string")
+    names = ["id", *dict.fromkeys(columns), *[c for c in extra if c in df.columns]]
+    # fresh aliases: queries and corpus are often the same table
+    return df.select(label.alias("label"), *[F.col(c).alias(c) for c in names])
 
 
 def _weighted_rows(df: DataFrame, scorer) -> int:
