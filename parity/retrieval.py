@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parity.registry import query, table
 from versionlake.functions.scorers import DenseScorer
 from versionlake.operators import ranking, tiles
+from versionlake.session import reliable_checkpoint
 
 SCORER = DenseScorer("embedding", "cosine")
 
@@ -44,7 +45,7 @@ def dense_inputs(spark, sf_dir):
 def dense_parts(spark, sf_dir, k=100):
     queries, corpus = dense_inputs(spark, sf_dir)
     cells = tiles.grid_shape(queries, corpus, SCORER)
-    ranked = ranking.rank_results(queries, corpus, SCORER, k, cells)
+    ranked = reliable_checkpoint(ranking.rank_results(queries, corpus, SCORER, k, cells))
     first = ranking.first_relevant(queries, corpus, SCORER, ranked, cells)
     return queries, corpus, ranked, first
 

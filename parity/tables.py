@@ -7,9 +7,11 @@ from pyspark.sql import Window, functions as F
 from parity.registry import query, table
 from parity.retrieval import DENSE, METRICS, SCORER, dense_inputs, dense_parts
 from parity.segments import SEG, segment_table
+from parity import vectors
 from parity.texts import TOKENS
+from versionlake.functions import text as X
 from versionlake.functions.scorers import DenseScorer
-from versionlake.operators import ids, infer, numbering, ranking, reports, rerank, segments as S, splits, tiles
+from versionlake.operators import ids, infer, lexical, ranking, reports, rerank, segments as S, splits, tiles
 from versionlake.plans import evaluate
 from versionlake.sources import readers, writers
 
@@ -42,12 +44,9 @@ def uid_build(spark, sf_dir):
     df = ids.with_md5(recordings(spark, sf_dir)).withColumn(
         "uid", ids.chunk_uid(F.col("version_id"), F.col("doc_id") % 10))
     back = ids.split_uid(df.select("uid", F.col("version_id").alias("v"), "md5_encoded"))
-    out = back.select(F.col("v").alias("version_id"), "md5_encoded", "uid", ids.fan_out_path(F.col("uid")).alias("path"),
-                      F.col("chunk_id").alias("chunk_back"))
-    return ids.audio_path(out, "audio").select("version_id", "md5_encoded", "uid", "path", "chunk_back",
-                                               F.col("path").alias("audio")) if False else (
-        out.withColumnRenamed("path", "fan").transform(lambda d: ids.audio_path(d, "audio"))
-        .select("version_id", "md5_encoded", "uid", F.col("fan").alias("path"), "chunk_back", F.col("path").alias("audio")))
+    out = back.select(F.col("v").alias("version_id"), "md5_encoded", "uid", F.col("chunk_id").alias("chunk_back"))
+    return ids.audio_path(out, "audio").withColumnRenamed("path", "audio").withColumn(
+        "path", ids.fan_out_path(F.col("uid")))
 
 
 @query("merge_sources", """
@@ -387,8 +386,9 @@ re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o
 def reranked(spark, sf_dir):
     queries, corpus = dense_inputs(spark, sf_dir)
     ranked = tiles.top_k(queries, corpus, SCORER, 10)
-    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("version_id"), "text")
-    return rerank.rerank(rerank.filter_candidates(ranked, corpus), texts, infer.jaccard_scorer), queries
+    # tokens once a document instead of once a candidate pair
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("version_id"), X.tokens(F.col("text")).alias("text"))
+    return rerank.rerank(rerank.filter_candidates(ranked, corpus), texts, X.jaccard), queries
 
 
 @query("rerank_topk", RERANK + """
@@ -489,3 +489,163 @@ SELECT user_id, round(list_sum(fr[11:90]) - 100.0 * greatest(80 - greatest(n - 1
 def frame_chunk(spark, sf_dir):
     out = S.frame_chunk(frames(spark, sf_dir), "frames", 80, start=10)
     return out.select("user_id", F.round(F.aggregate("chunk", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+# ---------------------------------------------------------------- small projections and joins
+
+@query("vocal_only", SEG + "SELECT user_id, round(score, 6) AS vocalness_score FROM verdict WHERE score >= 0.5")
+def vocal_only(spark, sf_dir):
+    verdict = S.accept_tracks(segment_table(spark, sf_dir), "user_id")
+    return ids.vocal_only(verdict).select("user_id", F.round("vocalness_score", 6).alias("vocalness_score"))
+
+
+@query("clean_lines", """
+SELECT d.doc_id AS perf, source AS work, quality AS feat, CASE WHEN quality IS NULL THEN md5(text) END AS wav
+FROM documents d LEFT JOIN labels USING (doc_id)""")
+def clean_lines(spark, sf_dir):
+    lines = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        F.col("doc_id").alias("perf"), F.col("source").alias("work"), F.col("quality").alias("feat"),
+        F.md5("text").alias("wav"), "toxic")
+    return ids.clean_lines(lines)
+
+
+@query("query_prompt", """
+SELECT item_id, md5('Instruct: Retrieve semantically similar text.' || chr(10) || 'Query: ' || text) AS prompt FROM benchmark""")
+def query_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(X.query_prompt(F.col("text"))).alias("prompt"))
+
+
+@query("truncate_duration", "SELECT doc_id, least(n_chars / 10, 240.0)::DOUBLE AS duration FROM documents")
+def truncate_duration(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", ids.truncate_duration(F.col("n_chars") / 10).alias("duration"))
+
+
+@query("in_batches", """
+SELECT md5(text) AS md5_encoded, min(doc_id) AS doc_id FROM documents WHERE source IN ('src1', 'src2') GROUP BY ALL""")
+def in_batches(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.md5("text").alias("md5_encoded"), "doc_id", F.col("source").alias("batch"))
+    return ids.in_batches(d, ["src1", "src2"]).select("md5_encoded", "doc_id")
+
+
+@query("attach_texts", DENSE + """,
+e AS (SELECT f.query_id, r.corpus_id AS fp_id, f.corpus_id AS fn_id
+      FROM firsts f LEFT JOIN (SELECT * FROM ranked WHERE rank = 1 AND relevant = 0) r USING (query_id) WHERE f.rank <> 1)
+SELECT query_id, fp_id, fn_id, q.n_chars AS q_n_chars, p.n_chars AS fp_n_chars, n.n_chars AS fn_n_chars
+FROM e LEFT JOIN documents q ON q.doc_id = query_id LEFT JOIN documents p ON p.doc_id = fp_id
+LEFT JOIN documents n ON n.doc_id = fn_id""")
+def attach_texts(spark, sf_dir):
+    _, _, ranked, first = dense_parts(spark, sf_dir, k=10)
+    errors = ranking.error_table(first, ranking.false_positives(ranked)).select("query_id", "fp_id", "fn_id")
+    meta = documents(spark, sf_dir).select(F.col("doc_id").alias("version_id"), "n_chars")
+    return ids.attach_texts(errors, meta, ["n_chars"])
+
+
+@query("candidates_in_corpus", DENSE + """
+SELECT query_id, corpus_id, rank FROM ranked WHERE rank <= 10 AND corpus_id IN (SELECT doc_id FROM labels)""")
+def candidates_in_corpus(spark, sf_dir):
+    queries, corpus = dense_inputs(spark, sf_dir)
+    ranked = tiles.top_k(queries, corpus, SCORER, 10)
+    return ids.candidates_in_corpus(ranked, table(spark, sf_dir, "labels"), "doc_id").select("query_id", "corpus_id", "rank")
+
+
+@query("relevance_from_pairs", DENSE + """
+SELECT query_id, corpus_id, rank, (corpus_id = query_id + 1)::INT AS relevant FROM ranked WHERE rank <= 10""")
+def relevance_from_pairs(spark, sf_dir):
+    queries, corpus = dense_inputs(spark, sf_dir)
+    truth = corpus.select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("corpus_id"))
+    ranked = tiles.top_k(queries, corpus, SCORER, 10)
+    return ranking.with_relevance(ranked, truth).select("query_id", "corpus_id", "rank", "relevant")
+
+
+@query("positives_by_query", """
+SELECT md5(text) AS query_id, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS positives
+FROM documents GROUP BY ALL""")
+def positives_by_query(spark, sf_dir):
+    truth = documents(spark, sf_dir).select(F.md5("text").alias("query_id"), F.col("doc_id").cast("string").alias("corpus_id"))
+    return readers.positives_by_query(truth).withColumn("positives", F.array_join("positives", ","))
+
+
+@query("first_errors", "SELECT event_id, event_type FROM events WHERE event_type <> 'click' ORDER BY event_id LIMIT 10")
+def first_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return reports.first_errors(e, "event_id", "event_type", "click")
+
+
+# ---------------------------------------------------------------- evaluation methods over documents, work = first letters
+
+def by_text(spark, sf_dir):
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("version_id"), F.substring("text", 1, 2).alias("clique_id"), "text")
+
+
+def rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
+
+
+@query("evaluate_bm25", f"""
+WITH d AS (SELECT doc_id AS id, substr(text, 1, 2) AS label, text FROM documents),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM d) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+dl AS (SELECT d.id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM d LEFT JOIN tf USING (id) GROUP BY d.id),
+bm AS (SELECT tf.id, tf.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
+         / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl))) AS w
+       FROM tf JOIN df USING (term) JOIN dl ON dl.id = tf.id, n),
+s AS (SELECT q.id AS a, c.id AS b, sum(q.tf * c.w) AS s FROM tf q JOIN bm c USING (term) GROUP BY ALL),
+pairs AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT AS relevant, round(coalesce(s, 0.0), 9) AS score
+          FROM d q JOIN d c ON q.id <> c.id LEFT JOIN s ON a = q.id AND b = c.id),
+truth AS (SELECT id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM d
+          QUALIFY count(*) OVER (PARTITION BY label) > 1),
+ranked AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+           FROM pairs p SEMI JOIN truth USING (query_id)),
+firsts AS (SELECT query_id, min(rank) AS rank FROM ranked WHERE relevant = 1 GROUP BY query_id)""" + METRICS + """
+SELECT round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10,
+       round(avg(h100), 6) AS HR100, round(avg(ap), 6) AS MAP10 FROM per LEFT JOIN firsts f USING (query_id)""")
+def evaluate_bm25(spark, sf_dir):
+    return rounded(evaluate.evaluate("bm25", by_text(spark, sf_dir), texts="text").metrics)
+
+
+def chunk_recordings(spark, sf_dir):
+    items = vectors.stacked(spark, sf_dir)
+    return items.select(F.col("id").alias("version_id"), F.col("label").alias("clique_id")), items
+
+
+CHUNK_METRICS = vectors.CHUNKS + """,
+m AS (SELECT query_id, corpus_id, s1, max(sim) AS s FROM cp GROUP BY ALL),
+sc AS (SELECT query_id, corpus_id, round(avg(s), 9) AS score FROM m GROUP BY ALL),
+truth AS (SELECT id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM lab
+          QUALIFY count(*) OVER (PARTITION BY label) > 1),
+ranked AS (SELECT sc.*, (a.label = b.label)::INT AS relevant,
+                  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+           FROM sc JOIN lab a ON a.id = query_id JOIN lab b ON b.id = corpus_id SEMI JOIN truth USING (query_id)),
+firsts AS (SELECT query_id, min(rank) AS rank FROM ranked WHERE relevant = 1 GROUP BY query_id)""" + METRICS + """
+SELECT round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10,
+       round(avg(h100), 6) AS HR100, round(avg(ap), 6) AS MAP10 FROM per LEFT JOIN firsts f USING (query_id)"""
+
+
+@query("evaluate_chunked", CHUNK_METRICS)
+def evaluate_chunked(spark, sf_dir):
+    recs, items = chunk_recordings(spark, sf_dir)
+    return rounded(evaluate.evaluate("chunked", recs, embeddings=items.select("id", "vectors")).metrics)
+
+
+def word_vectors(spark, sf_dir):
+    return lexical.tfidf(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("evaluate_sparse")
+def evaluate_sparse(spark, sf_dir):
+    return rounded(evaluate.evaluate("sparse", by_text(spark, sf_dir), embeddings=word_vectors(spark, sf_dir)).metrics)
+
+
+@query("evaluate_fusion")
+def evaluate_fusion(spark, sf_dir):
+    meta = by_text(spark, sf_dir)
+    dense = infer.encode_text(documents(spark, sf_dir), "doc_id", "text", infer.HashEncoder, "hash16").select(
+        F.col("doc_id").alias("id"), "embedding")
+    return rounded(evaluate.evaluate("fusion", meta, embeddings=dense, second=word_vectors(spark, sf_dir)).metrics)
+
+
+@query("encode_text_chunks")
+def encode_text_chunks(spark, sf_dir):
+    out = infer.encode_text(documents(spark, sf_dir), "doc_id", "text", infer.HashEncoder, "hash16", chunked=True)
+    return out.select("doc_id", "chunk_id", F.size("embedding").alias("width"), "status")

@@ -83,13 +83,16 @@ def first_relevant(queries: DataFrame, corpus: DataFrame, scorer, ranked: DataFr
     """Best-ranked relevant record on the full ranking: query_id, corpus_id, rank, score.
 
     No full sort: the best positive comes from cells of whole labels, its rank is one more than the number
-    of records scored before it. With a ranked list at hand only queries without a hit in it are counted.
+    of records scored before it. With a ranked list at hand (stored or checkpointed: it is read twice) only
+    queries without a hit in it are counted.
     """
     if ranked is not None:
         near = (ranked.where("relevant = 1").groupBy("query_id")
                 .agg(F.min(F.struct("rank", "corpus_id", "score")).alias("f"))
                 .select("query_id", "f.corpus_id", "f.rank", "f.score"))
         rest = queries.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
+        if rest.limit(1).isEmpty():
+            return near
         cells = cells or tiles.grid_shape(queries, corpus, scorer)
         return near.unionByName(first_relevant(rest, corpus, scorer, None, cells))
     best = tiles.best_positive(queries, corpus, scorer)

@@ -20,13 +20,16 @@ def filter_candidates(ranked: DataFrame, corpus: DataFrame | None = None, corpus
 
 def rerank(ranked: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column], Column],
            id_col: str = "version_id", text_col: str = "text") -> DataFrame:
-    """New score and rank of every candidate; ties keep the old order. A missing text counts as empty."""
+    """New score and rank of every candidate; ties keep the old order. A missing text counts as empty.
+    The text column may also hold token arrays, if that is what the scorer takes."""
     def side(name: str, column: str) -> DataFrame:
         return texts.select(F.col(id_col).alias(column), F.col(text_col).alias(name))
 
     pairs = (ranked.select("query_id", "corpus_id", F.col("rank").alias("old_rank"), "relevant")
              .join(side("_q", "query_id"), "query_id", "left").join(side("_d", "corpus_id"), "corpus_id", "left"))
-    scored = pairs.withColumn("score", F.round(scorer(F.coalesce("_q", F.lit("")), F.coalesce("_d", F.lit(""))), 9))
+    kind = texts.schema[text_col].dataType
+    empty = F.array().cast(kind) if kind.typeName() == "array" else F.lit("")
+    scored = pairs.withColumn("score", F.round(scorer(F.coalesce("_q", empty), F.coalesce("_d", empty)), 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "old_rank"))
     return scored.select("query_id", "corpus_id", "score", "relevant", "old_rank").withColumn("rank", place).select(
         "query_id", "corpus_id", "score", "rank", "relevant", "old_rank")

@@ -82,7 +82,7 @@ def _label_grid(queries, corpus, scorer, cell_rows, run, schema) -> DataFrame:
 
     The list of such labels has at most rows / cell_rows entries, which is why it may be broadcast.
     """
-    q = _items(queries, scorer.columns).where("label is not null")
+    q = _items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ()))).where("label is not null")
     c = _items(corpus, scorer.columns).where("label is not null")
     n = _weighted_rows(c, scorer)
     cores = q.sparkSession.sparkContext.defaultParallelism
@@ -421,7 +421,7 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
     Output: query_id, part, slot (0-based place in the arrays), n_ahead. Self is not counted.
     """
     schema = f"query_id {_id_type(queries)}, part int, slot int, n_ahead long"
-    with_bars = (_items(queries, scorer.columns)
+    with_bars = (_items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ())))
                  .join(bars.withColumnRenamed("query_id", "id"), "id"))
     extra = ("part", "bar_scores", "bar_ids")
 
@@ -551,3 +551,21 @@ def above_bar(queries: DataFrame, corpus: DataFrame, scorer, other_label: bool =
         return _concat(out, pa.schema(list(_pair_schema(q, c))[:3]))
 
     return _grid(queries, corpus, scorer, cells, run, schema, extra=("bar",))
+
+
+# Default distance and reduction of known audio baselines.
+MODEL_DISTANCES = {
+    "bytecover": ("cos", "min"),
+    "clews": ("nsqeuc", "bpwr-5"),
+    "cqtnet": ("cos", "min"),
+    "dvinet": ("cos", "min"),
+}
+
+
+def model_scorer(name: str, column: str = "vectors") -> MultiVectorScorer:
+    """Scorer with the distance and reduction a model was made for. Masked shingles are left out before the
+    vectors are stacked."""
+    if name not in MODEL_DISTANCES:
+        raise ValueError(f"unknown model: {name}")
+    mode, redux = MODEL_DISTANCES[name]
+    return MultiVectorScorer(column, mode, redux)
