@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Separators in the order they are tried, chunk size in characters, minimum words of a chunk.
@@ -190,6 +192,33 @@ def rouge_l(candidate: Column, reference: Column) -> Column:
     return F.when(total > 0, 2.0 * common / total).otherwise(F.lit(0.0))
 
 
+def term_counter(stop_words: list[str] | None = None):
+    """Function for `mapInArrow`: batches of (id, text) to (id, terms, counts), the distinct tokens of each
+    text with their number.
+
+    Counting inside the row spares a shuffle of all (document, term) pairs; `\\w` and `\\b` are Unicode here
+    as they are in `tokens`.
+    """
+    token = re.compile(r"\b\w\w+\b")
+    skip = frozenset(stop_words or [])
+
+    def run(batches):
+        for batch in batches:
+            terms, counts, ends = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                if text is not None:
+                    for term, n in Counter(token.findall(text.lower())).items():
+                        if term not in skip:
+                            terms.append(term)
+                            counts.append(n)
+                ends.append(len(terms))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())),
+                 pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], ["id", "terms", "counts"])
+    return run
+
+
 def word_pieces(c: Column) -> Column:
     """Words and single punctuation marks, case kept."""
     return F.regexp_extract_all(c, F.lit("(?U)\\w+|[^\\w\\s]"), F.lit(0))

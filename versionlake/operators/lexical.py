@@ -6,26 +6,56 @@ does not produce a third-of-all-documents squared join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from versionlake.functions import text as X
+from versionlake.session import reliable_checkpoint
 
-# Saturation and length weights of the BM25 variant, share of documents that makes a term hot.
+# Saturation and length weights of the BM25 variant; share of documents that makes a term hot,
+# and the largest vocabulary that is broadcast.
 BM25_K1 = 1.5
 BM25_B = 0.75
 HOT_SHARE = 0.01
+BROADCAST_TERMS = 500_000
+
+
+def counted(docs: DataFrame, id_col: str = "id", text_col: str = "text",
+            stop_words: list[str] | None = None) -> DataFrame:
+    """id, terms, counts: the distinct tokens of each document with their number."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .mapInArrow(X.term_counter(stop_words), f"id {kind}, terms array<string>, counts array<long>"))
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
                 stop_words: list[str] | None = None) -> DataFrame:
-    """id, term, tf."""
-    return (docs.select(F.col(id_col).alias("id"), F.explode(X.tokens(F.col(text_col), stop_words)).alias("term"))
-            .groupBy("id", "term").agg(F.count("*").alias("tf")))
+    """Exploded form: id, term, tf."""
+    return _exploded(counted(docs, id_col, text_col, stop_words))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return (rows.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+            .select("id", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
+
 
+def _term_stats(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(term, df, total) and the number of terms. Written once: every later step reads it."""
+    stats = reliable_checkpoint(_exploded(rows).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("total")))
+    return stats, stats.count()
 
-def _attach(counts: DataFrame, stats: DataFrame, n_docs: int) -> DataFrame:
-    """Join term statistics to term counts. Terms in more than HOT_SHARE of the documents are broadcast:
-    there are at most (distinct terms of a mean document) / HOT_SHARE of them; the rest has no hot key."""
+
+def _attach(counts: DataFrame, stats: DataFrame, n_terms: int, n_docs: int) -> DataFrame:
+    """Join term statistics to term counts.
+
+    A vocabulary of at most BROADCAST_TERMS is broadcast. Beyond that, only terms in more than HOT_SHARE of
+    the documents are (there are at most (distinct terms of a mean document) / HOT_SHARE of them), and the
+    join of the rest has no hot key.
+    """
+    if n_terms <= BROADCAST_TERMS:
+        return counts.join(F.broadcast(stats), "term")
     is_hot = F.col("df") > n_docs * HOT_SHARE
     hot, cold = F.broadcast(stats.where(is_hot)), stats.where(~is_hot)
     return counts.join(hot, "term").unionByName(
@@ -44,23 +74,30 @@ def _vectors(weighted: DataFrame, docs: DataFrame, id_col: str, unit: bool) -> D
                           "weights": F.coalesce("weights", F.array().cast("array<double>"))}))
 
 
+@dataclass
+class TfidfModel:
+    """Fitted vocabulary (term, df, idf) with its size and the number of documents."""
+
+    stats: DataFrame
+    n_terms: int
+    n_docs: int
+
+
 def tfidf_fit(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_features: int | None = None,
-              stop_words: list[str] | None = None) -> tuple[DataFrame, int]:
-    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1, and the number of documents. `max_features`
-    keeps the terms of the highest total count."""
+              stop_words: list[str] | None = None) -> TfidfModel:
+    """idf = ln((1 + n) / (1 + df)) + 1. `max_features` keeps the terms of the highest total count."""
     n = docs.count()
-    stats = term_counts(docs, id_col, text_col, stop_words).groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("total"))
+    stats, n_terms = _term_stats(counted(docs, id_col, text_col, stop_words))
     if max_features is not None:
-        stats = stats.orderBy(F.col("total").desc(), "term").limit(max_features)
-    return stats.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), n
+        stats, n_terms = stats.orderBy(F.col("total").desc(), "term").limit(max_features), min(n_terms, max_features)
+    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    return TfidfModel(stats.select("term", "df", idf.alias("idf")), n_terms, n)
 
 
-def tfidf_transform(docs: DataFrame, model: tuple[DataFrame, int], id_col: str = "id", text_col: str = "text",
+def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "id", text_col: str = "text",
                     stop_words: list[str] | None = None) -> DataFrame:
     """Unit TF-IDF vectors under a fitted model: id, terms, weights; unknown terms are dropped."""
-    stats, n = model
-    weighted = (_attach(term_counts(docs, id_col, text_col, stop_words), stats, n)
+    weighted = (_attach(term_counts(docs, id_col, text_col, stop_words), model.stats, model.n_terms, model.n_docs)
                 .select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
     return _vectors(weighted, docs, id_col, unit=True)
 
@@ -74,23 +111,23 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_featu
 def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = BM25_K1,
                b: float = BM25_B, stop_words: list[str] | None = None) -> DataFrame:
     """Corpus side of BM25: id, terms, weights."""
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(X.tokens(F.col(text_col), stop_words)).alias("dl"))
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
-    counts = term_counts(docs, id_col, text_col, stop_words)
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"))
+    rows = counted(docs, id_col, text_col, stop_words)
+    length = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    n, mean = rows.agg(F.count("*"), F.avg(length)).first()
+    stats, n_terms = _term_stats(rows)
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf, norm = F.col("tf"), F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(float(mean or 1.0)))
-    weighted = (_attach(counts, stats, n).join(lengths, "id")
-                .select("id", "term", (idf * tf / (tf + norm)).alias("weight")))
+    long = (rows.select("id", length.alias("dl"), F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+            .select("id", "dl", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
+    weighted = _attach(long, stats, n_terms, n).select("id", "term", (idf * tf / (tf + norm)).alias("weight"))
     return _vectors(weighted, docs, id_col, unit=False)
 
 
 def query_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
                  stop_words: list[str] | None = None) -> DataFrame:
     """Query side of BM25: id, terms, weights (how often the query says each term)."""
-    weighted = term_counts(docs, id_col, text_col, stop_words).select(
-        "id", "term", F.col("tf").cast("double").alias("weight"))
-    return _vectors(weighted, docs, id_col, unit=False)
+    rows = counted(docs, id_col, text_col, stop_words)
+    return rows.select("id", "terms", F.col("counts").cast("array<double>").alias("weights"))
 
 
 def postings(vectors: DataFrame) -> DataFrame:

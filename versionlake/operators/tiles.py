@@ -435,6 +435,8 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
             bar_ids = q["bar_ids"].combine_chunks().flatten()
             # place of each bar id among the sorted corpus ids: the number of smaller ids
             smaller = _count_smaller(cell.c_ids, bar_ids)
+            # a bar that is in this cell ties with itself; only further ties need a look at the ids
+            inside = pc.is_in(bar_ids, value_set=cell.c_ids).to_numpy(zero_copy_only=False).astype(np.int64)
             part_no = q["part"].to_numpy()
             for lo, hi, scores in cell.blocks():
                 for r in range(lo, hi):
@@ -443,7 +445,7 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
                     asc = np.sort(row)
                     above = len(row) - np.searchsorted(asc, bar_scores[at], side="right")
                     tied = len(row) - np.searchsorted(asc, bar_scores[at], side="left") - above
-                    for t in np.flatnonzero(tied):
+                    for t in np.flatnonzero(tied > inside[at]):
                         above[t] += int((row[:smaller[at][t]] == bar_scores[at][t]).sum())
                     ids.append(np.full(lengths[r], r))
                     parts.append(np.full(lengths[r], part_no[r]))
