@@ -193,8 +193,8 @@ def rouge_l(candidate: Column, reference: Column) -> Column:
 
 
 def term_counter(stop_words: list[str] | None = None):
-    """Function for `mapInArrow`: batches of (id, text) to (id, terms, counts), the distinct tokens of each
-    text with their number.
+    """Function for `mapInArrow`: batches of (id, text) to (id, terms, counts, n_tokens): the distinct tokens
+    of each text with their number, and how many tokens it has.
 
     Counting inside the row spares a shuffle of all (document, term) pairs; `\\w` and `\\b` are Unicode here
     as they are in `tokens`.
@@ -204,18 +204,21 @@ def term_counter(stop_words: list[str] | None = None):
 
     def run(batches):
         for batch in batches:
-            terms, counts, ends = [], [], [0]
+            terms, counts, ends, totals = [], [], [0], []
             for text in batch.column("text").to_pylist():
+                before = len(terms)
                 if text is not None:
                     for term, n in Counter(token.findall(text.lower())).items():
                         if term not in skip:
                             terms.append(term)
                             counts.append(n)
                 ends.append(len(terms))
+                totals.append(sum(counts[before:]))
             ends = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())),
-                 pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], ["id", "terms", "counts"])
+                 pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array(totals, pa.int64())],
+                ["id", "terms", "counts", "n_tokens"])
     return run
 
 

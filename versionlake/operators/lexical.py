@@ -23,10 +23,10 @@ BROADCAST_TERMS = 500_000
 
 def counted(docs: DataFrame, id_col: str = "id", text_col: str = "text",
             stop_words: list[str] | None = None) -> DataFrame:
-    """id, terms, counts: the distinct tokens of each document with their number."""
+    """id, terms, counts, n_tokens: the distinct tokens of each document with their number."""
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(X.term_counter(stop_words), f"id {kind}, terms array<string>, counts array<long>"))
+            .mapInArrow(X.term_counter(stop_words), f"id {kind}, terms array<string>, counts array<long>, n_tokens long"))
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -112,13 +112,12 @@ def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1:
                b: float = BM25_B, stop_words: list[str] | None = None) -> DataFrame:
     """Corpus side of BM25: id, terms, weights."""
     rows = counted(docs, id_col, text_col, stop_words)
-    length = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    n, mean = rows.agg(F.count("*"), F.avg(length)).first()
+    n, mean = rows.agg(F.count("*"), F.avg("n_tokens")).first()
     stats, n_terms = _term_stats(rows)
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf, norm = F.col("tf"), F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(float(mean or 1.0)))
-    long = (rows.select("id", length.alias("dl"), F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-            .select("id", "dl", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
+    tf, norm = F.col("tf"), F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("n_tokens") / F.lit(float(mean or 1.0)))
+    long = (rows.select("id", "n_tokens", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+            .select("id", "n_tokens", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
     weighted = _attach(long, stats, n_terms, n).select("id", "term", (idf * tf / (tf + norm)).alias("weight"))
     return _vectors(weighted, docs, id_col, unit=False)
 

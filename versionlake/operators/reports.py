@@ -22,7 +22,7 @@ SINGLE_BLOCK = "Individual Models"
 
 def _text(value):
     """Three decimals; a missing number prints as nan."""
-    return F.coalesce(F.format_string("%.3f", value), F.lit("nan"))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%.3f", value)).otherwise(F.lit("nan"))
 
 
 def _against(df: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
