@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from versionlake.functions import text as X
-from versionlake.session import reliable_checkpoint
+from versionlake.session import reliable_checkpoint, spread_small
 
 # Saturation and length weights of the BM25 variant; share of documents that makes a term hot,
 # and the largest vocabulary that is broadcast.
@@ -25,8 +25,9 @@ def counted(docs: DataFrame, id_col: str = "id", text_col: str = "text",
             stop_words: list[str] | None = None) -> DataFrame:
     """id, terms, counts, n_tokens: the distinct tokens of each document with their number."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(X.term_counter(stop_words), f"id {kind}, terms array<string>, counts array<long>, n_tokens long"))
+    texts = spread_small(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    return texts.mapInArrow(X.term_counter(stop_words),
+                            f"id {kind}, terms array<string>, counts array<long>, n_tokens long")
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -62,14 +63,14 @@ def _attach(counts: DataFrame, stats: DataFrame, n_terms: int, n_docs: int) -> D
         counts.join(F.broadcast(stats.where(is_hot).select("term")), "term", "left_anti").join(cold, "term"))
 
 
-def _vectors(weighted: DataFrame, docs: DataFrame, id_col: str, unit: bool) -> DataFrame:
+def _vectors(weighted: DataFrame, docs: DataFrame, unit: bool) -> DataFrame:
     # the norm is an aggregate of its own: inside the lambda it would be computed again for every term
     scale = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if unit else F.lit(1.0)
     rows = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"),
                                       scale.alias("scale"))
     rows = rows.select("id", F.transform("v", lambda x: x["term"]).alias("terms"),
                        F.transform("v", lambda x: x["weight"] / F.col("scale")).alias("weights"))
-    return (docs.select(F.col(id_col).alias("id")).join(rows, "id", "left")
+    return (docs.select("id").join(rows, "id", "left")
             .withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")),
                           "weights": F.coalesce("weights", F.array().cast("array<double>"))}))
 
@@ -86,32 +87,41 @@ class TfidfModel:
 def tfidf_fit(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_features: int | None = None,
               stop_words: list[str] | None = None) -> TfidfModel:
     """idf = ln((1 + n) / (1 + df)) + 1. `max_features` keeps the terms of the highest total count."""
-    n = docs.count()
-    stats, n_terms = _term_stats(counted(docs, id_col, text_col, stop_words))
-    if max_features is not None:
-        stats, n_terms = stats.orderBy(F.col("total").desc(), "term").limit(max_features), min(n_terms, max_features)
-    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    return TfidfModel(stats.select("term", "df", idf.alias("idf")), n_terms, n)
+    return _fit(counted(docs, id_col, text_col, stop_words), max_features)
 
 
 def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "id", text_col: str = "text",
                     stop_words: list[str] | None = None) -> DataFrame:
     """Unit TF-IDF vectors under a fitted model: id, terms, weights; unknown terms are dropped."""
-    weighted = (_attach(term_counts(docs, id_col, text_col, stop_words), model.stats, model.n_terms, model.n_docs)
-                .select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
-    return _vectors(weighted, docs, id_col, unit=True)
+    return _transform(counted(docs, id_col, text_col, stop_words), model)
 
 
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_features: int | None = None,
           stop_words: list[str] | None = None) -> DataFrame:
-    return tfidf_transform(docs, tfidf_fit(docs, id_col, text_col, max_features, stop_words),
-                           id_col, text_col, stop_words)
+    """Fit and transform the same documents; they are tokenised once."""
+    rows = reliable_checkpoint(counted(docs, id_col, text_col, stop_words))
+    return _transform(rows, _fit(rows, max_features))
+
+
+def _fit(rows: DataFrame, max_features: int | None) -> TfidfModel:
+    n = rows.count()
+    stats, n_terms = _term_stats(rows)
+    if max_features is not None:
+        stats, n_terms = stats.orderBy(F.col("total").desc(), "term").limit(max_features), min(n_terms, max_features)
+    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    return TfidfModel(stats.select("term", "df", idf.alias("idf")), n_terms, n)
+
+
+def _transform(rows: DataFrame, model: TfidfModel) -> DataFrame:
+    weighted = (_attach(_exploded(rows), model.stats, model.n_terms, model.n_docs)
+                .select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
+    return _vectors(weighted, rows, unit=True)
 
 
 def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = BM25_K1,
                b: float = BM25_B, stop_words: list[str] | None = None) -> DataFrame:
     """Corpus side of BM25: id, terms, weights."""
-    rows = counted(docs, id_col, text_col, stop_words)
+    rows = reliable_checkpoint(counted(docs, id_col, text_col, stop_words))
     n, mean = rows.agg(F.count("*"), F.avg("n_tokens")).first()
     stats, n_terms = _term_stats(rows)
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -119,7 +129,7 @@ def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1:
     long = (rows.select("id", "n_tokens", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
             .select("id", "n_tokens", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
     weighted = _attach(long, stats, n_terms, n).select("id", "term", (idf * tf / (tf + norm)).alias("weight"))
-    return _vectors(weighted, docs, id_col, unit=False)
+    return _vectors(weighted, rows, unit=False)
 
 
 def query_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",

@@ -95,6 +95,7 @@ def first_relevant(queries: DataFrame, corpus: DataFrame, scorer, ranked: DataFr
             return near
         cells = cells or tiles.grid_shape(queries, corpus, scorer)
         return near.unionByName(first_relevant(rest, corpus, scorer, None, cells))
+    cells = cells or tiles.grid_shape(queries, corpus, scorer)
     best = tiles.best_positive(queries, corpus, scorer)
     bars = best.select("query_id", F.lit(0).alias("part"), F.array("score").alias("bar_scores"),
                        F.array("corpus_id").alias("bar_ids"))
@@ -175,6 +176,8 @@ def full_ranking_metrics(queries: DataFrame, corpus: DataFrame, scorer, biased:
     tile pass counts, for each, the candidates before it. The query stays among the candidates as a
     non-match behind all others.
     """
+    # sized by the plain queries: counting the rows with bars would run the positives pass twice
+    cells = cells or tiles.grid_shape(queries, corpus, scorer)
     pos = tiles.positives(queries, corpus, scorer)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "corpus_id")
     placed = (pos.withColumn("place", F.row_number().over(order))

@@ -18,6 +18,8 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from versionlake.functions.scorers import MultiVectorScorer, SoftmaxMeanScorer, split_redux
@@ -420,13 +422,13 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
     `bars`: query_id, part, bar_scores ARRAY<DOUBLE>, bar_ids, in ranking order (score down, id up).
     Output: query_id, part, slot (0-based place in the arrays), n_ahead. Self is not counted.
     """
-    schema = f"query_id {_id_type(queries)}, part int, slot int, n_ahead long"
+    schema = f"query_id {_id_type(queries)}, part int, ahead array<double>"
     with_bars = (_items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ())))
                  .join(bars.withColumnRenamed("query_id", "id"), "id"))
     extra = ("part", "bar_scores", "bar_ids")
 
     def run(key, q, c):
-        ids, parts, slots, counts = [], [], [], []
+        rows, counts = [], []
         if q.num_rows and c.num_rows:
             cell = _Cell(scorer, q, c)
             lengths = pc.list_value_length(q["bar_scores"]).to_numpy()
@@ -437,7 +439,6 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
             smaller = _count_smaller(cell.c_ids, bar_ids)
             # a bar that is in this cell ties with itself; only further ties need a look at the ids
             inside = pc.is_in(bar_ids, value_set=cell.c_ids).to_numpy(zero_copy_only=False).astype(np.int64)
-            part_no = q["part"].to_numpy()
             for lo, hi, scores in cell.blocks():
                 for r in range(lo, hi):
                     row = scores[r - lo]
@@ -447,20 +448,19 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
                     tied = len(row) - np.searchsorted(asc, bar_scores[at], side="left") - above
                     for t in np.flatnonzero(tied > inside[at]):
                         above[t] += int((row[:smaller[at][t]] == bar_scores[at][t]).sum())
-                    ids.append(np.full(lengths[r], r))
-                    parts.append(np.full(lengths[r], part_no[r]))
-                    slots.append(np.arange(lengths[r]))
+                    rows.append(r)
                     counts.append(above)
-        if not ids:
-            ids = parts = slots = counts = [np.array([], dtype=np.int64)]
-        return pa.table({"query_id": q["id"].take(pa.array(np.concatenate(ids))) if q.num_rows
-                         else pa.array([], q.schema.field("id").type),
-                         "part": pa.array(np.concatenate(parts), pa.int32()),
-                         "slot": pa.array(np.concatenate(slots), pa.int32()),
-                         "n_ahead": pa.array(np.concatenate(counts), pa.int64())})
+        sizes = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
+        flat = pa.array(np.concatenate(counts) if counts else np.array([]), pa.float64())
+        picked = pa.array(rows, pa.int64())
+        return pa.table({"query_id": q["id"].take(picked), "part": q["part"].take(picked),
+                         "ahead": pa.ListArray.from_arrays(pa.array(sizes), flat)})
 
     counted = _grid(with_bars, corpus, scorer, cells, run, schema, extra=extra)
-    return counted.groupBy("query_id", "part", "slot").agg(F.sum("n_ahead").alias("n_ahead"))
+    # counts of a query are added as one vector a cell: a partial aggregate with a buffer of one vector
+    total = (counted.groupBy("query_id", "part").agg(Summarizer.sum(array_to_vector("ahead")).alias("s"))
+             .select("query_id", "part", F.posexplode(vector_to_array("s")).alias("slot", "n")))
+    return total.select("query_id", "part", "slot", F.col("n").cast("long").alias("n_ahead"))
 
 
 def _count_smaller(sorted_ids: pa.Array, wanted: pa.Array) -> np.ndarray:

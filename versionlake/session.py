@@ -42,3 +42,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="versionlake-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame, key: str, bytes_per_core: int = 64 << 20) -> DataFrame:
+    """Give every core a share of a small input before heavy per-row work.
+
+    A file with one row group is read by one task however many cores there are. Inputs estimated above
+    `bytes_per_core` a core already come in enough pieces and are left as they are, so the shuffle is bounded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * bytes_per_core else df
