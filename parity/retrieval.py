@@ -20,7 +20,7 @@ pairs AS (
          round(list_inner_product(q.e, c.e) / (q.n * c.n), 9) AS score
   FROM u q JOIN u c ON q.id <> c.id),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM pairs),
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id))::INT AS rank FROM pairs),
 firsts AS (
   SELECT query_id, min(rank) AS rank, arg_min(corpus_id, rank) AS corpus_id, arg_min(score, rank) AS score
   FROM ranked WHERE relevant = 1 GROUP BY query_id),

@@ -132,7 +132,7 @@ def durations(spark, sf_dir):
 
 
 @query("fixed_grid", DURATIONS + """
-SELECT user_id, i::INT AS chunk_id, i * 30.0 AS start, round(least(duration, i * 30.0 + 30.0), 6) AS "end",
+SELECT user_id, i::INT AS chunk_id, i * 30.0::DOUBLE AS start, round(least(duration, i * 30.0 + 30.0), 6) AS "end",
        round(30.0 - (least(duration, i * 30.0 + 30.0) - i * 30.0), 6) AS pad
 FROM (SELECT *, unnest(range(0, ceil(duration / 30)::BIGINT)) AS i FROM d WHERE duration > 0)""")
 def fixed_grid(spark, sf_dir):
@@ -153,7 +153,7 @@ def sample_plan(spark, sf_dir):
 
 
 @query("fixed_windows", DURATIONS + """
-SELECT user_id::VARCHAR || '-▁start-' || (i * 15)::BIGINT AS perf, i * 15.0 AS start_s, (i * 375)::INT AS start
+SELECT user_id::VARCHAR || '-▁start-' || (i * 15)::BIGINT AS perf, i * 15.0::DOUBLE AS start_s, (i * 375)::INT AS start
 FROM (SELECT *, unnest(range(0, greatest(ceil((duration - 15) / 15), 1)::BIGINT)) AS i FROM d)
 WHERE i = 0 OR i * 15.0 + 15 < duration""")
 def fixed_windows(spark, sf_dir):

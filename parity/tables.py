@@ -379,7 +379,7 @@ js AS (SELECT p.query_id, p.corpus_id, p.rank AS old_rank, p.relevant,
        round(CASE WHEN len(list_distinct(list_concat(a.k, b.k))) = 0 THEN 0.0
          ELSE len(list_intersect(list_distinct(a.k), list_distinct(b.k))) / len(list_distinct(list_concat(a.k, b.k)))::DOUBLE END, 9) AS score
        FROM top p JOIN useful USING (query_id) JOIN t a ON a.id = p.query_id JOIN t b ON b.id = p.corpus_id),
-re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS new_rank FROM js)
+re AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank))::INT AS new_rank FROM js)
 """
 
 
@@ -595,7 +595,7 @@ pairs AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT A
           FROM d q JOIN d c ON q.id <> c.id LEFT JOIN s ON a = q.id AND b = c.id),
 truth AS (SELECT id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM d
           QUALIFY count(*) OVER (PARTITION BY label) > 1),
-ranked AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+ranked AS (SELECT p.*, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id))::INT AS rank
            FROM pairs p SEMI JOIN truth USING (query_id)),
 firsts AS (SELECT query_id, min(rank) AS rank FROM ranked WHERE relevant = 1 GROUP BY query_id)""" + METRICS + """
 SELECT round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10,
@@ -615,7 +615,7 @@ sc AS (SELECT query_id, corpus_id, round(avg(s), 9) AS score FROM m GROUP BY ALL
 truth AS (SELECT id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM lab
           QUALIFY count(*) OVER (PARTITION BY label) > 1),
 ranked AS (SELECT sc.*, (a.label = b.label)::INT AS relevant,
-                  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+                  (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id))::INT AS rank
            FROM sc JOIN lab a ON a.id = query_id JOIN lab b ON b.id = corpus_id SEMI JOIN truth USING (query_id)),
 firsts AS (SELECT query_id, min(rank) AS rank FROM ranked WHERE relevant = 1 GROUP BY query_id)""" + METRICS + """
 SELECT round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10,
@@ -632,7 +632,25 @@ def word_vectors(spark, sf_dir):
     return lexical.tfidf(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("evaluate_sparse")
+SPARSE_SQL = f"""
+WITH d AS (SELECT doc_id AS id, substr(text, 1, 2) AS label, text FROM documents),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM d) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+vec AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
+s AS (SELECT q.id AS a, c.id AS b, sum(q.w * c.w) AS s FROM vec q JOIN vec c USING (term) GROUP BY ALL),
+pairs AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT AS relevant, round(coalesce(s, 0.0), 9) AS score
+          FROM d q JOIN d c ON q.id <> c.id LEFT JOIN s ON a = q.id AND b = c.id),
+truth AS (SELECT id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM d
+          QUALIFY count(*) OVER (PARTITION BY label) > 1),
+ranked AS (SELECT p.*, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id))::INT AS rank
+           FROM pairs p SEMI JOIN truth USING (query_id)),
+firsts AS (SELECT query_id, min(rank) AS rank FROM ranked WHERE relevant = 1 GROUP BY query_id)""" + METRICS + """
+SELECT round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10,
+       round(avg(h100), 6) AS HR100, round(avg(ap), 6) AS MAP10 FROM per LEFT JOIN firsts f USING (query_id)"""
+
+
+@query("evaluate_sparse", SPARSE_SQL)
 def evaluate_sparse(spark, sf_dir):
     return rounded(evaluate.evaluate("sparse", by_text(spark, sf_dir), embeddings=word_vectors(spark, sf_dir)).metrics)
 

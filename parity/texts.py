@@ -162,7 +162,7 @@ pairs AS (SELECT q.id AS query_id, d.id AS corpus_id FROM qs q, docs d),
 s AS (SELECT q.id AS query_id, c.id AS corpus_id, sum(q.w * c.w) AS s FROM {query_side} q JOIN {corpus_side} c
       USING (term) GROUP BY ALL),
 f AS (SELECT query_id, corpus_id, round(coalesce(s, 0.0), 9) AS s FROM pairs LEFT JOIN s USING (query_id, corpus_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id) AS rank FROM f)
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id))::INT AS rank FROM f)
 SELECT query_id, corpus_id, round(s, 6) AS score, rank FROM r WHERE rank <= {k}"""
 
 

@@ -22,7 +22,7 @@ cp AS (SELECT q.id AS query_id, c.id AS corpus_id, q.chunk_id AS s1, c.chunk_id
        FROM u q JOIN u c ON q.id <> c.id)
 """
 RANKED = """,
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id) AS rank FROM sc)
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id))::INT AS rank FROM sc)
 SELECT query_id, corpus_id, round({0}, 6) AS score, rank, (a.label = b.label)::INT AS relevant
 FROM r JOIN lab a ON a.id = query_id JOIN lab b ON b.id = corpus_id WHERE rank <= 10"""
 
@@ -108,7 +108,7 @@ b AS (SELECT q.id AS query_id, c.id AS corpus_id, round(list_inner_product(q.e[1
       FROM u q JOIN u c ON q.id <> c.id),
 ab AS (SELECT query_id, corpus_id, relevant, score AS a, b FROM pairs JOIN b USING (query_id, corpus_id)),
 sc AS (SELECT query_id, corpus_id, relevant, round({0}, 9) AS s FROM ab),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id) AS rank FROM sc)
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id))::INT AS rank FROM sc)
 SELECT query_id, corpus_id, round(s, {1}) AS score, rank, relevant FROM r WHERE rank <= 10"""
 
 
