@@ -13,6 +13,7 @@ from versionlake.functions import text as X
 from versionlake.functions.scorers import DenseScorer
 from versionlake.operators import ids, infer, lexical, ranking, reports, rerank, segments as S, splits, tiles
 from versionlake.plans import evaluate
+from versionlake.session import reliable_checkpoint, spread_small
 from versionlake.sources import readers, writers
 
 
@@ -387,7 +388,8 @@ def reranked(spark, sf_dir):
     queries, corpus = dense_inputs(spark, sf_dir)
     ranked = tiles.top_k(queries, corpus, SCORER, 10)
     # tokens once a document instead of once a candidate pair
-    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("version_id"), X.tokens(F.col("text")).alias("text"))
+    texts = spread_small(documents(spark, sf_dir).select(F.col("doc_id").alias("version_id"), "text"), "version_id")
+    texts = texts.withColumn("text", X.tokens(F.col("text")))
     return rerank.rerank(rerank.filter_candidates(ranked, corpus), texts, X.jaccard), queries
 
 
@@ -414,6 +416,7 @@ SELECT round(avg(first), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6)
        round(avg(ap), 6) AS MAP10 FROM per""")
 def rerank_metrics(spark, sf_dir):
     again, queries = reranked(spark, sf_dir)
+    again = reliable_checkpoint(again)
     out = rerank.rerank_metrics(again, queries.select(F.col("id").alias("query_id"), "n_relevant"))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
