@@ -89,7 +89,6 @@ accepted AS (SELECT m.* FROM merged m JOIN verdict v USING (user_id) WHERE v.sco
 
 
 def as_text(column, *fields):
-    piece = F.concat_ws(":", *[F.format_string("%.3f", F.col("x")[f]) for f in fields])
     return F.expr(f"array_join(transform({column}, x -> "
                   + "concat_ws(':', " + ", ".join(f"format_string('%.3f', x.{f})" for f in fields) + ")), ',')")
 

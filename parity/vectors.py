@@ -221,7 +221,7 @@ SELECT max(value) FILTER (r = round_even(0.1 * (n - 1), 0)) AS q10,
 def nearest_rank_quantiles(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     values = numbering.quantile_values(events, "value", [0.1, 0.5, 0.9], "nearest")
-    return events.limit(1).select(*[F.lit(v).alias(n) for v, n in zip(values, ("q10", "q50", "q90"))])
+    return events.agg(*[F.max(F.lit(v)).alias(n) for v, n in zip(values, ("q10", "q50", "q90"))])
 
 
 @query("masked_summary", """
