@@ -188,13 +188,13 @@ def train_classifier(docs: DataFrame, text_col: str = "text") -> dict[tuple[str,
     return out
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All of `docs` with base and spans: ARRAY<STRUCT<start, kind, end>>, kind a number in KINDS.
+def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """All of `docs` with base and spans (names `base_col`, `spans_col`): ARRAY<STRUCT<start, kind, end>>, kind a number in KINDS.
 
     Base spans come from the base patterns. The method adds secrets: candidates that meet no base span and that the span
     classifier takes for personal data. Null is the empty text and has no spans. Rows are independent but for the training
     of the classifier, which counts all candidates of all rows; repeated rows, null ids and other columns do no harm,
-    and columns named base or spans are replaced. An empty table gives no rows, one without candidates a classifier that
+    and columns of those two names are replaced. An empty table gives no rows, one without candidates a classifier that
     takes none.
     """
     weights = train_classifier(docs, text_col)
@@ -211,9 +211,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return odds > 0
 
     text = text_of(docs, text_col)
-    rows = docs.withColumn("base", base_spans(text))
-    more = _of_kind(F.filter(candidates(text, F.col("base")), is_secret), KINDS.index("secret"))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", more)))
+    rows = docs.withColumn(base_col, base_spans(text))
+    more = _of_kind(F.filter(candidates(text, F.col(base_col)), is_secret), KINDS.index("secret"))
+    return rows.withColumn(spans_col, F.array_sort(F.concat(base_col, more)))
 
 
 def span_text(spans: Column) -> Column:
@@ -223,7 +223,7 @@ def span_text(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """`docs` of `find_pii` with each span replaced by its kind in angle brackets; of overlapping spans the first counts.
 
     A null text stays null.
@@ -238,9 +238,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.when(skip, F.greatest(state["at"], s["end"])).otherwise(s["end"]).alias("at"),
                         F.when(skip, state["out"]).otherwise(piece).alias("out"))
 
-    clean = F.aggregate("spans", first, step, lambda s: F.concat(
+    clean = F.aggregate(spans_col, first, step, lambda s: F.concat(
         s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, clean).otherwise(text))
 
 
 @query("op6_pii")
