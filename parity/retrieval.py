@@ -177,5 +177,5 @@ WHERE query_id = (SELECT min(vec_id) FROM embeddings) ORDER BY 1 - score, corpus
 def nearest_n(spark, sf_dir):
     _, corpus = dense_inputs(spark, sf_dir)
     probe = corpus.where(F.col("id") == F.lit(corpus.agg(F.min("id")).first()[0]))
-    found = tiles.top_k(probe, corpus, DenseScorer("embedding", "cosine"), 10, cells=(1, 16))
+    found = tiles.top_k(probe, corpus, DenseScorer("embedding", "cosine"), 10)
     return ranking.nearest(found.withColumn("score", 1 - F.col("score")), 10)

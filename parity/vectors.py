@@ -68,10 +68,10 @@ def maxsim_topk(spark, sf_dir):
 
 
 @query("min_chunk_distance", CHUNKS + """,
-sc AS (SELECT query_id, corpus_id, round(-min(dist), 9) AS s FROM cp GROUP BY ALL)""" + RANKED.format("-s"))
+sc AS (SELECT query_id, corpus_id, round(-min(1 - sim), 9) AS s FROM cp GROUP BY ALL)""" + RANKED.format("-s"))
 def min_chunk_distance(spark, sf_dir):
     items = stacked(spark, sf_dir)
-    return top10(tiles.top_k(items, items, MultiVectorScorer("vectors", "cos", "min"), 10), distance=True)
+    return top10(tiles.top_k(items, items, MultiVectorScorer("vectors", "angle", "min"), 10), distance=True)
 
 
 HYBRID = CHUNKS + """,
@@ -352,8 +352,8 @@ def clique_outliers(spark, sf_dir):
 
 
 @query("hard_negatives", """
-WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
-d AS (SELECT a.id AS a, b.id AS b, (a.label = b.label) AS same, round(list_inner_product(a.e, b.e), 9) AS s
+WITH v AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, (a.label = b.label) AS same, round(list_inner_product(a.e, b.e), 9) AS s
       FROM v a JOIN v b ON a.id <> b.id)
 SELECT p.a AS anchor, p.b AS positive, n.b AS hard_negative, round(p.s, 6) AS sim_ap, round(n.s, 6) AS sim_an
 FROM d p JOIN d n ON n.a = p.a AND NOT n.same AND n.s > p.s WHERE p.same AND p.a < p.b AND p.s >= 0.3""")

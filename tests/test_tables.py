@@ -101,6 +101,9 @@ def test_rerank(spark):
                                    "query_id string, corpus_id string, score double, rank int, relevant int")
     texts = spark.createDataFrame([("q", "red green blue"), ("a", "black"), ("b", "red green")], "version_id string, text string")
     kept = rerank.filter_candidates(ranked)
+    # the relevant candidate lies outside the corpus: the query stays, with the candidates inside
+    inside = rerank.filter_candidates(ranked, spark.createDataFrame([("a",)], "id string"))
+    assert [r["corpus_id"] for r in inside.collect()] == ["a"]
     got = rerank.rerank(kept, texts, infer.jaccard_scorer).orderBy("rank").collect()
     assert [(r["corpus_id"], r["rank"]) for r in got] == [("b", 1), ("a", 2)]
     score = infer.pandas_scorer(lambda: (lambda pairs: [float(len(d)) for _, d in pairs]), "length")
@@ -149,6 +152,11 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_lenient_csv(spark, str(tmp_path / "bad.csv"), {"a": "int", "b": "int"}).select("a").count() >= 2
     kept = readers.read_lenient_csv(spark, str(tmp_path / "bad.csv"), {"a": "int", "b": "int"}, keep_bad=True).cache()
     assert kept.where("_corrupt_record is not null").count() == 1
+    with open(tmp_path / "short.csv", "w") as f:
+        f.write('a,b,c\n1,2,3\n4,5\n6,7,8,9\n10,"x,y",11\n')
+    lenient = readers.read_lenient_csv(spark, str(tmp_path / "short.csv"), {"a": "int", "b": "string", "c": "int"})
+    assert sorted(map(tuple, lenient.collect())) == [(1, "2", 3), (4, "5", None), (10, "x,y", 11)]
+    assert lenient.count() == lenient.select("b").count() == 3
     with open(tmp_path / "lines.txt", "w") as f:
         f.write('{"perf": "p1", "len": 3}\n\nperf:p2\twork:a:b\tlen:4\n')
     rows = readers.read_lines(spark, str(tmp_path / "lines.txt"), {"perf": "string", "work": "string", "len": "int"}).collect()

@@ -28,34 +28,44 @@ def nested_matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return list_matrix(array.flatten()), counts
 
 
+def _lengths(x: np.ndarray, least: float = 0.0, more: float = 0.0) -> np.ndarray:
+    """Rows scaled by their length; `least` bounds the length from below, `more` is added to it."""
+    return x / (np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), least) + more)[:, None]
+
+
+def _square_distance(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    norms = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", c, c)
+    return np.maximum(norms - 2.0 * (q @ c.T), 0.0)
+
+
+def _power_distance(q: np.ndarray, c: np.ndarray, p: float) -> np.ndarray:
+    if p == 2.0:
+        return np.sqrt(_square_distance(q, c))
+    return np.stack([(np.abs(c - row) ** p).sum(1) ** (1.0 / p) for row in q]) if len(q) else np.empty((0, len(c)))
+
+
+#: mode -> matrix of values between rows of q and of c; `n` in front divides by the width, as its distance demands.
+MODES = {
+    "cosine": lambda q, c, p, eps: _lengths(q, 1e-12) @ _lengths(c, 1e-12).T,
+    "angle": lambda q, c, p, eps: 1.0 - _lengths(q, 1e-12) @ _lengths(c, 1e-12).T,
+    "cossim": lambda q, c, p, eps: _lengths(q, 0.0, eps) @ _lengths(c, 0.0, eps).T,
+    "cos": lambda q, c, p, eps: 1.0 - _lengths(q, 0.0, eps) @ _lengths(c, 0.0, eps).T,
+    "dotsim": lambda q, c, p, eps: q @ c.T,
+    "dot": lambda q, c, p, eps: 1.0 - q @ c.T,
+    "sqeuc": lambda q, c, p, eps: _square_distance(q, c),
+    "nsqeuc": lambda q, c, p, eps: _square_distance(q, c) / q.shape[1],
+    "euc": lambda q, c, p, eps: np.sqrt(_square_distance(q, c)),
+    "neuc": lambda q, c, p, eps: np.sqrt(_square_distance(q, c) / q.shape[1]),
+    "fro": lambda q, c, p, eps: _power_distance(q, c, p),
+    "nfro": lambda q, c, p, eps: _power_distance(q, c, p) / q.shape[1] ** (1.0 / p),
+}
+
+
 def score_block(q: np.ndarray, c: np.ndarray, mode: str, p: float = 2.0, eps: float = 1e-6) -> np.ndarray:
     """Matrix of `mode` values (a distance, or a similarity for the `sim` modes) between rows of q and of c."""
-    if mode == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        return q @ c.T
-    if mode in ("cos", "cossim"):
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + eps)
-        c = c / (np.linalg.norm(c, axis=1, keepdims=True) + eps)
-    if mode in ("cos", "dot"):
-        return 1.0 - q @ c.T
-    if mode in ("cossim", "dotsim"):
-        return q @ c.T
-    squared_modes = ("sqeuc", "nsqeuc", "euc", "neuc") if p != 2.0 else (
-        "sqeuc", "nsqeuc", "euc", "neuc", "fro", "nfro")
-    if mode in squared_modes:
-        squared = (q * q).sum(1)[:, None] - 2.0 * (q @ c.T) + (c * c).sum(1)[None, :]
-        squared = np.maximum(squared, 0.0)
-        if mode in ("sqeuc", "nsqeuc"):
-            return squared / q.shape[1] if mode == "nsqeuc" else squared
-        root = np.sqrt(squared)
-        return root / np.sqrt(q.shape[1]) if mode in ("neuc", "nfro") else root
-    if mode in ("fro", "nfro"):
-        out = np.empty((len(q), len(c)))
-        for i, row in enumerate(q):
-            out[i] = (np.abs(c - row) ** p).sum(1) ** (1.0 / p)
-        return out / q.shape[1] ** (1.0 / p) if mode == "nfro" else out
-    raise ValueError(f"unknown distance mode: {mode}")
+    if mode not in MODES:
+        raise ValueError(f"unknown distance mode: {mode}")
+    return MODES[mode](q, c, p, eps)
 
 
 SIMILARITY_MODES = ("cosine", "cossim", "dotsim")

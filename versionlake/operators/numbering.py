@@ -47,11 +47,11 @@ def number_within(df: DataFrame, keys: list[str], hash_col: str, out: str = "row
     """1-based position inside each key in the order of a hex hash column.
 
     A key with more than `hot_rows` rows is cut by hash prefix into buckets that are numbered separately.
-    There are at most rows / hot_rows such keys, so the list of them and their bucket offsets are broadcast.
+    There are at most rows / hot_rows such keys; Spark picks the join by the measured size of their list.
     """
     hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
            .select(*keys, F.lit(True).alias("_hot")))
-    marked = (df.join(F.broadcast(hot), keys, "left")
+    marked = (df.join(hot, keys, "left")
               .withColumn("_bucket", F.when(F.col("_hot"), F.substring(hash_col, 1, HEX_DIGITS))
                           .otherwise(F.lit(""))))
     sizes = marked.where("_hot").groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -59,7 +59,7 @@ def number_within(df: DataFrame, keys: list[str], hash_col: str, out: str = "row
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(hash_col))
-    return (marked.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+    return (marked.join(offsets, [*keys, "_bucket"], "left")
             .withColumn(out, F.coalesce(F.col("_before"), F.lit(0)) + local)
             .drop("_hot", "_bucket", "_before"))
 

@@ -29,7 +29,7 @@ def _against(df: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     """Metric cells as `value (difference to the baseline)`; models without a baseline show nan."""
     base = baseline.select(F.col("model_name").alias(key), F.lit(True).alias("_known"),
                            *[F.col(m).alias(f"_{m}") for m in METRICS])
-    joined = df.join(F.broadcast(base), key, "left")
+    joined = df.join(base, key, "left")
     cells = {m: F.concat(_text(F.col(m)), F.lit(" ("), _text(F.col(m) - F.col(f"_{m}")), F.lit(")"))
              for m in METRICS}
     return joined.withColumns(cells).drop(*[f"_{m}" for m in METRICS])

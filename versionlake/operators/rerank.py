@@ -11,11 +11,11 @@ from versionlake.operators.ranking import restrict_to, retrieval_metrics
 
 
 def filter_candidates(ranked: DataFrame, corpus: DataFrame | None = None, corpus_column: str = "id") -> DataFrame:
-    """Candidates inside the corpus, of queries that have at least one relevant candidate."""
+    """Candidates inside the corpus, of queries with a relevant candidate, be that one inside the corpus or not."""
     require_columns(ranked, ["query_id", "corpus_id", "rank", "relevant"])
-    kept = restrict_to(ranked, corpus, "corpus_id", corpus_column) if corpus is not None else ranked
-    useful = kept.where("relevant = 1").select("query_id").distinct()
-    return kept.join(useful, "query_id", "left_semi")
+    useful = ranked.where("relevant = 1").select("query_id").distinct()
+    kept = ranked.join(useful, "query_id", "left_semi")
+    return restrict_to(kept, corpus, "corpus_id", corpus_column) if corpus is not None else kept
 
 
 def rerank(ranked: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column], Column],

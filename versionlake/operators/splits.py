@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from versionlake.functions.seeded import seeded_hash, seeded_unit
@@ -20,6 +22,7 @@ def ring_walk(seed_hash: Column, step: Column, size: Column) -> Column:
     """Position of the step-th pick on a ring of `size` places: a seeded offset and a seeded stride that has
     no common factor with the size, so the first `size` picks are all different."""
     stride = F.element_at(F.array(*[F.lit(s) for s in STRIDES]), (_number(seed_hash, 1) % len(STRIDES) + 1).cast("int"))
+    size = F.when(size < F.lit(2 ** 31), size).otherwise(F.raise_error(F.lit("a ring has at most 2**31 - 1 places")))
     return (_number(seed_hash, 9) + step * (stride % size)) % size
 
 
@@ -47,9 +50,13 @@ def split_by_work(df: DataFrame, key: str, work: str = "work_id", val_unseen: fl
     """Add `split`. Some works go to test or validation as a whole (at least one when asked for); in every
     other work a share of its rows, at least one, goes to each of validation and test."""
     works = df.groupBy(work).agg(F.count("*").alias("_n")).withColumn("_wh", seeded_hash(seed, work))
-    n_works = works.count()
-    n_test = max(1, int(n_works * test_unseen)) if test_unseen > 0 and test_ratio > 0 else 0
-    n_val = max(1, int(n_works * val_unseen)) if val_unseen > 0 else 0
+    total = works.count()
+
+    def held_back(part: float) -> int:
+        """Works that leave as a whole: those whose place, counted from 1, is within the part; the first in any case."""
+        return max(math.floor(total * part), 1) if part > 0 else 0
+
+    n_test, n_val = held_back(test_unseen if test_ratio > 0 else 0.0), held_back(val_unseen)
     placed = number_by_hash(works, "_wh", "_w", (work,)).select(work, "_n", "_w")
     rows = number_within(df.withColumn("_h", seeded_hash(seed, work, key)), [work], "_h", "_r").join(placed, work)
 

@@ -18,8 +18,6 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from versionlake.functions.scorers import MultiVectorScorer, SoftmaxMeanScorer, split_redux
@@ -82,7 +80,7 @@ def _grid(queries, corpus, scorer, cells, run, schema, extra=()) -> DataFrame:
 def _label_grid(queries, corpus, scorer, cell_rows, run, schema) -> DataFrame:
     """Cells hold whole labels: many small ones together; a label above `cell_rows` gets a grid of its own.
 
-    The list of such labels has at most rows / cell_rows entries, which is why it may be broadcast.
+    The list of such labels has at most rows / cell_rows entries; it grows with the table, so no broadcast is asked for.
     """
     q = _items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ()))).where("label is not null")
     c = _items(corpus, scorer.columns).where("label is not null")
@@ -97,7 +95,7 @@ def _label_grid(queries, corpus, scorer, cell_rows, run, schema) -> DataFrame:
                    F.ceil(F.col("nc") / cell_rows).cast("int").alias("sc")))
 
     def place(df, own, n_own, other, n_other):
-        placed = df.join(F.broadcast(hot), "label", "left")
+        placed = df.join(hot, "label", "left")
         size = F.greatest(F.coalesce(F.col(n_own), F.lit(1)), F.lit(1))
         copies = F.greatest(F.coalesce(F.col(n_other), F.lit(1)), F.lit(1))
         return (placed
@@ -422,7 +420,7 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
     `bars`: query_id, part, bar_scores ARRAY<DOUBLE>, bar_ids, in ranking order (score down, id up).
     Output: query_id, part, slot (0-based place in the arrays), n_ahead. Self is not counted.
     """
-    schema = f"query_id {_id_type(queries)}, part int, ahead array<double>"
+    schema = f"query_id {_id_type(queries)}, part int, ahead array<bigint>"
     with_bars = (_items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ())))
                  .join(bars.withColumnRenamed("query_id", "id"), "id"))
     extra = ("part", "bar_scores", "bar_ids")
@@ -451,16 +449,15 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
                     rows.append(r)
                     counts.append(above)
         sizes = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
-        flat = pa.array(np.concatenate(counts) if counts else np.array([]), pa.float64())
+        flat = pa.array(np.concatenate(counts) if counts else np.array([], np.int64), pa.int64())
         picked = pa.array(rows, pa.int64())
         return pa.table({"query_id": q["id"].take(picked), "part": q["part"].take(picked),
                          "ahead": pa.ListArray.from_arrays(pa.array(sizes), flat)})
 
     counted = _grid(with_bars, corpus, scorer, cells, run, schema, extra=extra)
-    # counts of a query are added as one vector a cell: a partial aggregate with a buffer of one vector
-    total = (counted.groupBy("query_id", "part").agg(Summarizer.sum(array_to_vector("ahead")).alias("s"))
-             .select("query_id", "part", F.posexplode(vector_to_array("s")).alias("slot", "n")))
-    return total.select("query_id", "part", "slot", F.col("n").cast("long").alias("n_ahead"))
+    # counts are added as integers, slot by slot: a floating-point mean of many cells would lose single ranks
+    slots = counted.select("query_id", "part", F.posexplode("ahead").alias("slot", "n"))
+    return slots.groupBy("query_id", "part", "slot").agg(F.sum("n").alias("n_ahead"))
 
 
 def _count_smaller(sorted_ids: pa.Array, wanted: pa.Array) -> np.ndarray:

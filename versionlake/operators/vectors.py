@@ -24,9 +24,12 @@ def _vector(column: str):
 
 
 def mean_pool(chunks: DataFrame, key: str | list[str] = "id", column: str = "embedding") -> DataFrame:
-    """Mean vector per id, not normalised again. A partial aggregate, so a huge id costs no single task."""
+    """Mean vector per id, not normalised again. A partial aggregate, so a huge id costs no single task.
+
+    Null and empty vectors (failed items of an encoder) are left out; an id with nothing else gives no row.
+    """
     keys = [key] if isinstance(key, str) else key
-    return (chunks.groupBy(*keys).agg(Summarizer.mean(_vector(column)).alias("_m"))
+    return (chunks.where(F.size(column) > 0).groupBy(*keys).agg(Summarizer.mean(_vector(column)).alias("_m"))
             .select(*keys, vector_to_array("_m").alias(column)))
 
 
@@ -120,8 +123,10 @@ def covariance_penalty(vectors: DataFrame, column: str = "embedding", eps: float
     """Mean squared covariance of different dimensions. The driver sees one width x width matrix."""
     rows = MLUtils.convertVectorColumnsFromML(vectors.select(_vector(column).alias("v")), "v")
     cov = RowMatrix(rows).computeCovariance().toArray()
-    upper = np.triu(np.ones_like(cov), 1)
-    return float((upper * cov ** 2).sum() / (upper.sum() + eps))
+    # each pair of dimensions stands twice beside the diagonal
+    width, powers = len(cov), np.square(cov)
+    beside = powers.sum() - np.trace(powers)
+    return float(beside / (width * (width - 1) + 2 * eps))
 
 
 # ---------------------------------------------------------------- masked aggregates and distances

@@ -33,13 +33,18 @@ def read_metadata(spark: SparkSession, path: str, columns: dict[str, str], requi
 
 def read_lenient_csv(spark: SparkSession, path: str, columns: dict[str, str],
                      keep_bad: bool = False) -> DataFrame:
-    """CSV whose malformed lines are skipped, or kept with the raw line in `_corrupt_record`."""
+    """CSV whose lines with too many fields are skipped, or kept with the raw line in `_corrupt_record`.
+
+    Short lines and values of another type stay, with NULL for what is missing; so the rows don't depend on the columns
+    that are read.
+    """
     fields = ", ".join(f"`{n}` {t}" for n, t in columns.items())
-    reader = spark.read.option("header", True)
-    if not keep_bad:
-        return reader.schema(fields).option("mode", "DROPMALFORMED").csv(path)
-    return (reader.schema(f"{fields}, {CORRUPT} string").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    rows = (spark.read.option("header", True).schema(f"{fields}, {CORRUPT} string").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
+    if keep_bad:
+        return rows
+    separators = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"(?:[^"\\]|\\.|"")*"', ""), "[^,]", ""))
+    return rows.where(F.col(CORRUPT).isNull() | (separators < len(columns))).drop(CORRUPT)
 
 
 def read_embeddings(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
