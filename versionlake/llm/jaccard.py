@@ -7,17 +7,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import query, table, text_of, written
 
 #: Words of a shingle and least similarity in percent, unless told otherwise.
 WORDS = 5
 PERCENT = 80
-#: Ranges into which the suffix filter splits the hashes, rows of a tile side, rows that small groups share a task with.
-RANGES = 32
-TILE_ROWS = 2_000
-BUCKET_ROWS = 50_000
+#: Ranges into which the suffix filter splits the hashes (a power of two), rows of a tile side, rows of small groups
+#: that share a task.
+RANGES = 128
+TILE_ROWS = 1_000
+BUCKET_ROWS = 10_000
+#: Rows of related groups that a task takes together.
+SHARE_ROWS = 100_000
 #: Hubs of a token group before its remaining pairs are looked at.
 HUB_ROUNDS = 2
 
@@ -86,8 +89,9 @@ def sets_of(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                 else:
                     tokens.append(_signed(first))
                 firsts.append(len(first))
-                ranges.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES)
-                              .astype("<i4").tobytes())
+                part = (own >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+                # cut off at a byte: the difference of two cut numbers is never more than that of the numbers
+                ranges.append(np.minimum(np.bincount(part, minlength=RANGES), 255).astype(np.uint8).tobytes())
             lengths = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -133,15 +137,22 @@ def components(edges: DataFrame) -> DataFrame:
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         new = written(small)
         # done when every id has one edge, to an id that has none itself
-        more = new.groupBy("a").count().where("count > 1").isEmpty() and new.join(
-            new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+        open_ids = new.groupBy("a").count().where("count > 1").select("a").unionByName(
+            new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a"))
         now = new
-        if more:
+        if open_ids.isEmpty():
             break
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def _with_stars(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """New links and, for the components known before, one edge from each member to its name."""
+    if labels is None:
+        return links
+    return links.unionByName(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
@@ -175,7 +186,7 @@ def _tile_pairs(percent: int):
             others, both, need = others[keep], both[keep], need[keep]
             if not len(others):
                 continue
-            apart = np.abs(ranges[others] - ranges[i]).sum(axis=1)
+            apart = np.abs(ranges[others] - ranges[i]).sum(axis=1, dtype=np.int64)
             out.append((i, others[apart <= both - 2 * need]))
         return out
 
@@ -184,7 +195,7 @@ def _tile_pairs(percent: int):
         token = group["token"].to_numpy()
         ids, sizes, places, comps = (group[c].to_numpy() for c in ("id", "n", "place", "component"))
         chunk = group["chunk"].to_numpy()
-        ranges = np.frombuffer(b"".join(group["ranges"].to_pylist()), "<i4").reshape(len(ids), -1)
+        ranges = np.frombuffer(b"".join(group["ranges"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         a, b = [], []
         for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(token)].tolist()):
@@ -254,12 +265,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     whole = written(whole_sets(wanted, words, id_col, text_col).dropDuplicates(["id"]))
 
     # 3a: hubs
-    links = None
-    component: Column = F.col("id")
     labels = None
     for turn in range(HUB_ROUNDS):
         now = prefix if labels is None else prefix.join(labels, "id", "left")
-        now = now.withColumn("component", F.coalesce("component", "id") if labels is not None else component)
+        now = now.withColumn("component", F.col("id") if labels is None else F.coalesce("component", "id"))
         hubs = now.groupBy("token").agg(F.min_by("id", F.xxhash64("id", "token", F.lit(turn))).alias("hub"))
         # the hub comes with its own size and component
         hubs = hubs.join(now.select(F.col("token"), F.col("id").alias("hub"), F.col("n").alias("hub_n"),
@@ -268,29 +277,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             (F.col("component") != F.col("hub_component"))
             & (F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")))
         pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = _verified(pairs, whole, percent)
-        links = written(found if links is None else links.unionByName(found))
-        labels = written(components(links))
+        labels = written(components(_with_stars(_verified(pairs, whole, percent), labels)))
 
     # 3b: what is left between components
     now = prefix.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    now = now.join(mixed.select("token"), "token").join(facts.select("id", "ranges").dropDuplicates(["id"]), "id")
+    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("low"),
+                                     F.count("*").alias("rows")).where("lo <> hi")
+    mixed = written(mixed.select("token", "low", "rows"))
+    # groups with the same smallest member go to the same task, up to a bound, so that it drops a pair's repeats
+    parts = mixed.groupBy("low").agg(F.ceil(F.sum("rows") / F.lit(SHARE_ROWS)).alias("parts"))
+    mixed = mixed.join(parts, "low").select("token", F.xxhash64("low", F.pmod(
+        F.xxhash64("token"), F.col("parts"))).alias("place_key"))
+    now = now.join(mixed, "token").join(facts.select("id", "ranges").dropDuplicates(["id"]), "id")
     now = written(now)
     buckets = max(1, -(-now.count() // BUCKET_ROWS))
     chunks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
     now = now.withColumn("chunks", chunks).withColumn(
         "chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     small = now.where("chunks = 1").select(
-        F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "token",
+        F.pmod(F.col("place_key"), F.lit(buckets)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "token",
         "id", "n", "place", "component", "chunk", "ranges")
     # a group beyond a tile: each chunk meets itself and every other one, in a task for each two
     tiles = now.where("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        F.col("token").alias("key"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "token",
+        F.col("place_key").alias("key"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "token",
         "id", "n", "place", "component", "chunk", "ranges")
     pairs = small.unionByName(tiles).groupBy("key", "i", "j").applyInArrow(_tile_pairs(percent), "a bigint, b bigint")
     found = _verified(written(pairs.distinct()), whole, percent)
-    labels = components(links.unionByName(found))
+    labels = components(_with_stars(found, labels))
 
     # copies take the component of their class; a class may hold a third of all rows, which the join may split
     named = classes.join(labels, "id", "left").select(
