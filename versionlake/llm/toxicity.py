@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import query, table, text_of
@@ -48,17 +49,19 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float,
     def present(words: list[str]) -> set[str]:
         return {f for w in words for f in word_features(w)}
 
-    pos, unl = Counter(), Counter()
-    for texts, counter in ((positive, pos), (unlabelled, unl)):
-        for words in texts:
-            counter.update(present(words))
     n_pos, n_unl = len(positive), max(1, len(unlabelled))
     least = max(3, round(LEAST_SHARE * n_pos))
+    pos, unl = Counter(), Counter()
+    for words in positive:
+        pos.update(present(words))
+    pos = Counter({f: n for f, n in pos.items() if n >= least})
+    for words in unlabelled:
+        unl.update(present(words) & pos.keys())
     scored = []
     for name, n in pos.items():
         a, b = n / n_pos, unl[name] / n_unl
         # of its unlabelled texts, at least the share KNOWN_SHARE is what the class prior explains by positives
-        if n >= least and prior * a > KNOWN_SHARE * b:
+        if prior * a > KNOWN_SHARE * b:
             middle = (n + unl[name]) / (n_pos + n_unl)
             z = (a - b) / np.sqrt(middle * (1 - middle) * (1 / n_pos + 1 / n_unl) + 1e-12)
             scored.append((-z, name))
@@ -150,9 +153,10 @@ def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         split, f"id {kind}, member int, positive boolean, words array<string>")
 
     def fit(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["id"])
-        weights, bias = train([r["words"] for r in rows if r["positive"]], [r["words"] for r in rows if not r["positive"]],
-                              prior) if any(r["positive"] for r in rows) else ({}, None)
+        ordered = group.sort_by([("id", "ascending")])
+        positive, unlabelled = (ordered.filter(pc.equal(ordered["positive"], side))["words"].to_pylist()
+                                for side in (True, False))
+        weights, bias = train(positive, unlabelled, prior) if positive else ({}, None)
         names = list(weights)
         if bias is not None:
             names.append("")
