@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import query, table, text_of
 
 #: Words remembered by a task; when full, the memory starts anew. Bounds memory only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _NO_RANK = np.int64(1) << 60
 
 
@@ -145,7 +145,7 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _texts_in_steps(column, step: int = 2000, most: int = 8 << 20):
+def _texts_in_steps(column, step: int = 1000, most: int = 2 << 20):
     """Texts of an Arrow column in lists of bounded size."""
     texts, size = [], 0
     for value in column:
