@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parity.registry import query, table
 from versionlake.functions.scorers import DenseScorer
-from versionlake.operators import ranking, tiles
+from versionlake.operators import ids, ranking, tiles
 from versionlake.session import reliable_checkpoint
 
 SCORER = DenseScorer("embedding", "cosine")
@@ -171,6 +171,31 @@ def map_matrix(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query("map_matrix_excluded", DENSE + """,
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS place FROM pairs
+         WHERE query_id // 5 <> corpus_id // 5),
+near AS (SELECT query_id, min(place) AS first_at FROM kept WHERE relevant = 1 GROUP BY query_id),
+h AS (SELECT query_id, place, relevant, sum(relevant) OVER (PARTITION BY query_id ORDER BY place) AS hits FROM kept),
+p AS (SELECT query_id, sum(CASE WHEN place <= 10 AND relevant = 1 THEN hits / place::DOUBLE END)
+             / nullif(sum(CASE WHEN place <= 10 THEN relevant END), 0) AS ap,
+             sum(CASE WHEN place <= 10 THEN relevant ELSE 0 END) AS t10,
+             max(CASE WHEN place = 1 THEN relevant ELSE 0 END) AS hit
+      FROM h GROUP BY query_id)
+SELECT round(avg(coalesce(ap, 0)), 6) AS mean_ap, round(avg(t10) / 10, 6) AS top10,
+       round(avg(coalesce(first_at, 0)), 6) AS rank1, round(avg(hit), 6) AS hit_rate
+FROM p LEFT JOIN near USING (query_id)""")
+def map_matrix_excluded(spark, sf_dir):
+    """Matrix metrics without pairs of one performance; five neighbouring vectors are one performance."""
+    queries, corpus = dense_inputs(spark, sf_dir)
+    places = corpus.select(F.floor(F.col("id") / 5).alias("perf"), F.col("id").alias("position"))
+    same = ids.overlap_map(places, places).select(
+        F.col("query_pos").alias("query_id"), F.col("ref_pos").alias("corpus_id"))
+    ranked = reliable_checkpoint(ranking.rank_results(queries, corpus, SCORER, 10, exclude=same))
+    first = ranking.first_relevant(queries, corpus, SCORER, ranked, exclude=same)
+    out = ranking.matrix_metrics(ranked, first, queries.select(F.col("id").alias("query_id")))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 @query("nearest_n", DENSE + """
 SELECT query_id, corpus_id, round(1 - score, 6) AS dist FROM pairs
 WHERE query_id = (SELECT min(vec_id) FROM embeddings) ORDER BY 1 - score, corpus_id LIMIT 10""")

@@ -237,12 +237,37 @@ def kfold(spark, sf_dir):
     return splits.stratified_folds(documents(spark, sf_dir).select("doc_id", "source"), "doc_id", "source").select("doc_id", "fold")
 
 
-@query("m_per_class")
+def ring_sql(digits: str, step: str, size: str) -> str:
+    """Place of a pick on a ring, from 32 hex digits."""
+    first, second = (f"('0x' || substr({digits}, {at}, 8))::BIGINT" for at in (1, 9))
+    return f"(({second} + ({step}) * ({splits.STRIDES}[{first} % {len(splits.STRIDES)} + 1] % ({size}))) % ({size}))"
+
+
+@query("m_per_class", f"""
+WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id)) AS pick FROM documents),
+s AS (SELECT source, count(*) AS n, count(*) * CASE WHEN count(*) < 4 THEN ceil(4.0 / count(*))::BIGINT ELSE 1 END AS ring,
+             row_number() OVER (ORDER BY md5('42|' || source)) - 1 AS class FROM documents GROUP BY source),
+t AS (SELECT (sum(ring) // 32)::BIGINT AS batches, count(*) AS classes FROM s),
+b AS (SELECT unnest(range(batches)) AS batch_id, classes FROM t),
+c AS (SELECT batch_id, classes, unnest(range(least(8, classes))) AS c, md5('42|batch|' || batch_id) AS h FROM b),
+p AS (SELECT batch_id, c, {ring_sql('h', 'c', 'classes')} AS class FROM c),
+i AS (SELECT batch_id, c, source, n, ring, unnest(range(4)) AS i, md5('42|' || batch_id || '|' || source) AS h
+      FROM p JOIN s USING (class)),
+k AS (SELECT batch_id, (c * 4 + i)::INT AS slot, source, {ring_sql('h', 'i', 'ring')} % n + 1 AS pick FROM i)
+SELECT batch_id, slot, source, doc_id FROM k JOIN d USING (source, pick)""")
 def m_per_class(spark, sf_dir):
     return splits.per_class_batches(documents(spark, sf_dir), "doc_id", "source", m=4, batch_size=32)
 
 
-@query("anchor_groups")
+@query("anchor_groups", f"""
+WITH p AS (SELECT doc_id, source, n_chars / 10.0::DOUBLE AS len, count(*) OVER (PARTITION BY source) AS n, md5('42|walk|' || doc_id) AS h,
+                  row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id)) - 1 AS place FROM documents),
+s AS (SELECT *, unnest([0, 1, 2, 3]) AS slot FROM p WHERE n >= 2),
+a AS (SELECT doc_id AS anchor, source, slot, CASE WHEN slot = 0 THEN place
+             ELSE (place + 1 + {ring_sql('h', 'slot - 1', 'n - 1')}) % n END AS place FROM s)
+SELECT anchor, slot, p.doc_id AS member, round(greatest(0.0, (least(240.0, len) - 30.0)
+         * (('0x' || substr(md5('42|' || anchor || '|' || slot || '|' || p.doc_id), 1, 8))::BIGINT / 4294967296::DOUBLE)), 6) AS start_s
+FROM a JOIN p USING (source, place)""")
 def anchor_groups(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("len", F.col("n_chars") / 10.0)
     out = splits.anchor_groups(d, "doc_id", "source", 4, length="len", maxlen=240.0, audiolen=30.0)

@@ -52,6 +52,46 @@ def test_first_relevant_with_hot_labels(items, cell_rows):
     assert sorted(map(tuple, again)) == sorted(map(tuple, first))
 
 
+@pytest.mark.parametrize("cell_rows", [5, 1000])
+def test_excluded_pairs(spark, items, cell_rows):
+    bad = {(i, j) for i in range(N) for j in range(N) if (i + 2 * j) % 5 == 0}
+    exclude = spark.createDataFrame([(f"r{i:02d}", f"r{j:02d}") for i, j in bad] + [("r01", "nobody"), ("r01", None)],
+                                    "query_id string, corpus_id string")
+    whole = ranking_by_hand(score_block(VECTORS, VECTORS, "cosine"))
+    order = {i: [j for j in js if (i, j) not in bad] for i, js in whole.items()}
+    ranked = tiles.top_k(items, items, DenseScorer(), 6, cells=(3, 4), exclude=exclude)
+    got = sorted((int(r["query_id"][1:]), r["rank"], int(r["corpus_id"][1:])) for r in ranked.collect())
+    assert got == [(i, k + 1, order[i][k]) for i in range(N) for k in range(min(6, len(order[i])))]
+    hits = {i: next((j for j in order[i] if relevant(i, j)), None) for i in range(N)}
+    expected = {i: (j, order[i].index(j) + 1) for i, j in hits.items() if j is not None}
+    best = tiles.best_positive(items, items, DenseScorer(), cell_rows=cell_rows, exclude=exclude).collect()
+    assert {int(r["query_id"][1:]): int(r["corpus_id"][1:]) for r in best} == {i: j for i, (j, _) in expected.items()}
+    first = ranking.first_relevant(items, items, DenseScorer(), cells=(2, 3), exclude=exclude).collect()
+    assert {int(r["query_id"][1:]): (int(r["corpus_id"][1:]), r["rank"]) for r in first} == expected
+
+
+@pytest.mark.parametrize("max_vectors", [2, 100])
+def test_excluded_pairs_of_cut_records(spark, max_vectors):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, "x", rng.normal(size=(rng.integers(1, 7), 3)).round(3).tolist()) for i in range(9)],
+                               "id long, label string, vectors array<array<double>>")
+    exclude = spark.createDataFrame([(i, (i * 2 + 1) % 9) for i in range(9)], "query_id int, corpus_id int")
+    scorer = MultiVectorScorer("vectors", "cos", "meanmin")
+    plain, less = (tiles.top_k(df, df, scorer, 20, cells=(2, 2), max_vectors=max_vectors, exclude=e) for e in (None, exclude))
+    wanted = {(r["query_id"], r["corpus_id"], r["score"]) for r in plain.collect() if r["corpus_id"] != (r["query_id"] * 2 + 1) % 9}
+    assert {(r["query_id"], r["corpus_id"], r["score"]) for r in less.collect()} == wanted
+
+
+def test_records_without_vectors(spark):
+    rows = [(1, "x", [1.0, 0.0], [[1.0, 0.0]]), (2, "x", [0.9, 0.1], [[0.9, 0.1]]), (3, "x", [], []), (4, "x", None, None)]
+    df = spark.createDataFrame(rows, "id long, label string, embedding array<double>, vectors array<array<double>>")
+    for scorer in (DenseScorer(), MultiVectorScorer("vectors", "cos", "min")):
+        assert {(r["query_id"], r["corpus_id"]) for r in tiles.top_k(df, df, scorer, 5).collect()} == {(1, 2), (2, 1)}
+        best = tiles.best_positive(df, df, scorer).collect()
+        assert {(r["query_id"], r["corpus_id"]) for r in best} == {(1, 2), (2, 1)}
+        assert {(r["query_id"], r["rank"]) for r in ranking.first_relevant(df, df, scorer).collect()} == {(1, 1), (2, 1)}
+
+
 @pytest.mark.parametrize("bar_rows", [3, 4096])
 def test_full_ranking_metrics(items, bar_rows):
     order = ranking_by_hand(score_block(VECTORS, VECTORS, "cossim"))

@@ -60,13 +60,14 @@ def with_relevance(ranked: DataFrame, truth: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ranked lists
 
-def rank_results(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100, cells=None) -> DataFrame:
-    """Top k of every query under any scorer; see `tiles.top_k`."""
+def rank_results(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100, cells=None,
+                 exclude: DataFrame | None = None) -> DataFrame:
+    """Top k of every query under any scorer; see `tiles.top_k`. Excluded pairs still count in the softmax sums."""
     if isinstance(scorer, SoftmaxMeanScorer):
         cells = cells or tiles.grid_shape(queries, corpus, scorer)
         stats = tiles.softmax_stats(queries, corpus, scorer, cells)
         queries = queries.join(stats.withColumnRenamed("query_id", "id"), "id")
-    return tiles.top_k(queries, corpus, scorer, k, cells)
+    return tiles.top_k(queries, corpus, scorer, k, cells, exclude=exclude)
 
 
 def fusion_scorer(a, b, method: str = "mean"):
@@ -79,8 +80,9 @@ def fusion_scorer(a, b, method: str = "mean"):
 
 
 def first_relevant(queries: DataFrame, corpus: DataFrame, scorer, ranked: DataFrame | None = None,
-                   cells=None) -> DataFrame:
+                   cells=None, exclude: DataFrame | None = None) -> DataFrame:
     """Best-ranked relevant record on the full ranking: query_id, corpus_id, rank, score.
+    The pairs of `exclude` (query_id, corpus_id) take no place; a given ranked list must leave them out too.
 
     No full sort: the best positive comes from cells of whole labels, its rank is one more than the number
     of records scored before it. With a ranked list at hand (stored or checkpointed: it is read twice) only
@@ -94,12 +96,12 @@ def first_relevant(queries: DataFrame, corpus: DataFrame, scorer, ranked: DataFr
         if rest.limit(1).isEmpty():
             return near
         cells = cells or tiles.grid_shape(queries, corpus, scorer)
-        return near.unionByName(first_relevant(rest, corpus, scorer, None, cells))
+        return near.unionByName(first_relevant(rest, corpus, scorer, None, cells, exclude))
     cells = cells or tiles.grid_shape(queries, corpus, scorer)
-    best = tiles.best_positive(queries, corpus, scorer)
+    best = tiles.best_positive(queries, corpus, scorer, exclude=exclude)
     bars = best.select("query_id", F.lit(0).alias("part"), F.array("score").alias("bar_scores"),
                        F.array("corpus_id").alias("bar_ids"))
-    ahead = tiles.count_ahead(queries, corpus, scorer, bars, cells).select("query_id", "n_ahead")
+    ahead = tiles.count_ahead(queries, corpus, scorer, bars, cells, exclude).select("query_id", "n_ahead")
     return (best.join(ahead, "query_id")
             .select("query_id", "corpus_id", (F.col("n_ahead") + 1).cast("int").alias("rank"), "score"))
 
@@ -187,7 +189,7 @@ def full_ranking_metrics(queries: DataFrame, corpus: DataFrame, scorer, biased:
     bars = packed.select("query_id", "part", F.transform("bars", lambda b: b["score"]).alias("bar_scores"),
                          F.transform("bars", lambda b: b["corpus_id"]).alias("bar_ids"))
     ahead = tiles.count_ahead(queries, corpus, scorer, bars, cells)
-    total = corpus.count()
+    total = tiles.usable(corpus, scorer).count()
     place = F.col("part") * bar_rows + F.col("slot") + 1
     rank = F.col("n_ahead") + 1
     sums = ahead.groupBy("query_id").agg(

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from versionlake.functions.scorers import MultiVectorScorer, SoftmaxMeanScorer, split_redux
+from versionlake.functions.scorers import DenseScorer, MultiVectorScorer, SoftmaxMeanScorer, split_redux
 
 CELL_ROWS = 8192
 BLOCK_CELLS = 4_000_000
@@ -55,6 +55,14 @@ def grid_shape(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int = C
     return sides[0], sides[1]
 
 
+def usable(df: DataFrame, scorer) -> DataFrame:
+    """Rows that can be scored: a record whose vector, or list of vectors, is null or empty takes no part."""
+    for part in getattr(scorer, "parts", [scorer]):
+        if isinstance(part, (DenseScorer, MultiVectorScorer)):
+            df = df.where(F.size(part.column) > 0)
+    return df
+
+
 def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
     key = ["id", "seg"] if "seg" in df.columns else ["id"]
     return (df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(n_own)).cast("int"))
@@ -69,21 +77,37 @@ def _cogroup(q: DataFrame, c: DataFrame, keys: list[str], cells: int, run, schem
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _grid(queries, corpus, scorer, cells, run, schema, extra=()) -> DataFrame:
-    q = _items(queries, scorer.columns, extra + tuple(getattr(scorer, "q_columns", ())))
-    c = _items(corpus, scorer.columns, extra)
+def _with_skips(q: DataFrame, c: DataFrame, exclude: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Adds `skip` to placed query rows: the corpus ids of their cell that they must not meet.
+
+    `exclude` (query_id, corpus_id) is cut by cell, so an array never holds more than the corpus rows of one cell.
+    """
+    if exclude is None:
+        return q
+    # every corpus row has exactly one copy in the first grid row
+    places = c.where("gq = 0").select(F.col("id").alias("corpus_id"), *keys)
+    pairs = exclude.select(F.col("query_id").cast(q.schema["id"].dataType).alias("id"),
+                           F.col("corpus_id").cast(c.schema["id"].dataType).alias("corpus_id"))
+    skips = pairs.join(places, "corpus_id").groupBy("id", *keys).agg(F.collect_set("corpus_id").alias("skip"))
+    return q.join(skips, ["id", *keys], "left")
+
+
+def _grid(queries, corpus, scorer, cells, run, schema, extra=(), exclude=None) -> DataFrame:
+    q = usable(_items(queries, scorer.columns, extra + tuple(getattr(scorer, "q_columns", ()))), scorer)
+    c = usable(_items(corpus, scorer.columns, extra), scorer)
     gq, gc = cells or grid_shape(q, c, scorer)
-    return _cogroup(_spread(q, "gq", gq, "gc", gc), _spread(c, "gc", gc, "gq", gq),
-                    ["gq", "gc"], gq * gc, run, schema)
+    q, c = _spread(q, "gq", gq, "gc", gc), _spread(c, "gc", gc, "gq", gq)
+    return _cogroup(_with_skips(q, c, exclude, ["gc"]), c, ["gq", "gc"], gq * gc, run, schema)
 
 
-def _label_grid(queries, corpus, scorer, cell_rows, run, schema) -> DataFrame:
+def _label_grid(queries, corpus, scorer, cell_rows, run, schema, exclude=None) -> DataFrame:
     """Cells hold whole labels: many small ones together; a label above `cell_rows` gets a grid of its own.
 
     The list of such labels has at most rows / cell_rows entries; it grows with the table, so no broadcast is asked for.
     """
     q = _items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ()))).where("label is not null")
     c = _items(corpus, scorer.columns).where("label is not null")
+    q, c = usable(q, scorer), usable(c, scorer)
     n = _weighted_rows(c, scorer)
     cores = q.sparkSession.sparkContext.defaultParallelism
     buckets = max(2 * cores, math.ceil(n / cell_rows))
@@ -107,7 +131,8 @@ def _label_grid(queries, corpus, scorer, cell_rows, run, schema) -> DataFrame:
                 .drop("sq", "sc"))
 
     keys = ["bucket", "hot", "gq", "gc"]
-    return _cogroup(place(q, "gq", "sq", "gc", "sc"), place(c, "gc", "sc", "gq", "sq"), keys, buckets, run, schema)
+    q, c = place(q, "gq", "sq", "gc", "sc"), place(c, "gc", "sc", "gq", "sq")
+    return _cogroup(_with_skips(q, c, exclude, ["bucket", "hot", "gc"]), c, keys, buckets, run, schema)
 
 
 # ---------------------------------------------------------------- one cell
@@ -124,6 +149,12 @@ class _Cell:
         self.c_ids = self.c["id"].combine_chunks()
         self.self_at = (pc.index_in(self.q["id"], value_set=self.c_ids)
                         .fill_null(-1).to_numpy().astype(np.int64))
+        self.skips = self.q["skip"].to_pylist() if "skip" in self.q.column_names else None
+        if self.skips is not None:
+            lists = self.q["skip"].combine_chunks()
+            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            self.skip_rows = np.repeat(np.arange(self.q.num_rows), lengths)
+            self.skip_cols = pc.index_in(lists.flatten(), value_set=self.c_ids).to_numpy(zero_copy_only=False)
         labels = pc.unique(self.c["label"])
         self.q_label = pc.index_in(self.q["label"], value_set=labels, skip_nulls=True).fill_null(-1).to_numpy()
         self.c_label = pc.index_in(self.c["label"], value_set=labels, skip_nulls=True).fill_null(-2).to_numpy()
@@ -143,6 +174,9 @@ class _Cell:
             if drop_self:
                 rows = np.flatnonzero(self.self_at[lo:hi] >= 0)
                 scores[rows, self.self_at[lo:hi][rows]] = -np.inf
+            if self.skips is not None:
+                here = (self.skip_rows >= lo) & (self.skip_rows < hi)
+                scores[self.skip_rows[here] - lo, self.skip_cols[here]] = -np.inf
             yield lo, hi, scores
             lo = hi
 
@@ -190,16 +224,18 @@ def rank_window(scored: DataFrame, k: int | None, descending: bool = True) -> Da
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100,
-          cells: tuple[int, int] | None = None, max_vectors: int = 4096) -> DataFrame:
+          cells: tuple[int, int] | None = None, max_vectors: int = 4096,
+          exclude: DataFrame | None = None) -> DataFrame:
     """The k best corpus records of every query: query_id, corpus_id, score, rank, relevant.
 
-    A record is never its own result. `relevant` is 1 for an equal non-null label. A record with more than
+    A record is never its own result, nor are the pairs of `exclude` (query_id, corpus_id); the next records
+    move up. `relevant` is 1 for an equal non-null label. A record with more than
     `max_vectors` vectors is cut into pieces that go to different cells; its pairs are then finished from
     per-piece partial values, so one huge record is neither one task's burden nor left out.
     """
     schema = (f"query_id {_id_type(queries)}, corpus_id {_id_type(corpus)}, score double, relevant int")
     if isinstance(scorer, MultiVectorScorer):
-        return _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors)
+        return _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors, exclude)
 
     def run(key, q, c):
         out = []
@@ -211,7 +247,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100,
                                        relevant=pa.array(cell.relevant(rows + lo, cols), pa.int32())))
         return _concat(out, _pair_schema(q, c))
 
-    return _ordered(rank_window(_grid(queries, corpus, scorer, cells, run, schema), k))
+    return _ordered(rank_window(_grid(queries, corpus, scorer, cells, run, schema, exclude=exclude), k))
 
 
 def _pair_schema(q: pa.Table, c: pa.Table) -> pa.Schema:
@@ -259,7 +295,7 @@ def _piece_values(d: np.ndarray, redux: str, row0: int, col0: int):
     return rows + row0, cols + col0, d.ravel()[at], np.ones(len(at), int)
 
 
-def _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors) -> DataFrame:
+def _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors, exclude=None) -> DataFrame:
     similarity = scorer.mode in ("cosine", "cossim", "dotsim")
     sign = 1.0 if similarity else -1.0
     mirrored = split_redux(scorer.redux)[0][:1] == "s"
@@ -294,8 +330,9 @@ def _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors) -> DataFrame:
                 for r in range(lo, hi):
                     top = cell.qs[2][r] - cell.qs[2][lo]
                     block = d[top:top + cell.qs[1][r]]
+                    skip = set(cell.skips[r] or ()) if cell.skips is not None else ()
                     for j in np.flatnonzero(c_cut | q_cut[r]):
-                        if same[r] == c_names[j]:
+                        if same[r] == c_names[j] or c_names[j] in skip:
                             continue
                         part = block[:, cell.cs[2][j]:cell.cs[2][j + 1]]
                         at = (int(q_seg[r]) * max_vectors, int(c_seg[j]) * max_vectors)
@@ -313,7 +350,7 @@ def _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors) -> DataFrame:
 
     q = _pieces(queries, scorer.column, max_vectors)
     c = _pieces(corpus, scorer.column, max_vectors)
-    scored = _grid(q, c, scorer, cells, run, schema, extra=("seg", "segs"))
+    scored = _grid(q, c, scorer, cells, run, schema, extra=("seg", "segs"), exclude=exclude)
     if not _has_cut(queries, corpus, scorer.column, max_vectors):
         return _ordered(rank_window(scored.select("query_id", "corpus_id", "score", "relevant"), k))
     whole = scored.where("side = -1").select("query_id", "corpus_id", "score", "relevant")
@@ -372,8 +409,9 @@ def reduce_parts(parts: DataFrame, redux: str, keys: list[str]) -> DataFrame:
     raise ValueError(f"reduction not available on an exploded relation: {redux}")
 
 
-def best_positive(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Best-scored record with the label of the query (not itself): query_id, corpus_id, score."""
+def best_positive(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int = CELL_ROWS,
+                  exclude: DataFrame | None = None) -> DataFrame:
+    """Best-scored record with the label of the query (not itself, not excluded): query_id, corpus_id, score."""
     schema = f"query_id {_id_type(queries)}, corpus_id {_id_type(corpus)}, score double"
 
     def run(key, q, c):
@@ -386,7 +424,7 @@ def best_positive(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int
                 out.append(_pair_table(cell, rows + lo, cols, values))
         return _concat(out, pa.schema(list(_pair_schema(q, c))[:3]))
 
-    found = _label_grid(queries, corpus, scorer, cell_rows, run, schema)
+    found = _label_grid(queries, corpus, scorer, cell_rows, run, schema, exclude)
     return (found.groupBy("query_id")
             .agg(F.min(F.struct((-F.col("score")).alias("minus"), "corpus_id")).alias("best"))
             .select("query_id", F.col("best.corpus_id").alias("corpus_id"),
@@ -414,11 +452,12 @@ def positives(queries: DataFrame, corpus: DataFrame, scorer, floor: float | None
 
 
 def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
-                cells: tuple[int, int] | None = None) -> DataFrame:
+                cells: tuple[int, int] | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """For each bar of a query, how many corpus records rank before it.
 
-    `bars`: query_id, part, bar_scores ARRAY<DOUBLE>, bar_ids, in ranking order (score down, id up).
-    Output: query_id, part, slot (0-based place in the arrays), n_ahead. Self is not counted.
+    `bars`: query_id, part, bar_scores ARRAY<DOUBLE>, bar_ids, in ranking order (score down, id up), none of them
+    excluded. Output: query_id, part, slot (0-based place in the arrays), n_ahead. Neither self nor excluded
+    pairs are counted.
     """
     schema = f"query_id {_id_type(queries)}, part int, ahead array<bigint>"
     with_bars = (_items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ())))
@@ -454,7 +493,7 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
         return pa.table({"query_id": q["id"].take(picked), "part": q["part"].take(picked),
                          "ahead": pa.ListArray.from_arrays(pa.array(sizes), flat)})
 
-    counted = _grid(with_bars, corpus, scorer, cells, run, schema, extra=extra)
+    counted = _grid(with_bars, corpus, scorer, cells, run, schema, extra=extra, exclude=exclude)
     # counts are added as integers, slot by slot: a floating-point mean of many cells would lose single ranks
     slots = counted.select("query_id", "part", F.posexplode("ahead").alias("slot", "n"))
     return slots.groupBy("query_id", "part", "slot").agg(F.sum("n").alias("n_ahead"))
