@@ -139,6 +139,19 @@ def test_training_chunks(spark):
     vocals = spark.createDataFrame([("m1", [(0.0, 3.0), (50.0, 60.0)], 0.8)], "md5_encoded string, vocal_segments array<struct<start:double,end:double>>, vocalness_score double")
     rows = datasets.training_chunks(meta, texts, vocals).orderBy("chunk_id").collect()
     assert [(r["start"], r["end"], r["transcription"]) for r in rows] == [(0.0, 8.0, "first part"), (45.0, 65.0, "second part")]
+    bare = datasets.training_chunks(meta.withColumn("deezer_id", F.lit(5)), texts, vocals.drop("vocalness_score"))
+    assert [(r["chunk_id"], r["deezer_id"], r["vocalness"]) for r in bare.orderBy("chunk_id").collect()] == [
+        (r["chunk_id"], 5, None) for r in rows]
+
+
+def test_literals_keep_marks_in_strings(spark):
+    values = [["it's (ok)", "a,]", 'say "hi"'], ["both ' and \"", "back\\slash", "\x85", "None True"], [], ["tab\t", "é"]]
+    df = spark.createDataFrame([(i, repr(v)) for i, v in enumerate(values)] + [(9, None), (10, "['open")], "i int, cell string")
+    got = {r["i"]: r["v"] for r in df.select("i", readers.parse_literal(F.col("cell"), "array<string>").alias("v")).collect()}
+    assert got == {**dict(enumerate(values)), 9: None, 10: None}
+    mixed = spark.createDataFrame([("[{'a': 'x', 'b': None, 'c': True}, {'a': \"it's\", 'b': 2.5, 'c': False,}]",)], "cell string")
+    rows = mixed.select(readers.parse_literal(F.col("cell"), "array<struct<a string, b double, c boolean>>").alias("v")).first()["v"]
+    assert [tuple(r) for r in rows] == [("x", None, True), ("it's", 2.5, False)]
 
 
 def test_readers_and_writers(spark, tmp_path):

@@ -89,6 +89,10 @@ def test_bleu_and_rouge(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == 0.0 and got[3] == pytest.approx(2.718281828 ** (1 - 8 / 5))
     rouge = {r["k"]: r["v"] for r in df.select("k", X.rouge_l(F.col("c"), F.col("r")).alias("v")).collect()}
     assert rouge[1] == 1.0 and rouge[2] == pytest.approx(2 * 3 / 11)
+    plural = df.where("k = 1").select(F.transform("c", lambda t: F.concat(t, F.lit("s"))).alias("c"), "r")
+    stem = plural.select(X.rouge_l(F.col("c"), F.col("r")).alias("plain"),
+                         X.rouge_l(F.col("c"), F.col("r"), lambda t: F.regexp_replace(t, "s+$", "")).alias("v")).first()
+    assert stem["plain"] == 0.0 and stem["v"] == 1.0
 
 
 def test_correlation_p_value():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -185,8 +185,11 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.try_divide(edit_udf(ref, hyp), F.size(ref))
 
 
-def rouge_l(candidate: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of two token arrays; 0 without overlap."""
+def rouge_l(candidate: Column, reference: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    """F1 of the longest common subsequence of two token arrays; 0 without overlap. `stem` makes the column
+    expression of a token's stem; without it tokens are compared as they are."""
+    if stem is not None:
+        candidate, reference = F.transform(candidate, stem), F.transform(reference, stem)
     common = lcs_udf(candidate, reference)
     total = F.size(candidate) + F.size(reference)
     return F.when(total > 0, 2.0 * common / total).otherwise(F.lit(0.0))

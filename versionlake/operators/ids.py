@@ -51,8 +51,10 @@ def normalize_transcripts(df: DataFrame) -> DataFrame:
 
 
 def normalize_vocals(df: DataFrame) -> DataFrame:
-    return require_columns(_rename(with_md5(df), VOCAL_ALIASES), ["segments", "vocalness"]).select(
-        "md5_encoded", "segments", "vocalness")
+    """md5_encoded, segments, vocalness; a table without vocalness gets NULL there."""
+    named = require_columns(_rename(with_md5(df), VOCAL_ALIASES), ["segments"])
+    vocalness = F.col("vocalness") if "vocalness" in named.columns else F.lit(None).cast("double").alias("vocalness")
+    return named.select("md5_encoded", "segments", vocalness)
 
 
 def chunk_uid(version_id: Column, chunk_id: Column, only_prefixed: bool = False) -> Column:

@@ -11,7 +11,7 @@ from versionlake.operators import ids, segments, transcripts
 def training_chunks(metadata: DataFrame, transcript_table: DataFrame, vocal_table: DataFrame,
                     pad_mode: str = "half") -> DataFrame:
     """One row a chunk with its text: version_id, clique_id, md5_encoded, chunk_id, start, end, duration,
-    vocalness, transcription.
+    vocalness, transcription, and deezer_id where the metadata has it. Without a vocalness in `vocal_table` it is NULL.
 
     `vocal_table` holds segments ARRAY<STRUCT<start, end, ..>> and the recording's vocalness; the transcript
     is the joined text, cut at blank lines and aligned with the chunks.
@@ -23,7 +23,8 @@ def training_chunks(metadata: DataFrame, transcript_table: DataFrame, vocal_tabl
     chunks = segments.pad_merge_slice(spans, "version_id", pad_mode=pad_mode)
     pieces = joined.select("version_id", X.split_pieces(F.col("transcription_vocal")).alias("pieces"))
     aligned = segments.align_pieces(chunks, pieces, "version_id")
-    return aligned.join(joined.select("version_id", "clique_id", "md5_encoded", "vocalness"), "version_id")
+    names = ["version_id", "clique_id", "md5_encoded", *[c for c in ("deezer_id",) if c in metadata.columns], "vocalness"]
+    return aligned.join(joined.select(*names), "version_id")
 
 
 def transcribed_tracks(chunks: DataFrame, tracks: DataFrame, done: DataFrame | None = None,

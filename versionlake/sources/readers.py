@@ -68,14 +68,30 @@ def import_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, EMBEDDING_SCHEMA)
 
 
+#: A quoted string, or what stands between strings.
+LITERAL_PIECE = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]+"""
+
+
 def parse_literal(cell: Column, schema: str) -> Column:
     """A Python list literal of tuples, lists, dicts or strings as `schema`; NULL if it does not parse.
 
     Tuples of a struct schema are read as JSON arrays and turned into the struct by position.
     """
-    text = F.translate(cell, "()'", '[]"')
-    text = F.regexp_replace(F.regexp_replace(text, "\\bTrue\\b", "true"), "\\bFalse\\b", "false")
-    text = F.regexp_replace(F.regexp_replace(text, "\\bNone\\b", "null"), ",\\s*\\]", "]")
+    def as_json(piece: Column) -> Column:
+        first = F.substring(piece, 1, 1)
+        inner = F.regexp_replace(F.substring(piece, F.lit(2), F.length(piece) - 2), "\\\\'", "'")
+        # a double quote inside single quotes stands bare or escaped
+        inner = F.when(first == "'", F.regexp_replace(inner, '\\\\?"', '\\\\\\"')).otherwise(inner)
+        inner = F.regexp_replace(inner, "\\\\x([0-9a-fA-F]{2})", "\\\\u00$1")
+        other = F.translate(piece, "()", "[]")
+        for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+            other = F.regexp_replace(other, f"\\b{python}\\b", json)
+        other = F.regexp_replace(other, ",\\s*([\\]}])", "$1")
+        return F.when(first.isin("'", '"'), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(other)
+
+    # strings are pieces of their own, so that marks inside them stay
+    pieces = F.regexp_extract_all(cell, F.lit(LITERAL_PIECE), F.lit(0))
+    text = F.array_join(F.transform(pieces, as_json), "")
     return F.from_json(text, schema)
 
 
