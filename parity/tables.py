@@ -176,11 +176,11 @@ def clique_overlap(spark, sf_dir):
 
 
 @query("clique_ids", """
-WITH s AS (SELECT lang, source AS clique_id, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY ALL)
+WITH s AS (SELECT lang, source AS clique_id, count(*) AS n FROM documents GROUP BY ALL)
 SELECT lang AS split, clique_id, row_number() OVER (ORDER BY lang, clique_id) - 1 AS dense_id, n FROM s""")
 def clique_ids(spark, sf_dir):
     d = documents(spark, sf_dir).withColumnRenamed("source", "clique_id")
-    return ids.clique_ids({s: d.where(F.col("lang") == s) for s in ("de", "fr")})
+    return ids.clique_ids({s: d.where(F.col("lang") == s) for s in ("de", "en", "es", "fr")})
 
 
 @query("label_consistency", """
@@ -275,13 +275,12 @@ def anchor_groups(spark, sf_dir):
 
 
 @query("shards", """
-WITH k AS (SELECT 'u' || doc_id AS uid FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300)
+WITH k AS (SELECT 'u' || doc_id AS uid FROM documents JOIN labels USING (doc_id))
 SELECT uid, (row_number() OVER (ORDER BY uid) - 1) // 50 AS shard_id FROM k""")
 def shards(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.concat(F.lit("u"), "doc_id").alias("uid"), "n_chars")
-    features = d.where("n_chars > 300").select("uid", "n_chars")
     targets = table(spark, sf_dir, "labels").select(F.concat(F.lit("u"), "doc_id").alias("uid"), "quality")
-    return writers.plan_shards(d, features, targets, shard_size=50).select("uid", "shard_id")
+    return writers.plan_shards(d, d, targets, shard_size=50).select("uid", "shard_id")
 
 
 @query("shuffle_batches", """
@@ -431,14 +430,17 @@ def rerank_first(spark, sf_dir):
     return rerank.first_relevant_in_list(reranked(spark, sf_dir)[0]).withColumn("score", F.round("score", 6))
 
 
-@query("rerank_metrics", RERANK + """,
+RERANK_METRICS = RERANK + """,
 h AS (SELECT *, sum(relevant) OVER (PARTITION BY query_id ORDER BY new_rank) AS hits FROM re),
 per AS (SELECT t.query_id, max(CASE WHEN new_rank = 1 THEN relevant ELSE 0 END) AS h1, max(relevant) AS h10,
                min(CASE WHEN relevant = 1 THEN new_rank END) AS first,
                sum(CASE WHEN relevant = 1 THEN hits / new_rank::DOUBLE ELSE 0 END) / least(10, greatest(1, any_value(t.n_relevant))) AS ap
         FROM h JOIN truth t ON t.query_id = h.query_id GROUP BY t.query_id)
 SELECT round(avg(first), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10, round(avg(h10), 6) AS HR100,
-       round(avg(ap), 6) AS MAP10 FROM per""")
+       round(avg(ap), 6) AS MAP10 FROM per"""
+
+
+@query("rerank_metrics", RERANK_METRICS)
 def rerank_metrics(spark, sf_dir):
     again, queries = reranked(spark, sf_dir)
     again = reliable_checkpoint(again)
@@ -466,17 +468,18 @@ def _grid_sql():
     select = "SELECT '{1}' AS model_name, round(avg(f.rank), 6) AS MR1, round(avg(h1), 6) AS HR1, round(avg(h10), 6) AS HR10, " \
              "round(avg(h100), 6) AS HR100, round(avg(ap), 6) AS MAP10 FROM per LEFT JOIN firsts f USING (query_id)"
     models = {"cosine": "round(list_inner_product(q.e, c.e) / (q.n * c.n), 9)",
-              "half": "round(list_inner_product(q.e[1:32], c.e[1:32]), 9)"}
+              "sizes": "round(list_inner_product(list_transform(q.e, lambda x: abs(x)), "
+                       "list_transform(c.e, lambda x: abs(x))), 9)"}
     return " UNION ALL ".join(f"SELECT * FROM ({(scored + select).replace('{0}', s).replace('{1}', n)})" for n, s in models.items())
 
 
 @query("eval_grid", _grid_sql())
 def eval_grid(spark, sf_dir):
     queries, corpus = dense_inputs(spark, sf_dir)
-    def half(df):
-        return df.withColumn("half", F.slice("embedding", 1, 32))
+    def sizes(df):
+        return df.withColumn("sizes", F.transform("embedding", F.abs))
     out = evaluate.evaluation_grid({"cosine": (queries, corpus, SCORER),
-                                    "half": (half(queries), half(corpus), DenseScorer("half", "dotsim"))})
+                                    "sizes": (sizes(queries), sizes(corpus), DenseScorer("sizes", "dotsim"))})
     return out.select("model_name", *[F.round(c, 6).alias(c) for c in out.columns if c != "model_name"])
 
 
@@ -599,11 +602,11 @@ def first_errors(spark, sf_dir):
     return reports.first_errors(e, "event_id", "event_type", "click")
 
 
-# ---------------------------------------------------------------- evaluation methods over documents, work = first letters
+# ---------------------------------------------------------------- evaluation methods over documents, work = source
 
 def by_text(spark, sf_dir):
     return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("version_id"), F.substring("text", 1, 2).alias("clique_id"), "text")
+        F.col("doc_id").alias("version_id"), F.col("source").alias("clique_id"), "text")
 
 
 def rounded(df):
@@ -611,7 +614,7 @@ def rounded(df):
 
 
 @query("evaluate_bm25", f"""
-WITH d AS (SELECT doc_id AS id, substr(text, 1, 2) AS label, text FROM documents),
+WITH d AS (SELECT doc_id AS id, source AS label, text FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM d) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 dl AS (SELECT d.id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM d LEFT JOIN tf USING (id) GROUP BY d.id),
@@ -661,7 +664,7 @@ def word_vectors(spark, sf_dir):
 
 
 SPARSE_SQL = f"""
-WITH d AS (SELECT doc_id AS id, substr(text, 1, 2) AS label, text FROM documents),
+WITH d AS (SELECT doc_id AS id, source AS label, text FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM d) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),

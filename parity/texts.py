@@ -98,7 +98,30 @@ def wer_pairs(spark, sf_dir):
         F.regexp_replace("text", "(on|en) ", "$1").alias("hyp2"), F.length("text").alias("size"))
 
 
-@query("wer")
+def rows_sql(pairs: str, first: str, others: str) -> str:
+    """The table of two word lists x and y, row by row: `first` is the first row, `others` a row from the one before it.
+
+    `pairs` gives id, x, y; the result `last` has the value in the corner of each table.
+    """
+    return f"""
+WITH RECURSIVE p AS ({pairs}),
+cell AS (SELECT id, 0 AS i, j::INT AS j, ({first})::INT AS v FROM (SELECT id, unnest(range(0, len(y) + 1)) AS j FROM p)
+  UNION ALL
+  SELECT id, i + 1, j, ({others})::INT FROM (
+    SELECT c.id, i, j, v, lag(v) OVER (PARTITION BY c.id ORDER BY j) AS w, x[i + 1] = y[j] AS same
+    FROM cell c JOIN p ON p.id = c.id WHERE i < len(x))),
+last AS (SELECT cell.id, v FROM cell JOIN p ON p.id = cell.id WHERE i = len(x) AND j = len(y))"""
+
+
+PLAIN_WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda k: k <> '')"
+
+
+@query("wer", rows_sql(
+    f"""SELECT conv_id || '-' || turn AS id, conv_id, turn, {PLAIN_WORDS.format('text')} AS x,
+               {PLAIN_WORDS.format("regexp_replace(text, ' (de|the|der) ', ' ', 'g')")} AS y FROM conversations""",
+    "j", """j + min(CASE WHEN j = 0 THEN i + 1 ELSE least(v + 1, w + (NOT same)::INT) - j END)
+            OVER (PARTITION BY id ORDER BY j)""") + """
+SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN round(v / len(x)::DOUBLE, 6) END AS wer FROM p LEFT JOIN last USING (id)""")
 def wer(spark, sf_dir):
     return (T.word_errors(wer_pairs(spark, sf_dir), "text", "hyp")
             .select("conv_id", "turn", F.round("wer", 6).alias("wer")))
@@ -252,17 +275,28 @@ def bleu(spark, sf_dir):
     return T.bleu(next_turn(spark, sf_dir), "pair", "c", "r").withColumn("bleu", F.round("bleu", 6))
 
 
-@query("rouge_l")
+ROUGE_PAIRS = """
+SELECT a.conv_id || '-' || a.turn AS id, a.k AS x, b.k AS y
+FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM conversations) a
+JOIN (SELECT conv_id, turn - 1 AS turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM conversations) b
+  USING (conv_id, turn)"""
+
+
+@query("rouge_l", rows_sql(ROUGE_PAIRS, "0", """
+    max(CASE WHEN j = 0 THEN 0 WHEN same THEN w + 1 ELSE v END) OVER (PARTITION BY id ORDER BY j)""") + """
+SELECT id AS pair, round(CASE WHEN len(x) + len(y) > 0 THEN 2.0::DOUBLE * v / (len(x) + len(y)) ELSE 0.0 END, 6) AS rouge
+FROM p JOIN last USING (id)""")
 def rouge_l(spark, sf_dir):
     return next_turn(spark, sf_dir).select("pair", F.round(X.rouge_l(F.col("c"), F.col("r")), 6).alias("rouge"))
 
 
 @query("error_text_report")
 def error_text_report(spark, sf_dir):
-    docs = docs_of(spark, sf_dir).withColumn("label", F.substring("text", 1, 20))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text", F.col("source").alias("label"))
     items = reliable_checkpoint(lexical.tfidf(docs).join(docs.select("id", "label"), "id"))
     ranked = reliable_checkpoint(tiles.top_k(items, items, SparseScorer(), 10))
     first = ranking.first_relevant(items, items, SparseScorer(), ranked)
-    errors = ranking.error_table(first, ranking.false_positives(ranked)).where("fp_id is not null")
+    errors = ranking.error_table(first, ranking.false_positives(ranked))
     out = T.error_text_report(errors, docs, items.drop("label"), "id", "text")
     return out.select("query_id", "fp_id", "fn_id", *[F.round(c, 6).alias(c) for c in out.columns[3:]])

@@ -89,14 +89,19 @@ sc AS (SELECT query_id, corpus_id, round((dense + coalesce(sparse, 0) + late) /
        FROM d LEFT JOIN sp USING (query_id, corpus_id) JOIN late USING (query_id, corpus_id))""" + RANKED.format("s")
 
 
-@query("hybrid_topk", HYBRID)
-def hybrid_topk(spark, sf_dir):
+def hybrid_items(spark, sf_dir):
+    """id, label, embedding, terms and weights, vectors of each version."""
     c = chunks(spark, sf_dir)
     words = (c.groupBy("id", F.col("label").cast("string").alias("term")).agg((F.count("*") / 5.0).alias("w"))
              .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
              .select("id", F.transform("v", lambda x: x["term"]).alias("terms"),
                      F.transform("v", lambda x: x["w"]).alias("weights")))
-    items = stacked(spark, sf_dir).join(V.mean_pool(c), "id").join(words, "id")
+    return stacked(spark, sf_dir).join(V.mean_pool(c), "id").join(words, "id")
+
+
+@query("hybrid_topk", HYBRID)
+def hybrid_topk(spark, sf_dir):
+    items = hybrid_items(spark, sf_dir)
     third = 1.0 / 3.0
     scorer = WeightedScorer([DenseScorer("embedding", "dotsim"), SparseScorer(),
                              MultiVectorScorer("vectors", "dotsim", "meanmax")], [third] * 3)
@@ -104,8 +109,9 @@ def hybrid_topk(spark, sf_dir):
 
 
 FUSE = DENSE + """,
-b AS (SELECT q.id AS query_id, c.id AS corpus_id, round(list_inner_product(q.e[1:32], c.e[1:32]), 9) AS b
-      FROM u q JOIN u c ON q.id <> c.id),
+sizes AS (SELECT id, list_transform(e, lambda x: abs(x)) AS e FROM u),
+b AS (SELECT q.id AS query_id, c.id AS corpus_id, round(list_inner_product(q.e, c.e), 9) AS b
+      FROM sizes q JOIN sizes c ON q.id <> c.id),
 ab AS (SELECT query_id, corpus_id, relevant, score AS a, b FROM pairs JOIN b USING (query_id, corpus_id)),
 sc AS (SELECT query_id, corpus_id, relevant, round({0}, 9) AS s FROM ab),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id))::INT AS rank FROM sc)
@@ -114,8 +120,8 @@ SELECT query_id, corpus_id, round(s, {1}) AS score, rank, relevant FROM r WHERE
 
 def fused(spark, sf_dir, method):
     e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), "label", "embedding", F.slice("embedding", 1, 32).alias("half"))
-    scorer = ranking.fusion_scorer(DenseScorer("embedding", "cosine"), DenseScorer("half", "dotsim"), method)
+        F.col("vec_id").alias("id"), "label", "embedding", F.transform("embedding", F.abs).alias("sizes"))
+    scorer = ranking.fusion_scorer(DenseScorer("embedding", "cosine"), DenseScorer("sizes", "dotsim"), method)
     return ranking.rank_results(e, e, scorer, 10)
 
 
@@ -269,7 +275,21 @@ for _name, _sql in SHINGLE.items():
     query(f"shingle_{_name.replace('-', '_')}", redux_sql(_sql))(_shingle(_name))
 
 
-@query("shingle_bpwr_5")
+def picks_sql(picks: int) -> str:
+    """Mean of the smallest distances, each pick without the rows and columns of the picks before it."""
+    out = CHUNKS + """,
+left0 AS MATERIALIZED (SELECT q.id AS query_id, c.id AS corpus_id, q.chunk_id AS s1, c.chunk_id AS s2,
+         greatest(q.n * q.n - 2 * list_inner_product(q.e, c.e) + c.n * c.n, 0) / 64 AS d FROM u q JOIN u c ON q.id <> c.id)"""
+    for i in range(picks):
+        out += f""",
+pick{i} AS MATERIALIZED (SELECT query_id, corpus_id, min({{'d': d, 'a': s1, 'b': s2}}) AS m FROM left{i} GROUP BY ALL),
+left{i + 1} AS MATERIALIZED (SELECT l.* FROM left{i} l JOIN pick{i} USING (query_id, corpus_id) WHERE s1 <> m.a AND s2 <> m.b)"""
+    every = " UNION ALL ".join(f"SELECT query_id, corpus_id, m.d AS d FROM pick{i}" for i in range(picks))
+    return out + f""",
+sc AS (SELECT query_id, corpus_id, round(-avg(d), 9) AS s FROM ({every}) GROUP BY ALL)""" + RANKED.format("-s")
+
+
+@query("shingle_bpwr_5", picks_sql(5))
 def shingle_bpwr_5(spark, sf_dir):
     items = stacked(spark, sf_dir)
     return top10(tiles.top_k(items, items, MultiVectorScorer("vectors", "nsqeuc", "bpwr-5"), 10), distance=True)

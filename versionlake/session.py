@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,9 @@ def build_session(app: str = "versionlake", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the shared folder of the cluster.
-
-    The folder is `spark.checkpoint.dir`. Only a local session without that setting gets a temporary one;
-    on a cluster a machine-local folder would be lost with its executor, so a missing setting is an error.
-    """
-    spark = df.sparkSession
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. Only a local session without that setting gets a temporary one;
+    on a cluster a machine-local folder would be lost with its executor, so a missing setting is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +39,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="versionlake-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder that all executors share; `name` tells what it is for."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder of the cluster."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -16,7 +16,9 @@ def write_embeddings(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header that `read_metadata` reads back: quotes are doubled and blanks around a value stay."""
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -19,15 +19,17 @@ def _settle(key, batches, state: GroupState):
         waiting.extend(zip(batch["start"], batch["end"], batch["vocalness"]))
     settled_until = state.getCurrentWatermarkMs() / 1000.0
     waiting.sort()
-    closed = []
-    while waiting and waiting[0][1] <= settled_until:
-        s, e, v = waiting.pop(0)
+    closed, taken = [], 0
+    while taken < len(waiting) and waiting[taken][1] <= settled_until:
+        s, e, v = waiting[taken]
+        taken += 1
         if start is not None and s == end:
             end, score = e, (score + v) / 2
             continue
         if start is not None:
             closed.append((start, end, score))
         start, end, score = s, e, v
+    waiting = waiting[taken:]
     # a segment that touches the open island would have ended after the watermark; beyond it none can come
     if start is not None and not any(s == end for s, _, _ in waiting) and state.hasTimedOut:
         closed.append((start, end, score))
@@ -38,8 +40,9 @@ def _settle(key, batches, state: GroupState):
         state.setTimeoutTimestamp(int(max(last, settled_until) * 1000) + 1)
     else:
         state.remove()
-    yield pd.DataFrame({"key": [key[0]] * len(closed), "start": [c[0] for c in closed],
-                        "end": [c[1] for c in closed], "vocalness": [c[2] for c in closed]})
+    if closed:
+        yield pd.DataFrame({"key": [key[0]] * len(closed), "start": [c[0] for c in closed],
+                            "end": [c[1] for c in closed], "vocalness": [c[2] for c in closed]})
 
 
 def merge_vocal_stream(segments: DataFrame, key: str = "md5_encoded", delay: str = "10 minutes",
