@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import query, table, text_of
 
@@ -209,7 +209,7 @@ def score_texts(docs: DataFrame, models: list, text_col: str = "text") -> DataFr
             kept = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*kept, "__score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double"
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
