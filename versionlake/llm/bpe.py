@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import query, table, text_of
 
-#: Words remembered by a task; when full, the memory starts anew. Bounds memory only.
-CACHE_WORDS = 100_000
+#: Words of each of the two generations that a task remembers. Bounds memory only.
+CACHE_WORDS = 60_000
 _NO_RANK = np.int64(1) << 60
 
 
@@ -32,9 +33,6 @@ class WordBpe:
         names = sorted(self.special, key=lambda s: (-len(s), s))
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
-        for token, number in [*vocab.items(), *self.special.items()]:
-            self.tokens[number] = token
         # printable stand-ins of the 256 bytes: printable Latin-1 is itself, the others follow from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -47,7 +45,8 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of neighbouring symbols by binary search over the sorted pair keys."""
@@ -126,23 +125,36 @@ class WordBpe:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; words unknown to the task are merged together in one flat array."""
+        """Packed ids of each text; words unknown to the task are merged together in one flat array.
+
+        Words in use pass from the older generation of the memory to the recent one, so that common words are never
+        merged again when a generation is full.
+        """
         split = [self.pieces(t) for t in texts]
-        cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for words in split for w in words}
+        if len(self.recent) > CACHE_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = set(chain.from_iterable(split)).difference(recent)
+        again = new.intersection(older)
+        recent.update((w, older[w]) for w in again)
+        new -= again
         marked = {w for w in new if w.startswith("\0\0") and w[2:] in self.special}
         plain = list(new - marked)
         if plain:
-            cache.update(zip(plain, self.merge(plain)))
+            recent.update(zip(plain, self.merge(plain)))
         for w in marked:
-            cache[w] = int(self.special[w[2:]]).to_bytes(4, "little")
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            recent[w] = int(self.special[w[2:]]).to_bytes(4, "little")
+        return [b"".join(map(recent.__getitem__, words)) for words in split]
+
 
-    def decode(self, packed: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+def token_texts(spec: str) -> list[str]:
+    """Text of each id."""
+    data = json.loads(spec)
+    vocab = data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
+    tokens = [""] * (max(vocab.values()) + 1)
+    for token, number in vocab.items():
+        tokens[number] = token
+    return tokens
 
 
 def _texts_in_steps(column, step: int = 1000, most: int = 2 << 20):
@@ -185,13 +197,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the decoded text: tokens joined by a space, special tokens included; no ids give the empty text."""
     with open(vocabulary, encoding="utf-8") as file:
-        spec = encoded.sparkSession.sparkContext.broadcast(file.read())
+        spec = encoded.sparkSession.sparkContext.broadcast(token_texts(file.read()))
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
-        model = WordBpe(spec.value)
+        text_of_id = spec.value.__getitem__
         for batch in batches:
-            texts = pa.array([model.decode(v.as_py() or b"") for v in batch.column(ids_col)], pa.string())
+            texts = pa.array([" ".join(map(text_of_id, np.frombuffer(v.as_py() or b"", "<u4").tolist()))
+                              for v in batch.column(ids_col)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
