@@ -119,6 +119,16 @@ def test_urls(spark):
     assert urls.judge_urls(pages.where("page_id < 0")).count() == 0
 
 
+def test_hosts_with_few_judged_pages_are_seeds(spark):
+    rows = [(i, f"http://mixed.example.com/{'de' if i < 4 else 'fr'}/{i}", "") for i in range(10)]
+    rows += [(10, "http://near.com/", "<a href='http://mixed.example.com/de/1'>"), (11, "http://far.com/", "")]
+    rows += [(20 + i, f"http://some.org/{'fr' if i < 1 else 'it'}/{i}", "") for i in range(9)]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0]["distrust"] > got[10]["distrust"] > 0 and got[10]["verdict"] == "block"
+    assert got[28]["trust"] > 0 and got[28]["rule"] is None and got[28]["verdict"] == "allow"
+    assert (got[11]["trust"], got[11]["distrust"], got[11]["verdict"]) == (0.0, 0.0, "allow")
+
+
 def test_spread_equals_power_iteration(spark):
     rng = np.random.default_rng(1)
     names = [f"h{i}" for i in range(12)]

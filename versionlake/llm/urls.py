@@ -9,11 +9,10 @@ from .common import query, table, written
 # Rules (host/path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-#: Damping, most rounds, change at which rounds end, share of a host's pages that makes it a seed, bar of distrust.
+#: Damping, most rounds, change at which rounds end, bar of distrust.
 DAMPING = 0.85
 ROUNDS = 20
 CHANGE = 1e-6
-SEED_SHARE = 0.5
 BAR = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,11 +82,11 @@ def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-               html_col: str = "html", bar: float = BAR, seed_share: float = SEED_SHARE) -> DataFrame:
+               html_col: str = "html", bar: float = BAR) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), trust, distrust of every page.
 
-    A page that a rule fits gets the rule's verdict; the longest fitting rule counts. Hosts of which at least `seed_share`
-    of the pages are allowed (blocked) by rules are seeds of trust (distrust), weighted by those pages. Trust spreads
+    A page that a rule fits gets the rule's verdict; the longest fitting rule counts. Every host with
+    pages that rules allow (block) is a seed of trust (distrust), weighted by the number of those pages. Trust spreads
     along links between hosts, distrust against them; a page without a rule is blocked if distrust makes up more than
     `bar` of its host's trust and distrust, and allowed otherwise, also without either. Null URLs and URLs without :// have
     empty host and path, fit no rule, link to nothing and are allowed. Null pages hold no links. Rows are independent
@@ -102,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
         rule_verdict = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(rule_verdict)
     rows = rows.withColumn("by_rule", rule_verdict)
     known = rows.where("host <> ''").groupBy("host").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"),
+        F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     links = pages.select(host_of(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("to"))
@@ -112,8 +111,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
              .where("src <> '' AND dst <> '' AND src <> dst").distinct())
     edges = written(edges)
     hosts = known.join(edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct(), "host", "full").select(
-        "host", F.when(F.col("good") >= seed_share * F.col("n"), F.col("good")).otherwise(0).alias("good"),
-        F.when(F.col("bad") >= seed_share * F.col("n"), F.col("bad")).otherwise(0).alias("bad"))
+        "host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
     hosts = written(hosts)
     sums = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = hosts.select("host", (F.col("good") / F.lit(float(sums["good"] or 1))).alias("trust_seed"),
