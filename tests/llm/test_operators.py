@@ -102,6 +102,33 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def notice(name, version, end=", or (at your option) any later version."):
+    return (f"# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {name} Public"
+            f" License as published by\n# the Free Software Foundation, {'either ' if end != '.' else ''}version {version} of the License{end}")
+
+
+def test_license_notices_and_variants(spark):
+    opening = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+               " following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list"
+               " of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright"
+               " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+               " with the distribution.\n")
+    advert = ("3. All advertising materials mentioning features or use of this software must display the following"
+              " acknowledgement: This product includes software developed by the University of Nowhere.\n")
+    endorse = ("4. Neither the name of the University of Nowhere nor the names of its contributors may be used to endorse or"
+               " promote products derived from this software without specific prior written permission.\n")
+    end = ('THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,'
+           " BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+    texts = [notice("General", 2), notice("General", 3), notice("General", 3, "."), notice("Affero General", 3),
+             notice("Lesser General", "2.1"), notice("Lesser General", 3), opening + end, opening + endorse + end,
+             opening + advert + endorse + end, opening[:160], "Licensed under the GNU Affero General Public License, version 3",
+             "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>"]
+    want = [{"gpl-2.0"}, {"gpl-3.0"}, {"gpl-3.0"}, {"agpl", "agpl-3.0"}, {"lgpl", "lgpl-2.1"}, {"lgpl", "lgpl-3.0"},
+            {"bsd", "bsd-2-clause"}, {"bsd", "bsd-3-clause"}, {"bsd", "bsd-4-clause"}, {"bsd"}, {"agpl", "agpl-3.0"}, {"gpl-3.0"}]
+    got = {r["doc_id"]: set(r["labels"]) - {"gpl"} for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_urls(spark):
     rows = [(0, "http://A.Example.NET/en/x?q#f", "", 1), (1, "https://x.net", None, 1), (2, "http://example.com/de/", "", 1),
             (3, "HTTP://b.org/fr/1", "", 1), (4, None, "", 1), (5, "no scheme", "", 1), (6, "http://notnet/a", "", 1),
