@@ -182,6 +182,17 @@ def test_spread_equals_power_iteration(spark):
         assert got[n] == (pytest.approx(trust[i]), pytest.approx(distrust[i]))
 
 
+def test_spread_reaches_hosts_far_from_a_seed(spark):
+    n = 24
+    nodes = spark.createDataFrame([(f"h{i}", 0.0, float(i == n)) for i in range(n + 1)],
+                                  "host string, trust_seed double, distrust_seed double")
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(n)], "src string, dst string")
+    got = {r["host"]: r["distrust"] for r in urls.spread(nodes, edges, change=0.02).collect()}
+    # what the first host passes back to the seed makes the whole sum to 1
+    want = [0.85 ** (n - i) / sum(0.85 ** k for k in range(n + 1)) for i in range(n + 1)]
+    assert got["h0"] > 0 and all(abs(got[f"h{i}"] - w) < 0.02 for i, w in enumerate(want))
+
+
 def luhn(d):
     s = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(d))]
     return sum(x - 9 * (x > 9) for x in s) % 10 == 0

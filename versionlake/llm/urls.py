@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import query, table, written
@@ -9,9 +11,8 @@ from .common import query, table, written
 # Rules (host/path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-#: Damping, most rounds, change at which rounds end, bar of distrust.
+#: Damping, change at which rounds end, bar of distrust.
 DAMPING = 0.85
-ROUNDS = 20
 CHANGE = 1e-6
 BAR = 0.5
 
@@ -40,13 +41,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
-def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
            change: float = CHANGE) -> DataFrame:
     """Personalised PageRank of trust along links and of distrust against them: host, trust, distrust.
 
     `nodes`: host, trust_seed, distrust_seed (each column sums to 1 or 0); `edges`: distinct src, dst. Mass of hosts
     without a link on goes back to the seeds. Values are cut off from their history by a written table each round; the
-    driver sees two sums and a change. Rounds end when no value moves by more than `change` in sum.
+    driver sees two sums and a change. Rounds end when the values move by less than `change` in sum, or after `rounds` if
+    given. The change falls at least by `damping` a round and is at most 4 in the first, so the number of rounds is
+    known; twice as many without an end are an error.
     """
     edges = written(edges)
     degrees = (edges.groupBy("src").agg(F.count("*").alias("n_out")).withColumnRenamed("src", "host")
@@ -56,7 +59,8 @@ def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
         F.col("distrust_seed").alias("distrust")))
     if edges.isEmpty():
         return now.select("host", "trust", "distrust")
-    for _ in range(rounds):
+    most = rounds if rounds is not None else 2 * math.ceil(math.log(min(1.0, change / 4)) / math.log(damping)) + 2
+    for _ in range(most):
         loose = now.agg(F.sum(F.when(F.col("n_out").isNull(), F.col("trust"))).alias("t"),
                         F.sum(F.when(F.col("n_in").isNull(), F.col("distrust"))).alias("d")).first()
         ahead = now.join(edges, now.host == edges.src).select(
@@ -78,6 +82,9 @@ def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
         now = new.drop("moved")
         if delta < change:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust still moves by {delta} after {most} rounds")
     return now.select("host", "trust", "distrust")
 
 
