@@ -376,3 +376,34 @@ def test_salvage():
         # junk before, a cut end
         found = list(warc.salvage(b"junk" + b"".join(parts)[:-20]))
         assert sum("fields" in f for f in found) == 5 and [f["gap_start"] for f in found if "reason" in f] == [0, 4 + starts[5]]
+
+
+def test_salvage_keeps_records_with_gzip_bodies_and_what_a_broken_member_gave():
+    import gzip
+
+    rng = np.random.default_rng(3)
+    bodies = [gzip.compress(rng.bytes(500)) if i % 2 else rng.bytes(3000) for i in range(8)]
+    records = [warc.record_bytes(i, "http://x", b, len(b), "D", None) for i, b in enumerate(bodies)]
+    names = [f"<urn:page:{i}>" for i in range(8)]
+
+    def read(data):
+        found = list(warc.salvage(data))
+        return ([f["fields"]["warc-record-id"] for f in found if "fields" in f],
+                [(f["gap_start"], f["gap_end"]) for f in found if "reason" in f])
+
+    plain = b"".join(records)
+    assert read(plain) == (names, [])
+    starts = np.cumsum([0, *map(len, records)]).tolist()
+    damaged = bytearray(plain)
+    damaged[starts[3] + 60] ^= 0xFF  # in the header of a record with a gzip body
+    damaged[starts[3] + len(records[3]) - 100] ^= 0xFF
+    assert read(bytes(damaged)) == (names[:3] + names[4:], [(starts[3], starts[4])])
+    for level in (0, 6):  # stored blocks hold version lines in the open
+        whole = gzip.compress(plain, level)
+        cut = whole[:-400]
+        kept, gaps = read(cut)
+        assert kept == names[:7] and gaps[0][0] == 0 and gaps[-1][1] == len(cut)
+        late = bytearray(whole)
+        late[-6] ^= 0xFF  # the check sum
+        assert read(bytes(late)) == (names, [(0, len(late))])
+        assert read(cut + records[0] + warc.members(records[1]))[0][:7] == names[:7]

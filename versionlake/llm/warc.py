@@ -135,29 +135,41 @@ def _plain(data: bytes, base: int, last: int) -> Iterator[dict]:
             after = following if following >= 0 else len(data)
             yield _gap(base + at, (base + after) if following >= 0 else last, str(error))
         else:
-            yield record | {"at": base + at}
+            yield record | {"at": base + at, "end": base + after}
         at = after
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive, and the gaps between: dicts with `fields` and `block`, or with gap_start, gap_end, reason.
 
-    Plain and gzip archives are read. A gzip member that fails (header, stream, check sum) is quarantined up to the next
-    place where a member decompresses whole, or a version line stands; so is a record in it that fails its checks.
+    Plain and gzip archives are read, records and members in any order. A plain record is as long as its header says,
+    whatever its block holds. After a failed check, all is quarantined up to the next place where a version line or a
+    member that begins with records stands. Of a gzip member that fails (header, stream, check sum), the records that did
+    decompress and pass their own checks are kept; the gap is the member up to that next place.
     """
     at = 0
     while at < len(data):
         if data.startswith(b"WARC/", at):
-            # plain bytes run up to the next gzip member, if one follows a record end
-            member = data.find(b"\r\n\r\n" + _MEMBER, at)
-            stop = member + 4 if member >= 0 else len(data)
-            yield from _plain(data[at:stop], at, stop)
-            at = stop
+            try:
+                record, after = _parse(data, at)
+            except ValueError as error:
+                after = _next_start(data, at + 1)
+                yield _gap(at, after, str(error))
+            else:
+                yield record | {"at": at, "end": after}
+            at = after
             continue
         try:
             text, after = _members_of_record(data, at)
         except ValueError as error:
-            after = _next_start(data, at + 1)
+            end = 0
+            text = _decompressed(data, at)[0]
+            for found in _plain(text, 0, len(text)):
+                if "fields" in found:
+                    end = found["end"]
+                    yield found | {"at": at}
+            # on from behind the last record kept, so that none is read twice
+            after = _next_start(data, _decompressed(data, at, end)[1] if end else at + 1)
             yield _gap(at, after, str(error))
         else:
             for found in _plain(text, 0, len(text)):
@@ -166,6 +178,26 @@ def salvage(data: bytes) -> Iterator[dict]:
         at = after
 
 
+def _decompressed(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """What a broken member gives before it fails, or up to `most` bytes of it, and the file place reached."""
+    stream, parts, size, step = zlib.decompressobj(31), [], 0, 4096
+    while at < len(data) and not stream.eof and (most is None or size < most):
+        before = stream.copy()
+        try:
+            out = stream.decompress(data[at:at + step])
+        except zlib.error:
+            out = None
+        if step > 1 and (out is None or most is not None and size + len(out) > most):
+            stream, step = before, 1
+            continue
+        if out is None:
+            break
+        parts.append(out)
+        size += len(out)
+        at = min(at + step, len(data))
+    return b"".join(parts), at
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     if not data.startswith(_MEMBER, at):
         raise ValueError("no gzip member")
@@ -196,16 +228,21 @@ def _members_of_record(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def _next_start(data: bytes, at: int) -> int:
-    """The next place where a version line stands or a whole gzip member begins; the end if there is none."""
+    """The next place where a version line stands or a member begins that holds one; the end if there is none.
+
+    A broken member counts if its first bytes are a version line.
+    """
     line = data.find(b"WARC/1.", at)
     line = len(data) if line < 0 else line
     member = data.find(_MEMBER, at, line + len(_MEMBER))
     while 0 <= member < line:
         try:
-            _inflate(data, member)
-            return member
+            if b"WARC/1." in _inflate(data, member)[0]:
+                return member
         except ValueError:
-            member = data.find(_MEMBER, member + 1, line + len(_MEMBER))
+            if _decompressed(data, member, 7)[0].startswith(b"WARC/1."):
+                return member
+        member = data.find(_MEMBER, member + 1, line + len(_MEMBER))
     return line
 
 
