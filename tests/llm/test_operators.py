@@ -250,6 +250,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, []), labels).count() == 0
 
 
+def test_toxic_words_of_a_long_tail_are_features():
+    rng = np.random.default_rng(6)
+    tail = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}qqx" for i in range(125)]  # no beginning in common
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    positive = [[*rng.choice(plain, 30), tail[i % 125]] for i in range(2000)]  # each tail word in 0.8 % of them
+    weights, bias = toxicity.train(positive, [list(rng.choice(plain, 30)) for _ in range(6000)], 0.3)
+    found = [sum(weights.get(f, 0.0) for f in toxicity.word_features(w)) + bias > 0 for w in tail]
+    assert sum(found) >= 120
+    fresh = [set(rng.choice(plain, 30)) for _ in range(200)]
+    assert sum(sum(weights.get(f, 0.0) for f in {f for w in t for f in toxicity.word_features(w)}) + bias > 0 for t in fresh) <= 10
+
+
 def components_by_hand(texts, words, percent):
     sets = {}
     for i, t in enumerate(texts):

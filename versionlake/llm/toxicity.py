@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import query, table, text_of
 
@@ -20,8 +20,8 @@ FEATURES = 4096
 ROUNDS = 400
 STEP = 0.05
 PREFIXES = (4, 5, 6)
-#: Share of the positives that a feature is in at least, and of its unlabelled texts that positives must explain.
-LEAST_SHARE = 0.01
+#: Positives that a feature is in at least, and the share of its unlabelled texts that positives must explain.
+LEAST = 3
 KNOWN_SHARE = 0.65
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,27 +44,28 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float,
     texts count as negative, corrected for the share `prior` of positives among them; when the corrected negative risk
     falls below zero, its gradient is turned round, so that it can't be fitted below what a negative class allows.
     Features are words and beginnings of words whose unlabelled texts are mostly explained by positives, as far as the
-    class prior tells; the most telling come first.
+    class prior tells; the most telling come first. A feature is in LEAST positives at least, and its z score exceeds
+    what the largest of so many features without a meaning would have.
     """
     def present(words: list[str]) -> set[str]:
         return {f for w in words for f in word_features(w)}
 
     n_pos, n_unl = len(positive), max(1, len(unlabelled))
-    least = max(3, round(LEAST_SHARE * n_pos))
     pos, unl = Counter(), Counter()
     for words in positive:
         pos.update(present(words))
-    pos = Counter({f: n for f, n in pos.items() if n >= least})
+    pos = Counter({f: n for f, n in pos.items() if n >= LEAST})
     for words in unlabelled:
         unl.update(present(words) & pos.keys())
-    scored = []
+    scored, chance = [], np.sqrt(2 * np.log(max(2, len(pos))))
     for name, n in pos.items():
         a, b = n / n_pos, unl[name] / n_unl
         # of its unlabelled texts, at least the share KNOWN_SHARE is what the class prior explains by positives
         if prior * a > KNOWN_SHARE * b:
             middle = (n + unl[name]) / (n_pos + n_unl)
             z = (a - b) / np.sqrt(middle * (1 - middle) * (1 / n_pos + 1 / n_unl) + 1e-12)
-            scored.append((-z, name))
+            if z > chance:
+                scored.append((-z, name))
     chosen = [name for _, name in sorted(scored)[:features]]
     place = {name: i for i, name in enumerate(chosen)}
     if not chosen:
@@ -133,9 +134,13 @@ def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def sample(kind, most: int) -> DataFrame:
         return kind.select("id", F.xxhash64("id").alias("place")).orderBy("place", "id").limit(most)
 
-    # every classifier sees the same positives and its own part of the unlabelled rows
-    all_members = F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1)))
-    picked = sample(ids.where("positive"), POSITIVES).select("id", F.lit(True).alias("positive"), all_members.alias("member"))
+    # every classifier gets its own part of the rows; of positives, parts of POSITIVES that overlap where there are too few
+    found = sample(ids.where("positive"), POSITIVES * MEMBERS).withColumn(
+        "rank", F.row_number().over(Window.orderBy("place", "id")) - 1)
+    n = ids.where("positive").limit(POSITIVES * MEMBERS).count()
+    starts = F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1)))
+    picked = found.select("id", F.lit(True).alias("positive"), "rank", starts.alias("member")).where(
+        F.pmod(F.col("rank") - F.floor(F.col("member") * n / MEMBERS), F.lit(max(1, n))) < POSITIVES).drop("rank")
     picked = picked.unionByName(sample(ids.where("positive IS NULL"), UNLABELLED * MEMBERS).select(
         "id", F.lit(False).alias("positive"), F.pmod("place", F.lit(MEMBERS)).cast("int").alias("member")))
     # at most (POSITIVES + UNLABELLED) * MEMBERS rows
