@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import versionlake
 
@@ -52,6 +52,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`df`, written in the order of key and `order`, with the place `at` of every row in it.
+
+    Rows are dealt by ranges, so a hot key lies in many tasks; a last random range column splits even rows that are
+    wholly equal. Written, as sampled range bounds may differ between two evaluations.
+    """
+    whole = [key, *order, "__any"]
+    dealt = df.withColumn("__any", F.rand(11)).repartitionByRange(*whole).sortWithinPartitions(*whole).drop("__any")
+    return written(dealt.withColumn("at", F.monotonically_increasing_id()))
+
+
+def ranked(ordered: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of `in_order` with rank (from 0) and n (rows) within the key, from the sizes of its parts in each range."""
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(key, part.alias("__part")).agg(F.count("*").alias("__n"), F.min("at").alias("__first"))
+    parts = Window.partitionBy(key)
+    before = F.sum("__n").over(parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(key, "__part", F.sum("__n").over(parts).alias("n"),
+                         (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    return (ordered.withColumn("__part", part).join(sizes, [key, "__part"])
+            .withColumn("rank", F.col("at") + F.col("__shift")).drop("__part", "__shift", "at"))
+
+
 def text_of(docs: DataFrame, column: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
