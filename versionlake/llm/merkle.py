@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc32_sql, query, table, written
+from .common import crc32_sql, in_order, query, ranked, table, written
 
 #: Bits of a rank digit: 2 ** BITS consecutive nodes become one.
 BITS = 4
@@ -51,25 +51,6 @@ class Manifest:
     root: bytes | None
 
 
-def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds rank (from 0) and n (rows) within a key; no key goes through one task.
-
-    Rows are dealt by ranges of key and order, so that a hot key lies in many tasks; ranks are local numbers plus the
-    rows of the key in earlier ranges. A last random range column splits even rows that are wholly equal.
-    """
-    whole = [key, *order, "__any"]
-    dealt = df.withColumn("__any", F.rand(11)).repartitionByRange(*whole).sortWithinPartitions(*whole)
-    # written, as sampled range bounds may differ between two evaluations
-    dealt = written(dealt.withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy(key, "__part").agg(F.count("*").alias("__n"))
-    parts = Window.partitionBy(key)
-    before = F.sum("__n").over(parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(key, "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(parts).alias("n"))
-    local = F.row_number().over(Window.partitionBy("__part", key).orderBy(*order, "__any"))
-    return (dealt.join(sizes, [key, "__part"]).withColumn("rank", F.col("__before") + local - 1)
-            .drop("__any", "__part", "__before"))
-
-
 def build_tree(nodes: DataFrame, bits: int = BITS) -> Tree:
     """The tree over `nodes` (key, rank, n, digest) of each key.
 
@@ -105,10 +86,11 @@ def build_manifest(leaves: DataFrame, group_col: str, order: list[str], bits: in
     """
     # null sorts before every other key, and an empty group after it
     key = F.when(F.col(group_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group_col).cast("string")))
-    numbered = written(ranked(leaves.withColumn("key", key), "key", [*order, "leaf"]))
+    # hashed once: dealing by ranges reads its input twice
+    numbered = written(ranked(in_order(written(leaves.withColumn("key", key)), "key", [*order, "leaf"])))
     inner = build_tree(numbered.withColumnRenamed("leaf", "digest"), bits)
     subroots = inner.roots.select(F.lit("").alias("key"), F.col("key").alias("group"), "digest")
-    groups = written(ranked(subroots, "key", ["group"]))
+    groups = written(ranked(in_order(subroots, "key", ["group"])))
     outer = build_tree(groups, bits)
     root = outer.roots.first()
     return Manifest(numbered, groups, inner, outer, bytes(root["digest"]) if root else None)
