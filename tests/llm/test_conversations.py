@@ -82,6 +82,9 @@ def test_search_equals_brute_force():
 
 def test_search_of_long_shapes():
     rng = random.Random(2)
+    for _ in range(2000):
+        shape = "".join(rng.choice(rng.choice(["uaUA", "suaoxSUAO", "uax", "us"])) for _ in range(rng.randint(3, 14)))
+        assert C.cheapest_edits(shape) == table_search(shape), shape
     for n in (8, 20, 64, 64, 64):
         shape = "".join(rng.choice("suaoxUSAO" if n % 3 else "uaUAx") for _ in range(n))
         assert C.cheapest_edits(shape) == table_search(shape), shape

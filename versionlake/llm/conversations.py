@@ -24,23 +24,52 @@ _KEEP = {"s": {START: SYSTEM}, "u": {START: USER, SYSTEM: USER, ASSISTANT: USER}
 _NEXT = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 _CLOSING = {START: (0, ""), SYSTEM: (2 * INSERT, "II"), USER: (INSERT, "I"), ASSISTANT: (0, "")}
 
-#: Letters of a shape: x must go, s u a have that initial, o any other; capitals are truncated.
-_SHAPE_COST = {"x": DELETE, **dict.fromkeys("SUAO", TRUNCATED)}
+#: Letters of a shape: x must go, s u a have that initial, o any other; capitals are truncated. The least cost of a row
+#: once a system role can't be kept any more.
+_SHAPE_COST = {"x": DELETE, "o": REROLE, "s": REROLE, "O": DELETE, "S": DELETE, "U": TRUNCATED, "A": TRUNCATED}
+
+
+def estimates(shape: str, goal: int) -> list[list[int]]:
+    """What the rows from each place on cost at least, by state.
+
+    Every row has a least cost of its own. Of two user or two assistant rows with only deleted rows between, one is edited
+    or a row is inserted between them, beyond that cost; such pairs count if they share no row. From START one system
+    role may yet be kept. START as a goal leaves nothing but deletions, SYSTEM all but one.
+    """
+    n = len(shape)
+    never = 4 * DELETE * (n + 2)
+    if goal in (START, SYSTEM):
+        gone = [DELETE * (n - i) for i in range(n + 1)]
+        start = gone if goal == START else [max(0, g - DELETE) for g in gone[:-1]] + [never]
+        return [[start[i], gone[i] if goal == SYSTEM else never, never, never] for i in range(n + 1)]
+    out, own, after, saved = [[0] * 4], 0, None, 0
+    pairs = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        c = shape[i]
+        own += _SHAPE_COST.get(c, 0)
+        pairs[i] = pairs[i + 1]
+        if c.lower() in "ua":
+            if after is not None and shape[after].lower() == c.lower():
+                edit = 1 if c.isupper() or shape[after].isupper() else 3
+                pairs[i] = max(pairs[i], edit + pairs[after + 1])
+            after = i
+        elif c != "x":
+            after = None
+        saved = max(saved, {"s": REROLE, "S": 1}.get(c, 0))
+        out.append([own + pairs[i] - saved, *[own + pairs[i]] * 3])
+    return out[::-1]
 
 
 def cheapest_edits(shape: str, entry: int = START, goal: int = END) -> tuple[int, str] | None:
     """Cost and audit of the cheapest edits that lead from `entry` to `goal`; of equal cost the ASCII-least audit.
 
     Iterative-deepening A*: a depth-first search in the order D, I, K, R under a bound that rises to the least cost
-    that exceeded it. A row's unavoidable cost is the estimate; the table of failed states raises it for each (row, state)
-    to what the failed search below it needs at least. The first accepting path under the least bound that has
+    that exceeded it. `estimates` says what is left at least; the table of failed states raises that for each (row, state)
+    to what the failed search below it needs. The first accepting path under the least bound that has
     one is the answer. Without END, insertions stand before a row of this shape only. None if the goal can't be reached.
     """
     n = len(shape)
-    ahead = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        ahead[i] = ahead[i + 1] + _SHAPE_COST.get(shape[i], 0)
-    least: dict[tuple[int, int], int] = {}
+    least = estimates(shape, goal)
 
     def moves(i: int, state: int):
         if i == n:
@@ -54,7 +83,7 @@ def cheapest_edits(shape: str, entry: int = START, goal: int = END) -> tuple[int
         return out
 
     def search(i: int, state: int, budget: int) -> str | None:
-        if least.get((i, state), ahead[i]) > budget:
+        if least[i][state] > budget:
             return None
         if i == n and (state == goal or goal == END and state in (START, ASSISTANT)):
             return ""
@@ -63,16 +92,16 @@ def cheapest_edits(shape: str, entry: int = START, goal: int = END) -> tuple[int
             rest = search(row, after, budget - cost)
             if rest is not None:
                 return edit + rest
-            needs = min(needs, cost + least.get((row, after), ahead[row]))
-        least[i, state] = needs
+            needs = min(needs, cost + least[row][after])
+        least[i][state] = max(least[i][state], needs)
         return None
 
-    bound, most = ahead[0], DELETE * n + 3 * INSERT + TRUNCATED
+    bound, most = least[0][entry], DELETE * n + 3 * INSERT + TRUNCATED
     while bound <= most:
         audit = search(0, entry, bound)
         if audit is not None:
             return bound, audit
-        bound = least[0, entry]
+        bound = least[0][entry]
     return None
 
 
@@ -205,9 +234,10 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     sums = sums.select("key", "conv", F.coalesce(gaps, F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated",
                        (F.col("illegal") + F.coalesce("more_illegal", F.lit(0))).alias("illegal"))
 
-    # the search; tiny rows of heavy work, so they are dealt by number and not joined to fewer tasks by size
+    # the search; tiny rows of heavy work, so they are dealt by number (and by a hash of their own: Spark drops a deal by
+    # the columns of the distinct itself) and not joined to fewer tasks by size
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shapes = segs.select("shape", "whole").distinct().repartition(tasks, "shape", "whole")
+    shapes = segs.select("shape", "whole").distinct().repartition(tasks, F.xxhash64("shape"))
     cells = written(shapes.mapInArrow(_searched, f"shape string, whole boolean, cells {_CELLS}"))
     found = segs.select("key", "seg", "shape", "whole").join(cells, ["shape", "whole"])
     done = found.where("whole").select("key", "cells")
