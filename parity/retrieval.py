@@ -155,6 +155,26 @@ def full_ap_r1_rpc(spark, sf_dir):
     return out.select("query_id", F.round("ap", 6).alias("ap"), "r1", F.round("rpc", 6).alias("rpc"), "n_relevant")
 
 
+@query("full_ap_r1_rpc_excluded", DENSE + """,
+d AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT AS rel,
+             round(list_inner_product(q.e, c.e) / ((q.n + 1e-6) * (c.n + 1e-6)), 9) AS sim
+      FROM u q JOIN u c ON q.id <> c.id WHERE q.id // 5 <> c.id // 5),
+o AS (SELECT query_id, rel, row_number() OVER w AS rn, sum(rel) OVER w AS hits, sum(1 - rel) OVER w AS misses
+      FROM d WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, corpus_id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT query_id, sum(1 - rel) + 1 AS nonmatch FROM d GROUP BY query_id)
+SELECT query_id, round(avg(hits / rn::DOUBLE), 6) AS ap, min(rn) AS r1,
+       round(100 * avg(misses / nonmatch::DOUBLE), 6) AS rpc, count(*) AS n_relevant
+FROM o JOIN n USING (query_id) WHERE rel = 1 GROUP BY query_id""")
+def full_ap_r1_rpc_excluded(spark, sf_dir):
+    """Full-ranking metrics without pairs of one performance, in small cells and parts, as for cliques beyond a cell."""
+    queries, corpus = dense_inputs(spark, sf_dir)
+    places = corpus.select(F.floor(F.col("id") / 5).alias("perf"), F.col("id").alias("position"))
+    same = ids.overlap_map(places, places).select(
+        F.col("query_pos").alias("query_id"), F.col("ref_pos").alias("corpus_id"))
+    out = ranking.full_ranking_metrics(queries, corpus, DenseScorer("embedding", "cos"), bar_rows=16, exclude=same, cell_rows=32)
+    return out.select("query_id", F.round("ap", 6).alias("ap"), "r1", F.round("rpc", 6).alias("rpc"), "n_relevant")
+
+
 @query("map_matrix", DENSE + """,
 h AS (SELECT *, sum(relevant) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM ranked),
 p AS (SELECT query_id, sum(CASE WHEN rank <= 10 AND relevant = 1 THEN hits / rank::DOUBLE END)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parity.registry import query, table
 from versionlake.functions import text as X
 from versionlake.functions.scorers import SparseScorer
-from versionlake.operators import lexical, ranking, tiles, transcripts as T
+from versionlake.operators import lexical, postings, ranking, tiles, transcripts as T
 from versionlake.session import reliable_checkpoint
 
 PHRASES = ["that", "was", "Thank you."]
@@ -225,6 +225,22 @@ def bm25_topk(spark, sf_dir):
     return lexical_top(lexical.query_counts(items_of(spark, sf_dir)), lexical.bm25_index(docs_of(spark, sf_dir)))
 
 
+def bounded_top(queries, corpus, k=10):
+    return postings.top_k(queries, corpus, k).select("query_id", "corpus_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_postings", ranked_sql("(SELECT id, term, tf AS w FROM qtf)", "bm"))
+def bm25_postings(spark, sf_dir):
+    return bounded_top(lexical.query_counts(items_of(spark, sf_dir)), lexical.bm25_index(docs_of(spark, sf_dir)))
+
+
+@query("tfidf_postings", ranked_sql("qvec", "vec"))
+def tfidf_postings(spark, sf_dir):
+    model = lexical.tfidf_fit(docs_of(spark, sf_dir))
+    return bounded_top(lexical.tfidf_transform(items_of(spark, sf_dir), model),
+                       lexical.tfidf_transform(docs_of(spark, sf_dir), model))
+
+
 @query("sparse_topk", ranked_sql("(SELECT id, term, 1 + ln(tf) AS w FROM qtf)",
                                  "(SELECT id, term, 1 + ln(tf) AS w FROM tf)"))
 def sparse_topk(spark, sf_dir):

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Products of sparse vectors that are computed at a time.
+PRODUCTS = 2_000_000
+
 
 def list_matrix(column) -> np.ndarray:
     """ARRAY<FLOAT|DOUBLE> column to a (rows, width) float64 matrix."""
@@ -222,45 +225,54 @@ class SparseScorer:
         return {"terms": terms.flatten(), "weights": weights.astype(np.float64), "rows": rows,
                 "n": len(counts)}
 
-    def _postings(self, q, c):
-        """Shared terms only, as term code -> (rows, weights) on both sides; built once per cell."""
+    def _shared(self, q, c):
+        """Postings of both sides by term code, for the terms that both have; built once per cell."""
         if "with" in q and q["with"][0] is c:
             return q["with"][1]
         shared = pc.unique(q["terms"])
         shared = shared.filter(pc.is_in(shared, value_set=pc.unique(c["terms"])))
-        sides = []
-        for side in (q, c):
-            code = pc.index_in(side["terms"], value_set=shared).fill_null(-1).to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            order = order[code[order] >= 0]
-            sides.append((code[order], side["rows"][order], side["weights"][order]))
-        q["with"] = (c, (len(shared), sides))
+        codes = [pc.index_in(side["terms"], value_set=shared).fill_null(-1).to_numpy(zero_copy_only=False)
+                 for side in (q, c)]
+        order = np.argsort(codes[1], kind="stable")
+        order = order[codes[1][order] >= 0]
+        sizes = np.bincount(codes[1][order], minlength=len(shared))
+        # terms of at least an eighth of the corpus rows are multiplied as whole rows
+        common = np.flatnonzero(sizes * 8 > c["n"])
+        q["with"] = (c, (codes[0], c["rows"][order], c["weights"][order], np.concatenate([[0], np.cumsum(sizes)]), common))
         return q["with"][1]
 
     def score(self, q, c, lo: int, hi: int) -> np.ndarray:
-        n_terms, ((q_code, q_rows, q_w), (c_code, c_rows, c_w)) = self._postings(q, c)
+        code, c_rows, c_w, starts, common = self._shared(q, c)
+        first, last = np.searchsorted(q["rows"], [lo, hi])
+        code, rows, w = code[first:last], q["rows"][first:last] - lo, q["weights"][first:last]
         out = np.zeros((hi - lo, c["n"]))
-        inside = (q_rows >= lo) & (q_rows < hi)
-        q_code, q_rows, q_w = q_code[inside], q_rows[inside] - lo, q_w[inside]
-        present, starts = np.unique(q_code, return_index=True)
-        stops = np.append(starts[1:], len(q_code))
-        c_starts = np.searchsorted(c_code, present, side="left")
-        c_stops = np.searchsorted(c_code, present, side="right")
-        common = (c_stops - c_starts) * 8 > c["n"]
-        if common.any():
-            picked = np.flatnonzero(common)
-            for at in range(0, len(picked), 1024):
-                part = picked[at:at + 1024]
-                left = np.zeros((hi - lo, len(part)))
-                right = np.zeros((len(part), c["n"]))
-                for j, t in enumerate(part):
-                    left[q_rows[starts[t]:stops[t]], j] = q_w[starts[t]:stops[t]]
-                    right[j, c_rows[c_starts[t]:c_stops[t]]] = c_w[c_starts[t]:c_stops[t]]
-                out += left @ right
-        for t in np.flatnonzero(~common):
-            q_part = slice(starts[t], stops[t])
-            c_part = slice(c_starts[t], c_stops[t])
-            out[q_rows[q_part][:, None], c_rows[c_part][None, :]] += np.outer(q_w[q_part], c_w[c_part])
+        place = np.full(len(starts), -1)
+        place[common] = np.arange(len(common))
+        of_common = np.where(code >= 0, place[code], -1)
+        for at in range(0, len(common), 1024):
+            part = common[at:at + 1024]
+            picked = (of_common >= at) & (of_common < at + len(part))
+            left, right = np.zeros((hi - lo, len(part))), np.zeros((len(part), c["n"]))
+            np.add.at(left, (rows[picked], of_common[picked] - at), w[picked])
+            for j, t in enumerate(part):
+                np.add.at(right[j], c_rows[starts[t]:starts[t + 1]], c_w[starts[t]:starts[t + 1]])
+            out += left @ right
+        rest = (code >= 0) & (of_common < 0)
+        code, rows, w = code[rest], rows[rest], w[rest]
+        sizes = starts[code + 1] - starts[code]
+        ends = np.cumsum(sizes)
+        flat, at = out.reshape(-1), 0
+        while at < len(code):
+            # as many query postings at a time as give PRODUCTS products, at least one
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, side="right")))
+            n = sizes[at:upto]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = np.repeat(starts[code[at:upto]], n) + inside
+            cells = np.repeat(rows[at:upto] * c["n"], n) + c_rows[found]
+            low = int(rows[at]) * c["n"]
+            high = (int(rows[upto - 1]) + 1) * c["n"]
+            flat[low:high] += np.bincount(cells - low, np.repeat(w[at:upto], n) * c_w[found], minlength=high - low)
+            at = upto
         return out
 
 

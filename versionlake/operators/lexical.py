@@ -124,12 +124,33 @@ def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1:
     rows = reliable_checkpoint(counted(docs, id_col, text_col, stop_words))
     n, mean = rows.agg(F.count("*"), F.avg("n_tokens")).first()
     stats, n_terms = _term_stats(rows)
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = _bm25_weights(rows, stats, n_terms, n, mean, k1, b).select("id", "term", "weight")
+    return _vectors(weighted, rows, unit=False)
+
+
+def bm25_vectors(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = BM25_K1, b: float = BM25_B,
+                 stop_words: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(queries, corpus) of BM25 among the same documents: id, terms, weights. Texts are tokenised and joined with the
+    vocabulary once for both sides, and terms are their numbers in it, which are cheaper to move and compare than words."""
+    rows = reliable_checkpoint(counted(docs, id_col, text_col, stop_words))
+    n, mean = rows.agg(F.count("*"), F.avg("n_tokens")).first()
+    stats, n_terms = _term_stats(rows)
+    weighted = _bm25_weights(rows, stats.withColumn("code", F.monotonically_increasing_id()), n_terms, n, mean, k1, b)
+    lists = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("code", "weight", "tf"))).alias("v"))
+    both = reliable_checkpoint(rows.select("id").join(lists, "id", "left").select(
+        "id", F.coalesce(F.col("v")["code"], F.array().cast("array<bigint>")).alias("terms"),
+        F.coalesce(F.col("v")["weight"], F.array().cast("array<double>")).alias("weights"),
+        F.coalesce(F.col("v")["tf"].cast("array<double>"), F.array().cast("array<double>")).alias("counts")))
+    return both.select("id", "terms", F.col("counts").alias("weights")), both.select("id", "terms", "weights")
+
+
+def _bm25_weights(rows: DataFrame, stats: DataFrame, n_terms: int, n_docs: int, mean: float | None, k1: float,
+                  b: float) -> DataFrame:
+    idf = F.log(1.0 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf, norm = F.col("tf"), F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("n_tokens") / F.lit(float(mean or 1.0)))
     long = (rows.select("id", "n_tokens", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
             .select("id", "n_tokens", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf")))
-    weighted = _attach(long, stats, n_terms, n).select("id", "term", (idf * tf / (tf + norm)).alias("weight"))
-    return _vectors(weighted, rows, unit=False)
+    return _attach(long, stats, n_terms, n_docs).withColumn("weight", idf * tf / (tf + norm))
 
 
 def query_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",

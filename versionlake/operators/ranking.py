@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from versionlake.functions.scorers import MaxScorer, SoftmaxMeanScorer
 from versionlake.operators import tiles
+from versionlake.session import reliable_checkpoint
 
 BAR_ROWS = 4096
 
@@ -92,13 +93,16 @@ def first_relevant(queries: DataFrame, corpus: DataFrame, scorer, ranked: DataFr
         near = (ranked.where("relevant = 1").groupBy("query_id")
                 .agg(F.min(F.struct("rank", "corpus_id", "score")).alias("f"))
                 .select("query_id", "f.corpus_id", "f.rank", "f.score"))
-        rest = queries.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
+        near = reliable_checkpoint(near)
+        rest = reliable_checkpoint(queries.join(near.select(F.col("query_id").alias("id")), "id", "left_anti"))
         if rest.limit(1).isEmpty():
             return near
-        cells = cells or tiles.grid_shape(queries, corpus, scorer)
-        return near.unionByName(first_relevant(rest, corpus, scorer, None, cells, exclude))
+        # a grid of their own: they are few, so the corpus need not be copied for them
+        return near.unionByName(first_relevant(rest, corpus, scorer, None, None, exclude))
     cells = cells or tiles.grid_shape(queries, corpus, scorer)
-    best = tiles.best_positive(queries, corpus, scorer, exclude=exclude)
+    # records of works that nobody asks for can't be the best
+    asked = queries.select("label").distinct()
+    best = reliable_checkpoint(tiles.best_positive(queries, corpus.join(asked, "label", "left_semi"), scorer, exclude=exclude))
     bars = best.select("query_id", F.lit(0).alias("part"), F.array("score").alias("bar_scores"),
                        F.array("corpus_id").alias("bar_ids"))
     ahead = tiles.count_ahead(queries, corpus, scorer, bars, cells, exclude).select("query_id", "n_ahead")
@@ -171,36 +175,44 @@ def error_metrics(ranked: DataFrame, errors_by_fp: DataFrame, queries: DataFrame
 
 
 def full_ranking_metrics(queries: DataFrame, corpus: DataFrame, scorer, biased: bool = False,
-                         bar_rows: int = BAR_ROWS, cells=None) -> DataFrame:
+                         bar_rows: int = BAR_ROWS, cells=None, exclude: DataFrame | None = None,
+                         cell_rows: int = tiles.CELL_ROWS) -> DataFrame:
     """Per query over the whole ranking: ap, r1 (rank of the first correct record), rpc (rank percentile).
 
-    The positives of a query are ranked among themselves and packed in arrays of at most `bar_rows`; the
-    tile pass counts, for each, the candidates before it. The query stays among the candidates as a
-    non-match behind all others.
+    The pairs of `exclude` (query_id, corpus_id) take no place in it. Positives leave the cells as sorted runs, are merged
+    into parts of bounded length, and the tile pass counts the candidates before each entry of a part; only arrays go
+    from step to step, so rows grow with queries and cells. The query stays among the candidates as a non-match behind all
+    others.
     """
     # sized by the plain queries: counting the rows with bars would run the positives pass twice
     cells = cells or tiles.grid_shape(queries, corpus, scorer)
-    pos = tiles.positives(queries, corpus, scorer)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "corpus_id")
-    placed = (pos.withColumn("place", F.row_number().over(order))
-              .withColumn("part", F.floor((F.col("place") - 1) / bar_rows).cast("int")))
-    packed = (placed.groupBy("query_id", "part")
-              .agg(F.sort_array(F.collect_list(F.struct("place", "score", "corpus_id"))).alias("bars")))
-    bars = packed.select("query_id", "part", F.transform("bars", lambda b: b["score"]).alias("bar_scores"),
-                         F.transform("bars", lambda b: b["corpus_id"]).alias("bar_ids"))
-    ahead = tiles.count_ahead(queries, corpus, scorer, bars, cells)
-    total = tiles.usable(corpus, scorer).count()
-    place = F.col("part") * bar_rows + F.col("slot") + 1
-    rank = F.col("n_ahead") + 1
+    runs = reliable_checkpoint(tiles.positive_runs(queries, corpus, scorer, None, cell_rows, exclude))
+    parts = reliable_checkpoint(tiles.ranked_parts(runs, bar_rows))
+    bars = parts.select("query_id", "part", F.col("scores").alias("bar_scores"), F.col("corpus_ids").alias("bar_ids"))
+    ahead = tiles.ahead_arrays(queries, corpus, scorer, bars, cells, exclude)
+    ahead = ahead.join(parts.select("query_id", "part", "before"), ["query_id", "part"])
+    usable = tiles.usable(corpus, scorer)
+    total = usable.count()
+    precision = F.zip_with("ahead", F.sequence(F.lit(1), F.size("ahead")),
+                           lambda n, i: (F.col("before") + i) / (n + 1))
     sums = ahead.groupBy("query_id").agg(
-        F.avg(place / rank).alias("ap"), F.min(rank).alias("r1"), F.count("*").alias("n_relevant"),
-        F.sum(F.col("n_ahead") - (place - 1)).alias("misses_ahead"), F.sum("n_ahead").alias("all_ahead"))
+        F.sum(F.aggregate(precision, F.lit(0.0), lambda a, x: a + x)).alias("precision"),
+        (F.min(F.array_min("ahead")) + 1).alias("r1"), F.sum(F.size("ahead")).alias("n_relevant"),
+        F.sum(F.aggregate("ahead", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("all_ahead"))
+    candidates = F.lit(total)
+    if exclude is not None:
+        gone = (exclude.select("query_id", "corpus_id").distinct().where("query_id <> corpus_id")
+                .join(usable.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi")
+                .groupBy("query_id").agg(F.count("*").alias("gone")))
+        sums = sums.join(gone, "query_id", "left")
+        candidates = F.lit(total) - F.coalesce("gone", F.lit(0))
     n = F.col("n_relevant")
     if biased:
-        percentile = F.col("all_ahead") / F.lit(float(total - 1)) / n
+        percentile = F.col("all_ahead") / (candidates - 1).cast("double") / n
     else:
-        percentile = F.col("misses_ahead") / (F.lit(total) - n) / n
-    return sums.select("query_id", "ap", "r1", (100 * percentile).alias("rpc"), "n_relevant")
+        # of those ahead of the i-th positive, i - 1 are positives themselves
+        percentile = (F.col("all_ahead") - n * (n - 1) / 2) / (candidates - n) / n
+    return sums.select("query_id", (F.col("precision") / n).alias("ap"), "r1", (100 * percentile).alias("rpc"), "n_relevant")
 
 
 def matrix_metrics(ranked: DataFrame, first: DataFrame, queries: DataFrame, topk: int = 10) -> DataFrame:

@@ -25,6 +25,7 @@ from versionlake.functions.scorers import DenseScorer, MultiVectorScorer, Softma
 CELL_ROWS = 8192
 BLOCK_CELLS = 4_000_000
 SCORE_DIGITS = 9
+MERGED = 64
 
 
 # ---------------------------------------------------------------- grid
@@ -45,14 +46,15 @@ def _weighted_rows(df: DataFrame, scorer) -> int:
 
 
 def grid_shape(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int = CELL_ROWS) -> tuple[int, int]:
-    """Grid that bounds a cell side by `cell_rows` and gives every core a cell."""
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    floor = math.ceil(math.sqrt(2 * cores))
-    sides = []
-    for df in (queries, corpus):
-        n = _weighted_rows(df, scorer)
-        sides.append(max(1, min(n, max(floor, math.ceil(n / cell_rows)))))
-    return sides[0], sides[1]
+    """Grid that bounds a cell side by `cell_rows` and gives every core a cell, with the fewest copies of rows.
+
+    A query row is copied once a corpus group and the other way round, so few queries get one group.
+    """
+    need = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    n_q, n_c = (max(1, _weighted_rows(df, scorer)) for df in (queries, corpus))
+    least_q, least_c = math.ceil(n_q / cell_rows), math.ceil(n_c / cell_rows)
+    groups = min(n_q, max(least_q, round(math.sqrt(need * n_q / n_c))))
+    return groups, min(n_c, max(least_c, math.ceil(need / groups)))
 
 
 def usable(df: DataFrame, scorer) -> DataFrame:
@@ -434,7 +436,18 @@ def best_positive(queries: DataFrame, corpus: DataFrame, scorer, cell_rows: int
 def positives(queries: DataFrame, corpus: DataFrame, scorer, floor: float | None = None,
               cell_rows: int = CELL_ROWS) -> DataFrame:
     """Scores of the records that share the label of the query, optionally only from `floor` upwards."""
-    schema = f"query_id {_id_type(queries)}, corpus_id {_id_type(corpus)}, score double"
+    runs = positive_runs(queries, corpus, scorer, floor, cell_rows)
+    return (runs.select("query_id", F.explode(F.arrays_zip("corpus_ids", "scores")).alias("p"))
+            .select("query_id", F.col("p.corpus_ids").alias("corpus_id"), F.col("p.scores").alias("score")))
+
+
+def positive_runs(queries: DataFrame, corpus: DataFrame, scorer, floor: float | None = None, cell_rows: int = CELL_ROWS,
+                  exclude: DataFrame | None = None) -> DataFrame:
+    """Records that share the label of the query, as one row a query and cell: query_id, scores, corpus_ids.
+
+    A run is in ranking order (score down, id up) and holds what one cell holds of the label, `cell_rows` at most.
+    """
+    schema = f"query_id {_id_type(queries)}, scores array<double>, corpus_ids array<{_id_type(corpus)}>"
 
     def run(key, q, c):
         out = []
@@ -445,19 +458,72 @@ def positives(queries: DataFrame, corpus: DataFrame, scorer, floor: float | None
                 if floor is not None:
                     keep &= scores >= floor
                 rows, cols = np.nonzero(keep)
-                out.append(_pair_table(cell, rows + lo, cols, scores[rows, cols]))
-        return _concat(out, pa.schema(list(_pair_schema(q, c))[:3]))
-
-    return _label_grid(queries, corpus, scorer, cell_rows, run, schema)
+                values = scores[rows, cols]
+                order = np.lexsort((cols, -values, rows))
+                rows, cols, values = rows[order], cols[order], values[order]
+                present, starts = np.unique(rows, return_index=True)
+                ends = pa.array(np.append(starts, len(rows)), pa.int32())
+                out.append(pa.table({
+                    "query_id": cell.q["id"].take(pa.array(present + lo)),
+                    "scores": pa.ListArray.from_arrays(ends, pa.array(values, pa.float64())),
+                    "corpus_ids": pa.ListArray.from_arrays(ends, cell.c_ids.take(pa.array(cols)))}))
+        return _concat(out, pa.schema([("query_id", q.schema.field("id").type), ("scores", pa.list_(pa.float64())),
+                                       ("corpus_ids", pa.list_(c.schema.field("id").type))]))
+
+    return _label_grid(queries, corpus, scorer, cell_rows, run, schema, exclude)
+
+
+def ranked_parts(runs: DataFrame, part_rows: int) -> DataFrame:
+    """The runs of each query merged in ranking order and cut into parts: query_id, part, before, scores, corpus_ids.
+
+    `before` counts the entries of earlier parts. A part has at most twice `part_rows` entries, however many a query
+    has: of every run each s-th entry is a sample, s being part_rows / runs, and every so many samples end a part.
+    Entries are cut by score and id, so ties are no hot part. Rows go with queries and cells, never with entries.
+    """
+    sizes = runs.groupBy("query_id").agg(F.count("*").alias("runs"), F.sum(F.size("scores")).alias("entries"))
+    whole = sizes.where((F.col("entries") <= part_rows) | (F.col("runs") == 1) & (F.col("entries") <= 2 * part_rows))
+    entry = F.arrays_zip(F.transform("scores", lambda x: -x).alias("minus"), F.col("corpus_ids").alias("id"))
+    marked = runs.select("query_id", entry.alias("entries"))
+    small = marked.join(whole.select("query_id"), "query_id", "left_semi").withColumn("part", F.lit(0))
+
+    # few queries: those with more positives than a part holds
+    large = sizes.join(whole.select("query_id"), "query_id", "left_anti").select(
+        "query_id", "runs", F.greatest(F.lit(1), F.floor(F.lit(part_rows) / F.col("runs"))).cast("int").alias("step"))
+    cut = marked.join(large, "query_id")
+    sample = F.transform(F.sequence(F.lit(0), F.floor((F.size("entries") - 1) / F.col("step")).cast("int")),
+                         lambda i: F.get("entries", (i * F.col("step")).cast("int")))
+    samples = cut.select("query_id", "runs", sample.alias("s")).groupBy("query_id", "runs").agg(
+        F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
+    edges = samples.select("query_id", F.filter("s", lambda x, i: (i > 0) & (i % F.col("runs") == 0)).alias("edges"))
+    # where each edge falls in a run; runs are sorted, so the places rise
+    places = F.transform("edges", lambda e: F.size(F.filter("entries", lambda x: x < e)))
+    spots = cut.join(edges, "query_id").withColumn("places", F.concat(F.array(F.lit(0)), places, F.array(F.size("entries"))))
+    pieces = (spots.withColumn("part", F.explode(F.sequence(F.lit(0), F.size("places") - 2)))
+              .withColumn("low", F.get("places", F.col("part"))).withColumn("high", F.get("places", F.col("part") + 1))
+              .where("high > low")
+              .select("query_id", F.slice("entries", F.col("low") + 1, F.col("high") - F.col("low")).alias("entries"), "part"))
+    merged = small.unionByName(pieces).groupBy("query_id", "part").agg(
+        F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries"))
+    earlier = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("entries")).over(earlier), F.lit(0))
+    return merged.select("query_id", "part", before.alias("before"), F.transform(
+        "entries", lambda x: -x["minus"]).alias("scores"), F.transform("entries", lambda x: x["id"]).alias("corpus_ids"))
 
 
 def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
                 cells: tuple[int, int] | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """`ahead_arrays` as one row a bar: query_id, part, slot (0-based place in the arrays), n_ahead."""
+    return ahead_arrays(queries, corpus, scorer, bars, cells, exclude).select(
+        "query_id", "part", F.posexplode("ahead").alias("slot", "n_ahead"))
+
+
+def ahead_arrays(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
+                 cells: tuple[int, int] | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """For each bar of a query, how many corpus records rank before it.
 
     `bars`: query_id, part, bar_scores ARRAY<DOUBLE>, bar_ids, in ranking order (score down, id up), none of them
-    excluded. Output: query_id, part, slot (0-based place in the arrays), n_ahead. Neither self nor excluded
-    pairs are counted.
+    excluded. Output: query_id, part, ahead (a count for each bar). Neither self nor excluded pairs are counted. What
+    leaves a cell is one row a query and part.
     """
     schema = f"query_id {_id_type(queries)}, part int, ahead array<bigint>"
     with_bars = (_items(queries, scorer.columns, tuple(getattr(scorer, "q_columns", ())))
@@ -494,9 +560,14 @@ def count_ahead(queries: DataFrame, corpus: DataFrame, scorer, bars: DataFrame,
                          "ahead": pa.ListArray.from_arrays(pa.array(sizes), flat)})
 
     counted = _grid(with_bars, corpus, scorer, cells, run, schema, extra=extra, exclude=exclude)
-    # counts are added as integers, slot by slot: a floating-point mean of many cells would lose single ranks
-    slots = counted.select("query_id", "part", F.posexplode("ahead").alias("slot", "n"))
-    return slots.groupBy("query_id", "part", "slot").agg(F.sum("n").alias("n_ahead"))
+    # whole arrays are added, as integers (a floating-point mean of many cells would lose single ranks), at most
+    # MERGED arrays in one row
+    counted = counted.withColumn("cell", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    for keys in (["query_id", "part", "cell"], ["query_id", "part"]):
+        counted = counted.groupBy(*keys).agg(F.collect_list("ahead").alias("all")).select(*keys, F.aggregate(
+            F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)),
+            lambda a, x: F.zip_with(a, x, lambda m, n: m + n)).alias("ahead"))
+    return counted
 
 
 def _count_smaller(sorted_ids: pa.Array, wanted: pa.Array) -> np.ndarray:
