@@ -213,10 +213,10 @@ def pca2(spark, sf_dir):
 @query("covariance_penalty", """
 WITH x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
-SELECT round(1e6 * sum(c * c) / (count(*) + 1e-6), 6) AS penalty FROM p""")
+SELECT round(1e6 * avg(c * c), 6) AS penalty FROM p""")
 def covariance_penalty(spark, sf_dir):
-    value = V.covariance_penalty(table(spark, sf_dir, "embeddings"))
-    return table(spark, sf_dir, "embeddings").agg(F.round(F.lit(1e6 * value), 6).alias("penalty"))
+    return V.covariance_penalty(table(spark, sf_dir, "embeddings"), width=24).select(
+        F.round(1e6 * F.col("penalty"), 6).alias("penalty"))
 
 
 @query("nearest_rank_quantiles", """
@@ -295,6 +295,21 @@ def shingle_bpwr_5(spark, sf_dir):
     return top10(tiles.top_k(items, items, MultiVectorScorer("vectors", "nsqeuc", "bpwr-5"), 10), distance=True)
 
 
+MASKED = "vec_id % 7 = 3 OR vec_id // 5 % 11 = 4"
+
+
+@query("clews_masked", picks_sql(5).replace("AS e FROM embeddings)", f"AS e FROM embeddings WHERE NOT ({MASKED}))", 1)
+       .replace("lab AS (SELECT id, label FROM c WHERE chunk_id = 0)",
+                "lab AS (SELECT vec_id // 5 AS id, label FROM embeddings WHERE vec_id % 5 = 0)"))
+def clews_masked(spark, sf_dir):
+    """Shingles with a mask; every eleventh record is masked as a whole."""
+    c = chunks(spark, sf_dir)
+    masks = c.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
+        "chunk_id", F.expr(MASKED.replace("//", "div").replace("vec_id", "(id * 5 + chunk_id)")).alias("mask")))).alias("m"))
+    items = tiles.unmasked(stacked(spark, sf_dir).join(masks.select("id", F.col("m")["mask"].alias("mask")), "id"))
+    return top10(tiles.top_k(items, items, tiles.model_scorer("clews"), 10), distance=True)
+
+
 # ---------------------------------------------------------------- batches
 
 BATCH = """
@@ -357,6 +372,24 @@ def frame_shift(spark, sf_dir):
     return V.frame_shift(c, pairs)
 
 
+@query("frame_shift_all", """
+WITH c AS (SELECT vec_id // 10 AS perf, (vec_id % 10)::INT AS idx, vec_id // 10 % 7 AS work, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT a.perf AS perf_i, b.perf AS perf_j, a.idx AS idx_i, b.idx AS idx_j,
+             round(sqrt(list_inner_product(a.e, a.e) - 2 * list_inner_product(a.e, b.e) + list_inner_product(b.e, b.e)), 9) AS dist
+      FROM c a JOIN c b ON a.work = b.work AND a.perf <> b.perf AND a.idx <> b.idx),
+n AS (SELECT *, row_number() OVER (PARTITION BY perf_i, perf_j, idx_i ORDER BY dist, idx_j) AS r FROM d),
+t AS (SELECT perf_i, perf_j, idx_i - idx_j AS delta, count(*) AS k, min(idx_i) AS seen FROM n WHERE r = 1 GROUP BY ALL)
+SELECT perf_i, perf_j, delta AS shift_frame_i_to_j FROM t
+QUALIFY row_number() OVER (PARTITION BY perf_i, perf_j ORDER BY k DESC, seen) = 1
+UNION ALL SELECT DISTINCT perf, perf, 0 FROM c""")
+def frame_shift_all(spark, sf_dir):
+    """All ordered pairs of a work; seven works, so that each has more chunks than a cell of 64."""
+    perf = F.floor(F.col("vec_id") / 10)
+    c = table(spark, sf_dir, "embeddings").select(
+        perf.alias("perf"), (perf % 7).alias("work"), (F.col("vec_id") % 10).cast("int").alias("idx"), "embedding")
+    return V.frame_shift_all(c, "work", cell_rows=64)
+
+
 # ---------------------------------------------------------------- mining
 
 def labelled(spark, sf_dir):
@@ -372,11 +405,12 @@ def clique_outliers(spark, sf_dir):
 
 
 @query("hard_negatives", """
-WITH v AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
-d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, (a.label = b.label) AS same, round(list_inner_product(a.e, b.e), 9) AS s
-      FROM v a JOIN v b ON a.id <> b.id)
-SELECT p.a AS anchor, p.b AS positive, n.b AS hard_negative, round(p.s, 6) AS sim_ap, round(n.s, 6) AS sim_an
-FROM d p JOIN d n ON n.a = p.a AND NOT n.same AND n.s > p.s WHERE p.same AND p.a < p.b AND p.s >= 0.3""")
+WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.id AS anchor, b.id AS positive, a.label, a.e, round(list_inner_product(a.e, b.e), 9) AS s
+      FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE round(list_inner_product(a.e, b.e), 9) >= 0.3),
+n AS (SELECT anchor, positive, id AS hard_negative, s, round(list_inner_product(p.e, v.e), 9) AS t
+      FROM p JOIN v ON v.label <> p.label)
+SELECT anchor, positive, round(s, 6) AS sim_ap, hard_negative, round(t, 6) AS sim_an FROM n WHERE t > s""")
 def hard_negatives(spark, sf_dir):
     out = mining.hard_negatives(labelled(spark, sf_dir), 0.3)
     return out.withColumns({"sim_ap": F.round("sim_ap", 6), "sim_an": F.round("sim_an", 6)})

@@ -203,6 +203,45 @@ class MultiVectorScorer:
         return values if self.mode in SIMILARITY_MODES else -values
 
 
+@dataclass
+class FrameShiftScorer(MultiVectorScorer):
+    """For two records of one label, the shift of their chunk indexes in place of a score; others get -inf.
+
+    Every chunk of the query takes its nearest chunk at another index (ties to the smaller index); the shift is the most
+    frequent index difference, ties to the one seen at the smallest index. Chunks are in index order.
+    """
+
+    mode: str = "euc"
+    index: str = "idx"
+
+    @property
+    def columns(self):
+        return [self.column, self.index]
+
+    def prepare(self, table: pa.Table):
+        index = table[self.index].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        by_label: dict = {}
+        for row, label in enumerate(table["label"].to_pylist()):
+            by_label.setdefault(label, []).append(row)
+        return *super().prepare(table), index, table["label"].to_pylist(), by_label
+
+    def score(self, q, c, lo: int, hi: int) -> np.ndarray:
+        out = np.full((hi - lo, len(c[1])), -np.inf)
+        for r in range(lo, hi):
+            own = slice(q[2][r], q[2][r + 1])
+            for j in c[5].get(q[4][r], ()) if q[4][r] is not None else ():
+                other = slice(c[2][j], c[2][j + 1])
+                far = np.round(score_block(q[0][own], c[0][other], self.mode), 9)
+                far[q[3][own][:, None] == c[3][other][None, :]] = np.inf
+                nearest = far.argmin(axis=1)
+                found = far[np.arange(len(nearest)), nearest] < np.inf
+                if found.any():
+                    shifts, first, votes = np.unique((q[3][own] - c[3][other][nearest])[found], return_index=True,
+                                                     return_counts=True)
+                    out[r - lo, j] = shifts[np.lexsort((first, -votes))[0]]
+        return out
+
+
 @dataclass
 class SparseScorer:
     """Sum over shared terms of query weight times corpus weight; no shared term gives 0."""

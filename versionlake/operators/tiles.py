@@ -65,6 +65,17 @@ def usable(df: DataFrame, scorer) -> DataFrame:
     return df
 
 
+def unmasked(df: DataFrame, column: str = "vectors", mask: str = "mask") -> DataFrame:
+    """`column` without the vectors whose entry in the array `mask` is true; the mask is dropped.
+
+    A masked vector takes every one of its pairs out of a reduction, so leaving it out before scoring gives what a mask
+    inside each reduction would. A record without a vector left takes no part; a missing mask masks nothing.
+    """
+    kept = F.filter(F.arrays_zip(F.col(column).alias("v"), F.col(mask).alias("m")), lambda x: ~F.coalesce(x["m"], F.lit(False)))
+    return df.withColumn(column, F.when(F.col(mask).isNull(), F.col(column)).otherwise(
+        F.transform(kept, lambda x: x["v"]))).drop(mask)
+
+
 def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
     key = ["id", "seg"] if "seg" in df.columns else ["id"]
     return (df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(n_own)).cast("int"))
@@ -113,8 +124,10 @@ def _label_grid(queries, corpus, scorer, cell_rows, run, schema, exclude=None) -
     n = _weighted_rows(c, scorer)
     cores = q.sparkSession.sparkContext.defaultParallelism
     buckets = max(2 * cores, math.ceil(n / cell_rows))
-    sizes = (q.groupBy("label").agg(F.count("*").alias("nq"), F.lit(0).alias("nc"))
-             .unionByName(c.groupBy("label").agg(F.lit(0).alias("nq"), F.count("*").alias("nc")))
+    many = next((p.column for p in getattr(scorer, "parts", [scorer]) if isinstance(p, MultiVectorScorer)), None)
+    load = F.sum(F.lit(1) if many is None else F.size(many))
+    sizes = (q.groupBy("label").agg(load.alias("nq"), F.lit(0).alias("nc"))
+             .unionByName(c.groupBy("label").agg(F.lit(0).alias("nq"), load.alias("nc")))
              .groupBy("label").agg(F.sum("nq").alias("nq"), F.sum("nc").alias("nc")))
     hot = (sizes.where((F.col("nq") > cell_rows) | (F.col("nc") > cell_rows))
            .select("label", F.ceil(F.col("nq") / cell_rows).cast("int").alias("sq"),
@@ -672,8 +685,7 @@ MODEL_DISTANCES = {
 
 
 def model_scorer(name: str, column: str = "vectors") -> MultiVectorScorer:
-    """Scorer with the distance and reduction a model was made for. Masked shingles are left out before the
-    vectors are stacked."""
+    """Scorer with the distance and reduction a model was made for. `unmasked` takes masked shingles out."""
     if name not in MODEL_DISTANCES:
         raise ValueError(f"unknown model: {name}")
     mode, redux = MODEL_DISTANCES[name]

@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from versionlake.functions import vectors as V
-from versionlake.functions.scorers import list_matrix, score_block
+from versionlake.functions.scorers import FrameShiftScorer, list_matrix, score_block
 from versionlake.functions.seeded import seeded_hash
+from versionlake.operators import tiles
 
 
 def _vector(column: str):
@@ -119,14 +118,62 @@ def pca_pairs(pairs: DataFrame, key: str, sample: int | None = None, seed: int =
                                for i in range(k)]).alias("components"))
 
 
-def covariance_penalty(vectors: DataFrame, column: str = "embedding", eps: float = 1e-6) -> float:
-    """Mean squared covariance of different dimensions. The driver sees one width x width matrix."""
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(_vector(column).alias("v")), "v")
-    cov = RowMatrix(rows).computeCovariance().toArray()
-    # each pair of dimensions stands twice beside the diagonal
-    width, powers = len(cov), np.square(cov)
-    beside = powers.sum() - np.trace(powers)
-    return float(beside / (width * (width - 1) + 2 * eps))
+_MOMENTS = "low int, n bigint, mean array<double>, spread array<double>"
+
+
+def _joined_moments(a, b):
+    """Moments (n, mean, products of deviations of the dimensions from `low` on with all) of two sets of rows as one."""
+    if a is None or b is None:
+        return a if b is None else b
+    low, n = a[0], a[1] + b[1]
+    apart = b[2] - a[2]
+    own = apart[low:low + len(a[3])]
+    return low, n, a[2] + apart * (b[1] / n), a[3] + b[3] + np.outer(own, apart) * (a[1] * b[1] / n)
+
+
+def _moment_rows(moments) -> pa.Table:
+    rows = [m for m in moments if m is not None]
+    return pa.table({"low": pa.array([m[0] for m in rows], pa.int32()), "n": pa.array([m[1] for m in rows], pa.int64()),
+                     "mean": pa.array([m[2] for m in rows], pa.list_(pa.float64())),
+                     "spread": pa.array([m[3].ravel() for m in rows], pa.list_(pa.float64()))})
+
+
+def covariance_penalty(vectors: DataFrame, column: str = "embedding", width: int = 64) -> DataFrame:
+    """One row `penalty`: the mean, over all pairs of dimensions, of their squared sample covariance; null for fewer than
+    two vectors or dimensions. Null vectors take no part.
+
+    Each task reduces its vectors to moments, cut into bands of `width` dimensions; moments of two sets merge exactly, so they
+    are joined in two rounds and no task or driver sees more than a band of a few dozen sets.
+    """
+    def reduce(batches):
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            x = list_matrix(batch.column(column))
+            mean = x.mean(axis=0)
+            for low in range(0, x.shape[1], width):
+                own = (low, len(x), mean, (x - mean)[:, low:low + width].T @ (x - mean))
+                found[low] = _joined_moments(found.get(low), own)
+        yield from _moment_rows(found.values()).to_batches()
+
+    def join(group: pa.Table) -> pa.Table:
+        whole = None
+        for row in range(group.num_rows):
+            mean, spread = (group[c][row].values.to_numpy(zero_copy_only=False) for c in ("mean", "spread"))
+            whole = _joined_moments(whole, (group["low"][row].as_py(), group["n"][row].as_py(), mean,
+                                            spread.reshape(-1, len(mean))))
+        return _moment_rows([whole])
+
+    moments = vectors.where(F.size(column) > 0).select(column).mapInArrow(reduce, _MOMENTS)
+    moments = moments.withColumn("some", F.pmod(F.spark_partition_id(), F.lit(64)))
+    moments = moments.groupBy("low", "some").applyInArrow(lambda g: join(g), _MOMENTS)
+    moments = moments.groupBy("low").applyInArrow(lambda g: join(g), _MOMENTS)
+    # entry e of a band is the pair (low + e div d, e mod d); each pair counts once
+    size = F.size("mean")
+    squares = F.transform("spread", lambda v, e: F.when(
+        e % size > F.col("low") + F.floor(e / size), (v / (F.col("n") - 1)) * (v / (F.col("n") - 1))).otherwise(0.0))
+    band = moments.where("n > 1").select(F.aggregate(squares, F.lit(0.0), lambda t, v: t + v).alias("total"), size.alias("d"))
+    d = F.max("d")
+    return band.agg(F.when(d > 1, F.sum("total") / (d * (d - 1) / 2)).alias("penalty"))
 
 
 # ---------------------------------------------------------------- masked aggregates and distances
@@ -213,3 +260,22 @@ def frame_shift(chunks: DataFrame, pairs: DataFrame, key: str = "perf", index: s
         F.max_by("delta", F.struct("votes", (-F.col("seen")).alias("early"))).alias("shift_frame_i_to_j"))
     same = pairs.where("perf_i = perf_j").withColumn("shift_frame_i_to_j", F.lit(0))
     return shifts.unionByName(same)
+
+
+def frame_shift_all(chunks: DataFrame, work: str = "work_id", key: str = "perf", index: str = "idx",
+                    column: str = "embedding", cell_rows: int = tiles.CELL_ROWS) -> DataFrame:
+    """`frame_shift` of all ordered pairs of recordings of a work, each with itself included.
+
+    Chunks travel as one row a recording; many works share a cell, and a work with more chunks than `cell_rows` gets a grid of
+    its own, so no task holds all of its pairs. One row a pair leaves a cell, the distances of chunks never do. A null
+    work has no pairs; recordings without a chunk at another index have no shift.
+    """
+    rows = chunks.where(F.col(work).isNotNull()).groupBy(F.col(work).alias("label"), F.col(key).alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(index).cast("bigint").alias("idx"), F.col(column).alias("e")))).alias("c"))
+    items = rows.select("id", "label", F.col("c")["idx"].alias("idx"), F.col("c")["e"].alias("vectors"))
+    found = tiles.positives(items, items, FrameShiftScorer("vectors"), cell_rows=cell_rows)
+    kind = chunks.schema[index].dataType
+    return (found.select(F.col("query_id").alias("perf_i"), F.col("corpus_id").alias("perf_j"),
+                         F.col("score").cast(kind).alias("shift_frame_i_to_j"))
+            .unionByName(items.select(F.col("id").alias("perf_i"), F.col("id").alias("perf_j"),
+                                      F.lit(0).cast(kind).alias("shift_frame_i_to_j"))))
