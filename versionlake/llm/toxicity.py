@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,10 @@ PREFIXES = (4, 5, 6)
 #: Positives that a feature is in at least, and the share of its unlabelled texts that positives must explain.
 LEAST = 3
 KNOWN_SHARE = 0.65
+#: Words of which training lists the features at a time; words that a scoring task remembers, and their longest length.
+WORDS_AT_ONCE = 200_000
+CACHE_WORDS = 50_000
+CACHE_LENGTH = 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,9 +39,38 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float, features: int = FEATURES,
+def _features_of(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Names of all features of distinct words, and per word the numbers of its own, -1 where it has fewer."""
+    columns = [words]
+    for k in PREFIXES:
+        long = pc.greater(pc.utf8_length(words), k)
+        start = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), "*", "")
+        columns.append(pc.if_else(long, start, pa.scalar(None, pa.string())))
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    numbers = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary.to_pylist(), numbers.reshape(len(columns), -1).T
+
+
+def _present(words: np.ndarray, ends: np.ndarray, features: np.ndarray, count: int):
+    """(row, feature) arrays of the distinct features of each text, a bounded number of words at a time.
+
+    words: numbers of the distinct words of all texts one after the other; ends: where each text ends.
+    """
+    lo = 0
+    while lo < len(ends):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + WORDS_AT_ONCE, side="right")))
+        part = words[start:ends[hi - 1]]
+        rows = np.repeat(np.arange(lo, hi), np.diff(np.concatenate([[start], ends[lo:hi]])))
+        own = features[part]
+        pairs = np.unique((rows[:, None] * count + own)[own >= 0])
+        yield pairs // count, pairs % count
+        lo = hi
+
+
+def train(positive, unlabelled, prior: float, features: int = FEATURES,
           rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[str, float], float]:
-    """Weights and bias of a linear classifier from positive and unlabelled word sets.
+    """Weights and bias of a linear classifier from positive and unlabelled word sets (lists, or Arrow lists).
 
     The risk is prior * E+[loss(g)] + max(0, Eu[loss(-g)] - prior * E+[loss(-g)]) with the sigmoid loss: the unlabelled
     texts count as negative, corrected for the share `prior` of positives among them; when the corrected negative risk
@@ -46,40 +78,48 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float,
     Features are words and beginnings of words whose unlabelled texts are mostly explained by positives, as far as the
     class prior tells; the most telling come first. A feature is in LEAST positives at least, and its z score exceeds
     what the largest of so many features without a meaning would have.
+
+    Words are numbers of one dictionary, features are found once a distinct word, and texts are flat arrays.
     """
-    def present(words: list[str]) -> set[str]:
-        return {f for w in words for f in word_features(w)}
-
-    n_pos, n_unl = len(positive), max(1, len(unlabelled))
-    pos, unl = Counter(), Counter()
-    for words in positive:
-        pos.update(present(words))
-    pos = Counter({f: n for f, n in pos.items() if n >= LEAST})
-    for words in unlabelled:
-        unl.update(present(words) & pos.keys())
-    scored, chance = [], np.sqrt(2 * np.log(max(2, len(pos))))
-    for name, n in pos.items():
-        a, b = n / n_pos, unl[name] / n_unl
-        # of its unlabelled texts, at least the share KNOWN_SHARE is what the class prior explains by positives
-        if prior * a > KNOWN_SHARE * b:
-            middle = (n + unl[name]) / (n_pos + n_unl)
-            z = (a - b) / np.sqrt(middle * (1 - middle) * (1 / n_pos + 1 / n_unl) + 1e-12)
-            if z > chance:
-                scored.append((-z, name))
-    chosen = [name for _, name in sorted(scored)[:features]]
-    place = {name: i for i, name in enumerate(chosen)}
+    kind = pa.list_(pa.string())
+    sides = [x if isinstance(x, pa.Array) else pa.array([list(w) for w in x], kind) for x in (positive, unlabelled)]
+    n_pos, n_unl = len(sides[0]), max(1, len(sides[1]))
+    coded = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode()
+    flat = coded.indices.to_numpy(zero_copy_only=False)
+    names, own = _features_of(coded.dictionary)
+    ends = [np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False)).astype(np.int64) for x in sides]
+    border = len(sides[0].flatten())
+    texts = [(flat[:border], ends[0], n_pos), (flat[border:], ends[1], len(sides[1]))]
+
+    def counts(part):
+        total = np.zeros(len(names), np.int64)
+        for _, found in _present(part[0], part[1], own, max(1, len(names))):
+            total += np.bincount(found, minlength=len(names))
+        return total
+
+    pos, unl = counts(texts[0]), counts(texts[1])
+    kept = np.flatnonzero(pos >= LEAST)
+    a, b = pos[kept] / max(1, n_pos), unl[kept] / n_unl
+    middle = (pos[kept] + unl[kept]) / (n_pos + n_unl)
+    z = (a - b) / np.sqrt(middle * (1 - middle) * (1 / max(1, n_pos) + 1 / n_unl) + 1e-12)
+    # of its unlabelled texts, at least the share KNOWN_SHARE is what the class prior explains by positives
+    telling = (prior * a > KNOWN_SHARE * b) & (z > np.sqrt(2 * np.log(max(2, len(kept)))))
+    chosen = sorted((-v, names[f], int(f)) for v, f in zip(z[telling], kept[telling]))[:features]
     if not chosen:
         return {}, -1.0
-
-    def matrix(texts):
-        rows, cols = [], []
-        for r, words in enumerate(texts):
-            hit = sorted(place[f] for f in present(words) if f in place)
-            rows += [r] * len(hit)
-            cols += hit
-        return np.array(rows, np.int64), np.array(cols, np.int64), len(texts)
-
-    data = [matrix(positive), matrix(unlabelled)]
+    place = np.full(len(names), -1)
+    place[[f for _, _, f in chosen]] = np.arange(len(chosen))
+    chosen = [name for _, name, _ in chosen]
+
+    def matrix(part):
+        rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r, found in _present(part[0], part[1], own, len(names)):
+            used = place[found] >= 0
+            rows.append(r[used])
+            cols.append(place[found[used]])
+        return np.concatenate(rows), np.concatenate(cols), part[2]
+
+    data = [matrix(part) for part in texts]
     weights, bias = np.zeros(len(chosen)), -0.5
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
 
@@ -148,10 +188,11 @@ def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def split(batches):
         for batch in batches:
-            words = [sorted(distinct_words(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("member"), batch.column("positive"),
-                 pa.array(words, pa.list_(pa.string()))], ["id", "member", "positive", "words"])
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                words = pa.array([sorted(distinct_words(t.as_py())) for t in part.column("text")], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("member"), part.column("positive"), words],
+                                                 ["id", "member", "positive", "words"])
 
     kind = known.schema["id"].dataType.simpleString()
     words = picked.select("id", "member", "positive", "text").mapInArrow(
@@ -159,9 +200,9 @@ def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def fit(group: pa.Table) -> pa.Table:
         ordered = group.sort_by([("id", "ascending")])
-        positive, unlabelled = (ordered.filter(pc.equal(ordered["positive"], side))["words"].to_pylist()
+        positive, unlabelled = (ordered.filter(pc.equal(ordered["positive"], side))["words"].combine_chunks()
                                 for side in (True, False))
-        weights, bias = train(positive, unlabelled, prior) if positive else ({}, None)
+        weights, bias = train(positive, unlabelled, prior) if len(positive) else ({}, None)
         names = list(weights)
         if bias is not None:
             names.append("")
@@ -200,9 +241,10 @@ def score_texts(docs: DataFrame, models: list, text_col: str = "text") -> DataFr
                     found = cache.get(word)
                     if found is None:
                         found = tuple(place[f] for f in word_features(word) if f in place)
-                        if len(cache) >= 300_000:
-                            cache.clear()
-                        cache[word] = found
+                        if len(word) <= CACHE_LENGTH:
+                            if len(cache) >= CACHE_WORDS:
+                                cache.clear()
+                            cache[word] = found
                     if found:
                         hits.update(found)
                 if not parts:
