@@ -230,6 +230,33 @@ def work_split(spark, sf_dir):
                                 val_unseen=0.15, test_unseen=0.1, val_ratio=0.2, test_ratio=0.1, seed=7)
 
 
+@query("work_split_ratio", """
+WITH RECURSIVE w AS (
+  SELECT supplier AS source, n, row_number() OVER (ORDER BY md5('7|' || supplier)) AS wr, count(*) OVER () AS nw
+  FROM (SELECT l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY ALL)),
+h AS (SELECT *, greatest(1, floor(nw * 0.1)) AS n_test, greatest(1, floor(nw * 0.1)) + greatest(1, floor(nw * 0.15)) AS n_held,
+             greatest(1, floor(n * 0.2)) AS v, greatest(1, floor(n * 0.1)) AS t FROM w),
+walk AS (
+  SELECT max(n_held) AS i, sum(n) FILTER (wr <= n_test) AS test, 0::DOUBLE AS train, NULL::BIGINT AS source, 0::DOUBLE AS took FROM h
+  UNION ALL
+  SELECT wr, test + least(took, greatest(n - v, 0)), train + greatest(n - v - took, 0), source, took
+  FROM (SELECT h.wr, h.n, h.v, h.source, test, train,
+               CASE WHEN train > 0 AND test / train > 0.1 THEN greatest(1, t - 1) ELSE t END AS took
+        FROM walk JOIN h ON h.wr = walk.i + 1)),
+r AS (SELECT l_suppkey AS source, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey
+             ORDER BY md5('7|' || l_suppkey || '|' || l_orderkey || '-' || l_linenumber)) AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN wr <= n_test THEN 'test' WHEN wr <= n_held THEN 'val' WHEN r <= v THEN 'val'
+  WHEN r <= v + took THEN 'test' ELSE 'train' END AS split
+FROM r JOIN h USING (source) LEFT JOIN walk USING (source)""")
+def work_split_ratio(spark, sf_dir):
+    """Order lines by supplier, with the running ratio of test to train; ranges of seven works show the carry."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.concat_ws(
+        "-", "l_orderkey", "l_linenumber").alias("line"))
+    out = splits.split_by_work(lines, "line", "l_suppkey", val_unseen=0.15, test_unseen=0.1, val_ratio=0.2,
+                               test_ratio=0.1, seed=7, keep_ratio=True, range_works=7)
+    return out.select("l_orderkey", "l_linenumber", "split")
+
+
 @query("kfold", """
 SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id)) - 1
   + ('0x' || substr(md5('42|' || source), 1, 8))::BIGINT % 5) % 5)::INT AS fold FROM documents""")

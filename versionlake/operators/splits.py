@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from versionlake.functions.seeded import seeded_hash, seeded_unit
 from versionlake.operators.numbering import number_by_hash, number_within, quantile_values
+from versionlake.session import reliable_checkpoint
+
+#: Works whose running ratio one task follows.
+RANGE_WORKS = 100_000
 
 # Strides for walking a ring of size below 2**31 without repeats (primes above 2**31).
 STRIDES = [2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857]
@@ -46,9 +52,13 @@ def quartile_subsets(df: DataFrame, column: str) -> dict[str, DataFrame]:
 
 
 def split_by_work(df: DataFrame, key: str, work: str = "work_id", val_unseen: float = 0.0, test_unseen: float = 0.0,
-                  val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
+                  val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42, keep_ratio: bool = False,
+                  range_works: int = RANGE_WORKS) -> DataFrame:
     """Add `split`. Some works go to test or validation as a whole (at least one when asked for); in every
-    other work a share of its rows, at least one, goes to each of validation and test."""
+    other work a share of its rows, at least one, goes to each of validation and test.
+
+    With `keep_ratio`, a work met when test holds more than `test_ratio` of what train holds so far, works held back for
+    test included, gives test one row less, but one at least; see `_reduced_works`."""
     works = df.groupBy(work).agg(F.count("*").alias("_n")).withColumn("_wh", seeded_hash(seed, work))
     total = works.count()
 
@@ -65,9 +75,79 @@ def split_by_work(df: DataFrame, key: str, work: str = "work_id", val_unseen: fl
 
     v = share(val_ratio) if val_ratio > 0 or test_ratio > 0 else F.lit(0)
     t = share(test_ratio) if test_ratio > 0 else F.lit(0)
+    if keep_ratio and test_ratio > 0:
+        placed = reliable_checkpoint(placed.withColumn("_v", v).withColumn("_t", t))
+        less = _reduced_works(placed, n_test, n_test + n_val, test_ratio, range_works)
+        rows = rows.join(less.select("_w", F.lit(1).alias("_less")), "_w", "left")
+        t = t - F.coalesce(F.col("_less"), F.lit(0))
+        rows = rows.withColumn("_t", t).drop("_less")
+        t = F.col("_t")
     split = (F.when(F.col("_w") <= n_test, "test").when(F.col("_w") <= n_test + n_val, "val")
              .when(F.col("_r") <= v, "val").when(F.col("_r") <= v + t, "test").otherwise("train"))
-    return rows.withColumn("split", split).drop("_h", "_r", "_n", "_w")
+    return rows.withColumn("split", split).drop("_h", "_r", "_n", "_w", "_t")
+
+
+def _reduced_works(works: DataFrame, n_test: int, n_held: int, ratio: float, range_works: int) -> DataFrame:
+    """Places (`_w`) of the works that give test one row less because it is above `ratio` of train.
+
+    `works` has _w (place from 1), _n rows, _v and _t. Whether a work is reduced depends on all works before it, but
+    only through one number: with ratio = p / q, a reduction takes q + p off q * test - p * train, and everything else in that
+    difference is a sum over the works before. So work i is reduced when at most c(i) works were reduced before it,
+    c(i) coming from a prefix sum. Ranges of works count their reductions in parallel from a guess of those before
+    them; ranges whose guess was wrong count again. Two guesses meet as soon as a c(i) lies between them, so a range seldom
+    counts twice, and the result is exact however often it does. The driver sees one number a range.
+    """
+    part = Fraction(str(ratio))
+    p, q = part.numerator, part.denominator
+    left = F.greatest(F.col("_n") - F.col("_v"), F.lit(0))
+    rest = works.where(F.col("_w") > n_held).select(
+        "_w", "_t", left.alias("_left"), F.least("_t", left).alias("_test"),
+        F.greatest(left - F.col("_t"), F.lit(0)).alias("_train"), F.floor(F.col("_w") / range_works).alias("_range"))
+    held = works.where(F.col("_w") <= n_test).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # without train rows there is no ratio yet
+    first = rest.where("_train > 0").agg(F.min("_w")).first()[0]
+    if first is None:
+        return rest.select("_w").limit(0)
+    step = (F.lit(q) * F.col("_test") - F.lit(p) * F.col("_train")).alias("_step")
+    steps = rest.select("*", step)
+    sums = steps.groupBy("_range").agg(F.sum("_step").alias("_sum"))
+    # one row a range
+    before = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_step").over(Window.partitionBy("_range").orderBy("_w").rowsBetween(Window.unboundedPreceding, -1))
+    base = F.lit(q * held) + F.col("_before") + F.coalesce("_inside", F.lit(0))
+    bounds = reliable_checkpoint(
+        steps.withColumn("_inside", inside).join(offsets, "_range")
+        .where((F.col("_w") > first) & (F.col("_t") >= 2) & (F.col("_left") >= F.col("_t")))
+        .select("_range", "_w", F.floor((base - 1) / F.lit(q + p)).cast("bigint").alias("_bound")))
+
+    def count(starts: dict[int, int]):
+        """Count of reductions up to the end of each range of `starts`, and the reduced works."""
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("_w", "ascending")])
+            number = group["_range"][0].as_py()
+            done, places = starts[number], []
+            for place, bound in zip(group["_w"].to_pylist(), group["_bound"].to_pylist()):
+                if done <= bound:
+                    done += 1
+                    places.append(place)
+            return pa.table({"_range": [number], "_done": [done], "_places": pa.array([places], pa.list_(pa.int64()))})
+
+        wanted = bounds.where(F.col("_range").isin(list(starts)))
+        return wanted.groupBy("_range").applyInArrow(run, "_range bigint, _done bigint, _places array<bigint>")
+
+    ranges = [r["_range"] for r in bounds.select("_range").distinct().orderBy("_range").collect()]
+    starts, ends, todo = dict.fromkeys(ranges, 0), {}, ranges
+    while todo:
+        ends.update((r["_range"], r["_done"]) for r in count({n: starts[n] for n in todo}).drop("_places").collect())
+        todo = []
+        for one, next_one in zip(ranges, ranges[1:]):
+            if starts[next_one] != ends[one]:
+                starts[next_one] = ends[one]
+                todo.append(next_one)
+    if not ranges:
+        return bounds.select("_w")
+    return count(starts).select(F.explode("_places").alias("_w"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
