@@ -68,3 +68,33 @@ def test_frame_shift_of_all_pairs_of_a_work(spark):
     pairs = spark.createDataFrame([k for k in want if k[0] < 100], "perf_i int, perf_j int")
     given = {(r[0], r[1]): r[2] for r in vectors.frame_shift(df, pairs).collect()}
     assert given == {k: v for k, v in want.items() if k[0] < 100}
+
+
+@pytest.mark.parametrize("cell_rows", [8192, 6])
+def test_reports_of_batches(spark, cell_rows):
+    rng = np.random.default_rng(7)
+    rows, batches = [], {}
+    for batch, n in (("big", 40), ("small", 3), ("one", 1), (None, 5)):
+        left, right = rng.normal(size=(n, 4)), rng.normal(size=(n, 4))
+        left, right = left + 0.5 * right, right.round(1)
+        right[: n // 3] = right[0]                                   # ties
+        batches[batch] = left, right
+        rows += [(batch, i, x.tolist(), y.tolist(), "extra") for i, (x, y) in enumerate(zip(left, right))]
+    df = spark.createDataFrame(rows, "batch_id string, id int, embedding_a array<double>, embedding_b array<double>, label string")
+    found = {r["batch_id"]: r for r in vectors.retrieval_in_batch(df.repartition(3), cell_rows=cell_rows).collect()}
+    report = {r["batch_id"]: r for r in vectors.alignment_in_batch(df.repartition(3), cell_rows=cell_rows).collect()}
+    assert found.keys() == report.keys() == batches.keys()
+    for batch, (left, right) in batches.items():
+        sim = np.round(left @ right.T, 9)
+        n = len(sim)
+        rank = np.array([1 + sum(sim[i, j] > sim[i, i] or sim[i, j] == sim[i, i] and j < i for j in range(n)) for i in range(n)])
+        got = found[batch]
+        assert [got["HR1"], got["HR5"], got["HR10"]] == pytest.approx([(rank <= k).mean() for k in (1, 5, 10)])
+        assert got["MAP10"] == pytest.approx(np.where(rank <= 10, 1 / rank, 0).mean())
+        assert got["cosine_sim"] == pytest.approx(np.diag(sim).mean())
+        cross, a, b = (score_block(x, y, "cosine") for x, y in ((left, right), (left, left), (right, right)))
+        logits = cross / 0.07
+        want = [1 - np.diag(cross).mean(), ((a - b) ** 2).mean(), (np.log(np.exp(logits).sum(1)) - np.diag(logits)).mean()]
+        assert [report[batch][c] for c in ("l_cos", "l_mse", "contrastive")] == pytest.approx(want)
+        assert report[batch]["total"] == pytest.approx((want[0] + want[1]) / 2)
+    assert vectors.retrieval_in_batch(df.limit(0)).count() == 0

@@ -150,6 +150,14 @@ def _label_grid(queries, corpus, scorer, cell_rows, run, schema, exclude=None) -
     return _cogroup(_with_skips(q, c, exclude, ["bucket", "hot", "gc"]), c, keys, buckets, run, schema)
 
 
+def label_cells(queries: DataFrame, corpus: DataFrame, scorer, run, schema: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """`run(key, queries, corpus)` on Arrow tables of cells that hold whole labels, or parts of labels above `cell_rows`.
+
+    `scorer` names the `columns` that travel, and `q_columns` those of queries alone. A cell may hold several labels.
+    """
+    return _label_grid(queries, corpus, scorer, cell_rows, run, schema)
+
+
 # ---------------------------------------------------------------- one cell
 
 class _Cell:

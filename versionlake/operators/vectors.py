@@ -5,17 +5,21 @@ An embedding table has one row a chunk: id, chunk_id, embedding.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from versionlake.functions import vectors as V
 from versionlake.functions.scorers import FrameShiftScorer, list_matrix, score_block
 from versionlake.functions.seeded import seeded_hash
 from versionlake.operators import tiles
+from versionlake.session import reliable_checkpoint
 
 
 def _vector(column: str):
@@ -193,47 +197,109 @@ def pair_distances(pairs: DataFrame, a: str, b: str, modes=V.DISTANCE_MODES, p:
 
 # ---------------------------------------------------------------- in-batch reports
 
+@dataclass
+class _BatchPairs:
+    """What travels of a batch: both vectors of each row, and the value of the row with itself."""
+
+    columns = ["ea", "eb"]
+    q_columns = ("own",)
+
+    def weight(self, table: pa.Table) -> np.ndarray:
+        return np.ones(table.num_rows, dtype=np.int64)
+
+
+def _batch_rows(pairs: DataFrame, batch: str, key: Column, a: str, b: str, own) -> DataFrame:
+    # a null batch is one of its own
+    label = F.when(F.col(batch).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(batch).cast("string")))
+    rows = pairs.select(F.col(batch).alias("batch"), label.alias("label"), key.alias("id"), F.col(a).alias("ea"), F.col(b).alias("eb"))
+    return reliable_checkpoint(rows.withColumn("own", own))
+
+
+def _batch_blocks(q: pa.Table, c: pa.Table):
+    """(lo, hi, same batch) of blocks of query rows against all rows of a cell."""
+    labels = pc.unique(pa.chunked_array([*q["label"].chunks, *c["label"].chunks]))
+    left, right = (pc.index_in(t["label"], value_set=labels).to_numpy() for t in (q, c))
+    height = max(1, tiles.BLOCK_CELLS // max(1, c.num_rows))
+    for lo in range(0, q.num_rows, height):
+        hi = min(q.num_rows, lo + height)
+        yield lo, hi, left[lo:hi, None] == right[None, :]
+
+
 def retrieval_in_batch(pairs: DataFrame, batch: str = "batch_id", key: str = "id", a: str = "embedding_a",
-                       b: str = "embedding_b", topk: tuple = (1, 5, 10), map_k: int = 10) -> DataFrame:
+                       b: str = "embedding_b", topk: tuple = (1, 5, 10), map_k: int = 10,
+                       cell_rows: int = tiles.CELL_ROWS) -> DataFrame:
     """Per batch: HR@k of the own partner among the batch, MAP@k (1 / rank) and the mean matched product.
-    A batch is a training batch, a few hundred rows by construction. Ties go to the smaller id."""
-    names = [f"HR{k}" for k in topk] + [f"MAP{map_k}", "cosine_sim"]
-    schema = f"{batch} {pairs.schema[batch].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-
-    def run(key_values, rows):
-        rows = rows.sort_by([(key, "ascending")])
-        sim = np.round(list_matrix(rows[a]) @ list_matrix(rows[b]).T, 9)
-        own = np.diag(sim)[:, None]
-        earlier = np.tril(np.ones_like(sim), -1)
-        rank = 1 + (sim > own).sum(1) + ((sim == own) * earlier).sum(1)
-        values = [(rank <= k).mean() for k in topk]
-        values += [np.where(rank <= map_k, 1.0 / rank, 0.0).mean(), np.diag(sim).mean()]
-        return pa.table({batch: pa.array([key_values[0].as_py()], rows.schema.field(batch).type),
-                         **{n: pa.array([float(v)]) for n, v in zip(names, values)}})
 
-    return pairs.select(batch, key, a, b).groupBy(batch).applyInArrow(run, schema)
+    Ties go to the smaller id; ids are unique in a batch. Batches share cells, and one above `cell_rows` gets a grid of its
+    own: a cell gives the number of better partners of each row, never the matrix of products.
+    """
+    own = F.round(V.dot(F.col("ea"), F.col("eb")), tiles.SCORE_DIGITS)
+    rows = _batch_rows(pairs, batch, F.col(key), a, b, own)
+
+    def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
+        ahead = np.zeros(q.num_rows, np.int64)
+        if q.num_rows and c.num_rows:
+            ids = pc.unique(pa.chunked_array([*q["id"].chunks, *c["id"].chunks]))
+            ids = ids.take(pc.array_sort_indices(ids))
+            mine, others = (pc.index_in(t["id"], value_set=ids).to_numpy() for t in (q, c))
+            left, right, bar = list_matrix(q["ea"]), list_matrix(c["eb"]), q["own"].to_numpy()
+            for lo, hi, same in _batch_blocks(q, c):
+                value = np.round(left[lo:hi] @ right.T, tiles.SCORE_DIGITS)
+                tied = (value == bar[lo:hi, None]) & (others[None, :] < mine[lo:hi, None])
+                better = ((value > bar[lo:hi, None]) | tied) & same & (others[None, :] != mine[lo:hi, None])
+                ahead[lo:hi] = better.sum(axis=1)
+        return pa.table({"label": q["label"], "id": q["id"], "ahead": pa.array(ahead)})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    counted = tiles.label_cells(rows, rows, _BatchPairs(), run, f"label string, id {kind}, ahead bigint", cell_rows)
+    ranks = rows.select("batch", "label", "id", "own").join(
+        counted.groupBy("label", "id").agg((F.sum("ahead") + 1).alias("rank")), ["label", "id"])
+    values = [F.avg((F.col("rank") <= k).cast("double")).alias(f"HR{k}") for k in topk]
+    values += [F.avg(F.when(F.col("rank") <= map_k, 1.0 / F.col("rank")).otherwise(0.0)).alias(f"MAP{map_k}"),
+               F.avg("own").alias("cosine_sim")]
+    return ranks.groupBy("label").agg(F.first("batch").alias(batch), *values).drop("label")
 
 
 def alignment_in_batch(pairs: DataFrame, batch: str = "batch_id", a: str = "embedding_a", b: str = "embedding_b",
-                       alpha: float = 0.5, logit_scale: float = 1 / 0.07) -> DataFrame:
+                       alpha: float = 0.5, logit_scale: float = 1 / 0.07, cell_rows: int = tiles.CELL_ROWS) -> DataFrame:
     """Per batch: l_cos (1 - matched cosine), l_mse (difference of the two similarity matrices), their
-    weighted total, and the contrastive cross-entropy of the matched partner among the batch."""
-    names = ["l_cos", "l_mse", "total", "contrastive"]
-    schema = f"{batch} {pairs.schema[batch].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-
-    def run(key_values, rows):
-        left, right = list_matrix(rows[a]), list_matrix(rows[b])
-        cross = score_block(left, right, "cosine")
-        l_cos = 1.0 - np.diag(cross).mean()
-        l_mse = ((score_block(left, left, "cosine") - score_block(right, right, "cosine")) ** 2).mean()
-        logits = cross * logit_scale
-        top = logits.max(1)
-        entropy = (np.log(np.exp(logits - top[:, None]).sum(1)) + top - np.diag(logits)).mean()
-        values = [l_cos, l_mse, alpha * l_cos + (1 - alpha) * l_mse, entropy]
-        return pa.table({batch: pa.array([key_values[0].as_py()], rows.schema.field(batch).type),
-                         **{n: pa.array([float(v)]) for n, v in zip(names, values)}})
-
-    return pairs.select(batch, a, b).groupBy(batch).applyInArrow(run, schema)
+    weighted total, and the contrastive cross-entropy of the matched partner among the batch.
+
+    A cell gives, for each of its rows, the largest logit, the sum of exponentials relative to it, and the sum of squared
+    differences; sums of cells are brought to a common largest logit, so a batch is never one matrix.
+    """
+    number = F.monotonically_increasing_id()
+    rows = _batch_rows(pairs, batch, number, a, b, V.cosine(F.col("ea"), F.col("eb")))
+
+    def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
+        top, total, apart = np.zeros(q.num_rows), np.zeros(q.num_rows), np.zeros(q.num_rows)
+        if q.num_rows and c.num_rows:
+            (qa, qb), (ca, cb) = ([list_matrix(t[n]) for n in ("ea", "eb")] for t in (q, c))
+            for lo, hi, same in _batch_blocks(q, c):
+                logits = np.where(same, score_block(qa[lo:hi], cb, "cosine") * logit_scale, -np.inf)
+                # a batch has cells in a whole grid, so every row meets rows of its own batch
+                top[lo:hi] = logits.max(axis=1)
+                total[lo:hi] = np.exp(logits - top[lo:hi, None]).sum(axis=1)
+                gap = (score_block(qa[lo:hi], ca, "cosine") - score_block(qb[lo:hi], cb, "cosine")) ** 2
+                apart[lo:hi] = np.where(same, gap, 0.0).sum(axis=1)
+        return pa.table({"label": q["label"], "id": q["id"], "top": pa.array(top), "total": pa.array(total),
+                         "apart": pa.array(apart), "met": pa.array(np.full(q.num_rows, c.num_rows > 0))})
+
+    parts = tiles.label_cells(rows, rows, _BatchPairs(), run,
+                              "label string, id bigint, top double, total double, apart double, met boolean", cell_rows)
+    merged = parts.where("met and total > 0").groupBy("label", "id").agg(
+        F.collect_list(F.struct("top", "total")).alias("cells"), F.sum("apart").alias("apart"))
+    merged = merged.withColumn("high", F.array_max(F.transform("cells", lambda x: x["top"])))
+    # one entry a cell of the grid row
+    scaled = F.aggregate("cells", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("high")))
+    rated = rows.select("batch", "label", "id", "own").join(
+        merged.select("label", "id", "apart", (F.log(scaled) + F.col("high")).alias("spread")), ["label", "id"])
+    n = F.count("*")
+    out = rated.groupBy("label").agg(
+        F.first("batch").alias(batch), (1.0 - F.avg("own")).alias("l_cos"), (F.sum("apart") / (n * n)).alias("l_mse"),
+        F.avg(F.col("spread") - F.col("own") * logit_scale).alias("contrastive"))
+    total = alpha * F.col("l_cos") + (1 - alpha) * F.col("l_mse")
+    return out.select(batch, "l_cos", "l_mse", total.alias("total"), "contrastive")
 
 
 # ---------------------------------------------------------------- frame alignment
