@@ -713,7 +713,24 @@ def evaluate_sparse(spark, sf_dir):
     return rounded(evaluate.evaluate("sparse", by_text(spark, sf_dir), embeddings=word_vectors(spark, sf_dir)).metrics)
 
 
-@query("evaluate_fusion")
+# the sparse scores of SPARSE_SQL, signed hashing of words into 16 places, and the mean of both softmaxes over all others
+FUSION_SQL = SPARSE_SQL.replace("""pairs AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT AS relevant, round(coalesce(s, 0.0), 9) AS score
+          FROM d q JOIN d c ON q.id <> c.id LEFT JOIN s ON a = q.id AND b = c.id),""", """words AS (
+  SELECT id, md5(word) AS h FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS word FROM d) WHERE word <> ''),
+places AS (SELECT id, ('0x' || substr(h, 1, 6))::BIGINT % 16 AS place,
+                  sum(CASE WHEN substr(h, 7, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM words GROUP BY ALL),
+unit AS (SELECT id, place, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM places QUALIFY sum(v * v) OVER (PARTITION BY id) > 0),
+e AS (SELECT q.id AS a, c.id AS b, sum(q.v * c.v) AS e FROM unit q JOIN unit c USING (place) WHERE q.id <> c.id GROUP BY ALL),
+both_scores AS (SELECT q.id AS query_id, c.id AS corpus_id, (q.label = c.label)::INT AS relevant, coalesce(s, 0.0) AS s,
+                       coalesce(e, 0.0) AS e
+                FROM d q JOIN d c ON q.id <> c.id LEFT JOIN s ON s.a = q.id AND s.b = c.id LEFT JOIN e ON e.a = q.id AND e.b = c.id),
+tops AS (SELECT query_id, max(s) AS ms, max(e) AS me FROM both_scores GROUP BY query_id),
+sums AS (SELECT query_id, sum(exp(s - ms)) AS ss, sum(exp(e - me)) AS se FROM both_scores JOIN tops USING (query_id) GROUP BY query_id),
+pairs AS (SELECT query_id, corpus_id, relevant, round((exp(s - ms) / ss + exp(e - me) / se) / 2, 9) AS score
+          FROM both_scores JOIN tops USING (query_id) JOIN sums USING (query_id)),""")
+
+
+@query("evaluate_fusion", FUSION_SQL)
 def evaluate_fusion(spark, sf_dir):
     meta = by_text(spark, sf_dir)
     dense = infer.encode_text(documents(spark, sf_dir), "doc_id", "text", infer.HashEncoder, "hash16").select(

@@ -127,7 +127,27 @@ def wer(spark, sf_dir):
             .select("conv_id", "turn", F.round("wer", 6).alias("wer")))
 
 
-@query("compare_systems")
+def system_sql(name: str, change: str) -> str:
+    return f"""SELECT conv_id || '-' || turn || '-{name}' AS id, '{name}' AS system, length(text) AS size,
+               {PLAIN_WORDS.format('text')} AS x, {PLAIN_WORDS.format(f"regexp_replace(text, {change}, 'g')")} AS y FROM conversations"""
+
+
+# the p-value is one minus the t density between -t and t, by Simpson's rule
+@query("compare_systems", rows_sql(
+    system_sql("a", "' (de|the|der) ', ' '") + " UNION ALL " + system_sql("b", "'(on|en) ', '\\1'"),
+    "j", """j + min(CASE WHEN j = 0 THEN i + 1 ELSE least(v + 1, w + (NOT same)::INT) - j END)
+            OVER (PARTITION BY id ORDER BY j)""") + """,
+rated AS (SELECT system, size, v / len(x)::DOUBLE AS wer FROM p JOIN last USING (id) WHERE len(x) > 0),
+sums AS (SELECT avg(wer) FILTER (system = 'a') AS mean_a, stddev_samp(wer) FILTER (system = 'a') AS std_a,
+                avg(wer) FILTER (system = 'b') AS mean_b, stddev_samp(wer) FILTER (system = 'b') AS std_b,
+                corr(wer, size) FILTER (system = 'b') AS correlation, count(*) FILTER (system = 'b') AS n FROM rated),
+student AS (SELECT (n - 2)::DOUBLE AS free, abs(correlation) * sqrt((n - 2) / (1 - correlation * correlation)) AS t FROM sums),
+density AS (SELECT k, t, exp(lgamma((free + 1) / 2) - lgamma(free / 2)) / sqrt(free * pi())
+                          * pow(1 + pow(t * k / 4000, 2) / free, -(free + 1) / 2) AS f
+            FROM student, (SELECT unnest(range(0, 4001)) AS k)),
+inside AS (SELECT 2 * max(t) / 4000 / 3 * sum(f * CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) AS share FROM density)
+SELECT round(mean_a, 6) AS mean_a, round(std_a, 6) AS std_a, round(mean_b, 6) AS mean_b, round(std_b, 6) AS std_b,
+       round(correlation, 6) AS correlation, n, round(1 - share, 6) AS p_value FROM sums, inside""")
 def compare_systems(spark, sf_dir):
     out = T.compare_systems(wer_pairs(spark, sf_dir), "text", "hyp", "hyp2", "size")
     return out.select(*[F.round(c, 6).alias(c) if c != "n" else F.col(c) for c in out.columns])

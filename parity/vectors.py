@@ -8,6 +8,7 @@ from parity.registry import query, table
 from parity.retrieval import DENSE
 from versionlake.functions.scorers import (
     DenseScorer, MultiVectorScorer, SparseScorer, WeightedScorer)
+from versionlake.functions import vectors as VF
 from versionlake.functions.vectors import DISTANCE_MODES
 from versionlake.operators import mining, numbering, ranking, tiles, vectors as V
 
@@ -210,6 +211,18 @@ def pca2(spark, sf_dir):
                                            F.round(F.element_at("components", 2), 6).alias("y"))
 
 
+@query("aligned_segments", """
+SELECT a.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS product
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 3 <> 1""")
+def aligned_segments(spark, sf_dir):
+    """Rows that two sets have in common: vectors without every third, and each with the one after it."""
+    e = table(spark, sf_dir, "embeddings")
+    left = e.where("vec_id % 3 <> 1").select(F.col("vec_id").alias("uid"), "embedding")
+    right = e.select((F.col("vec_id") - 1).alias("uid"), "embedding")
+    out = V.aligned_segments(left, right)
+    return out.select(F.col("uid").alias("id"), F.round(VF.dot(F.col("embedding_a"), F.col("embedding_b")), 6).alias("product"))
+
+
 @query("covariance_penalty", """
 WITH x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
