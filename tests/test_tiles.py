@@ -195,3 +195,17 @@ def test_pairs_and_batches(spark):
     with pytest.raises(ValueError):
         tiles.model_scorer("unknown")
     assert tiles.model_scorer("clews").redux == "bpwr-5"
+
+
+def test_stored_corpus_gives_the_same_and_is_not_shuffled(spark, items, tmp_path):
+    scorer = DenseScorer()
+    stored = tiles.store_by_cell(items, scorer, "stored_items", str(tmp_path / "stored"))
+    try:
+        queries = items.limit(7)
+        got = tiles.top_k_stored(queries, stored, scorer, 4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tiles.top_k(queries, items, scorer, 4, cells=(1, 2)).collect()))
+        # a plan of its own: one that ran prints its first form too
+        plan = tiles.top_k_stored(queries, stored, scorer, 4)._jdf.queryExecution().executedPlan().toString()
+        assert plan[plan.index("FlatMapCoGroups"):].count("Exchange hashpartitioning(gc") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.sql("DROP TABLE stored_items")

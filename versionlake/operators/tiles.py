@@ -14,6 +14,7 @@ and the columns of the scorer.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +261,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100,
     if isinstance(scorer, MultiVectorScorer):
         return _top_k_pieces(queries, corpus, scorer, k, cells, max_vectors, exclude)
 
+    return _ordered(rank_window(_grid(queries, corpus, scorer, cells, _best_of_cell(scorer, k), schema, exclude=exclude), k))
+
+
+def _best_of_cell(scorer, k: int):
+    """The k best corpus rows of a cell for each of its queries."""
     def run(key, q, c):
         out = []
         if q.num_rows and c.num_rows:
@@ -270,7 +276,35 @@ def top_k(queries: DataFrame, corpus: DataFrame, scorer, k: int = 100,
                                        relevant=pa.array(cell.relevant(rows + lo, cols), pa.int32())))
         return _concat(out, _pair_schema(q, c))
 
-    return _ordered(rank_window(_grid(queries, corpus, scorer, cells, run, schema, exclude=exclude), k))
+    return run
+
+
+@dataclass
+class StoredCorpus:
+    """A corpus written by cell: name of the bucketed table, number of cells."""
+    name: str
+    cells: int
+
+
+def store_by_cell(corpus: DataFrame, scorer, name: str, path: str, cell_rows: int = CELL_ROWS) -> StoredCorpus:
+    """Write `corpus` once as the table `name` in `path`, bucketed by cell, so that later rankings neither count nor
+    shuffle it. A cell has about `cell_rows` rows (or vectors), and every core gets one."""
+    rows = usable(_items(corpus, scorer.columns), scorer)
+    cells = max(2 * corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(_weighted_rows(rows, scorer) / cell_rows))
+    placed = rows.withColumn("gc", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
+    (placed.repartition(cells, "gc").write.option("path", path).bucketBy(cells, "gc").sortBy("gc").saveAsTable(name))
+    return StoredCorpus(name, cells)
+
+
+def top_k_stored(queries: DataFrame, stored: StoredCorpus, scorer, k: int = 100) -> DataFrame:
+    """`top_k` of a batch of queries against a stored corpus: only the queries move, one copy a cell."""
+    schema = (f"query_id {_id_type(queries)}, corpus_id {_id_type(queries.sparkSession.table(stored.name))}, "
+              "score double, relevant int")
+    q = usable(_items(queries, scorer.columns), scorer).withColumn(
+        "gc", F.explode(F.sequence(F.lit(0), F.lit(stored.cells - 1))))
+    c = queries.sparkSession.table(stored.name)
+    found = q.groupBy("gc").cogroup(c.groupBy("gc")).applyInArrow(_best_of_cell(scorer, k), schema)
+    return _ordered(rank_window(found, k))
 
 
 def _pair_schema(q: pa.Table, c: pa.Table) -> pa.Schema:

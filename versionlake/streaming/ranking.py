@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from versionlake.operators import tiles
+from versionlake.session import shared_folder
 
 
-def rank_arrivals(arrivals: DataFrame, corpus: DataFrame, scorer, out_path: str, checkpoint: str,
+def rank_arrivals(arrivals: DataFrame, corpus: DataFrame | tiles.StoredCorpus, scorer, out_path: str, checkpoint: str,
                   k: int = 100) -> StreamingQuery:
     """Every micro-batch of queries (id, label, columns of the scorer) gets its top k, written under its
-    batch number: a replayed batch replaces its own output, so each query appears once."""
+    batch number: a replayed batch replaces its own output, so each query appears once.
+
+    The corpus is laid out by cell once, before the first batch (or was, by `tiles.store_by_cell`); a batch
+    neither counts nor shuffles it.
+    """
+    if isinstance(corpus, tiles.StoredCorpus):
+        stored = corpus
+    else:
+        stored = tiles.store_by_cell(corpus, scorer, f"corpus_{uuid.uuid4().hex}", shared_folder(corpus.sparkSession, "corpus"))
+
     def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        tiles.top_k(batch, corpus, scorer, k).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        tiles.top_k_stored(batch, stored, scorer, k).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return (arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
