@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -390,6 +391,30 @@ def test_salvage():
         assert sum("fields" in f for f in found) == 5 and [f["gap_start"] for f in found if "reason" in f] == [0, 4 + starts[5]]
 
 
+def test_salvage_takes_time_linear_in_members():
+    def seconds(n):
+        body = np.random.default_rng(3).bytes(4000)
+        data = b"".join(warc.members(warc.record_bytes(i, "http://x", body, len(body), "D", None)) for i in range(n))
+        start = time.process_time()
+        assert sum(1 for f in warc.salvage(data) if "fields" in f) == n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(8000) < 9 * seconds(2000)
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    body = np.random.default_rng(4).integers(33, 127, size=(300, 2000), dtype=np.uint8)
+    rows = [(i, "http://h/", body[i].tobytes().decode("ascii"), 1) for i in range(300)]
+    path = str(tmp_path / "warc")
+    warc.write_archives(page_frame(spark, rows), path, block_bytes=10_000, file_blocks=2)
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) >= 300 * 1500 // 25_000 and max(sizes) < 2 * (10_000 + 3_000)
+    got = warc.read_archives(spark, path)
+    assert got.where("gap_start IS NOT NULL").count() == 0
+    assert {r["page_id"]: bytes(r["payload"]).decode("ascii") for r in got.collect()} == {i: t for i, _, t, _ in rows}
+
+
 def test_salvage_keeps_records_with_gzip_bodies_and_what_a_broken_member_gave():
     import gzip
 

@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import query, shared_folder, table
 
-#: Rows of an archive file at most, salts of a repeated payload, bytes of a record in one gzip member at most.
-FILE_RECORDS = 20_000
+#: Salts of a repeated payload, bytes of a record in one gzip member at most.
 SALTS = 64
 MEMBER_BYTES = 8 << 20
+#: Records are written in blocks that end once they hold so many bytes; a file has so many blocks at most.
+BLOCK_BYTES = 4 << 20
+FILE_BLOCKS = 16
+#: Bytes handed to the decompressor at a time: what lies behind a member is copied for each member.
+PIECE = 1 << 14
 
 VERSION = b"WARC/1.1"
 _MEMBER = b"\x1f\x8b\x08"
+_START = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 
@@ -58,7 +63,8 @@ def members(record: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", revisit_from: int = 0, file_records: int = FILE_RECORDS) -> None:
+                   payload_col: str = "html", revisit_from: int = 0, block_bytes: int = BLOCK_BYTES,
+                   file_blocks: int = FILE_BLOCKS) -> None:
     """Write one record per row into gzip WARC files under `path`.
 
     Null payloads count as empty. Of records with equal payloads of at least `revisit_from` bytes, the one with the
@@ -68,6 +74,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Digests are combined by salted groups, so a payload that fills a third of the table is spread over tasks. The
     text writer of Spark puts the bytes of a column and a separator into a file: the records go in without their last
     byte, a zero of the last gzip size field, and the separator is that byte. So any file system of Spark will do.
+
+    A file ends by bytes, whatever the size of its records: it holds at most `file_blocks` blocks, each of less than
+    `block_bytes` and one record more. A very long payload is a record of its own block.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
@@ -82,17 +91,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     marked = marked.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest",
                            F.when(revisit, F.col("first")).alias("refers_to"))
 
+    def block(parts):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+
     def build(batches):
+        parts, held = [], 0
         for batch in batches:
-            values = []
             for row in zip(*(batch.column(c) for c in ("id", "url", "payload", "size", "digest", "refers_to"))):
                 page, url, payload, size, digest, refers_to = (v.as_py() for v in row)
                 record = record_bytes(page, url, payload, size, base64.b32encode(digest).decode(), refers_to)
-                values.append(members(record)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+                parts.append(members(record))
+                held += len(parts[-1])
+                if held >= block_bytes:
+                    yield block(parts)
+                    parts, held = [], 0
+        if parts:
+            yield block(parts)
 
     (marked.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\0").option("maxRecordsPerFile", file_records).text(path))
+     .write.option("lineSep", "\0").option("maxRecordsPerFile", file_blocks).text(path))
 
 
 def _gap(at: int, end: int, reason: str) -> dict:
@@ -201,14 +218,17 @@ def _decompressed(data: bytes, at: int, most: int | None = None) -> tuple[bytes,
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     if not data.startswith(_MEMBER, at):
         raise ValueError("no gzip member")
-    stream = zlib.decompressobj(31)
-    try:
-        text = stream.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        raise ValueError(f"gzip: {error}") from None
-    if not stream.eof:
-        raise ValueError("gzip member without end")
-    return text, len(data) - len(stream.unused_data)
+    stream, parts, rest = zlib.decompressobj(31), [], memoryview(data)
+    while not stream.eof:
+        piece = rest[at:at + PIECE]
+        if not piece:
+            raise ValueError("gzip member without end")
+        try:
+            parts.append(stream.decompress(piece))
+        except zlib.error as error:
+            raise ValueError(f"gzip: {error}") from None
+        at += len(piece)
+    return b"".join(parts), at - len(stream.unused_data)
 
 
 def _members_of_record(data: bytes, at: int) -> tuple[bytes, int]:
@@ -232,18 +252,17 @@ def _next_start(data: bytes, at: int) -> int:
 
     A broken member counts if its first bytes are a version line.
     """
-    line = data.find(b"WARC/1.", at)
-    line = len(data) if line < 0 else line
-    member = data.find(_MEMBER, at, line + len(_MEMBER))
-    while 0 <= member < line:
+    for found in _START.finditer(data, at):
+        place = found.start()
+        if found[0] != _MEMBER:
+            return place
         try:
-            if b"WARC/1." in _inflate(data, member)[0]:
-                return member
+            if b"WARC/1." in _inflate(data, place)[0]:
+                return place
         except ValueError:
-            if _decompressed(data, member, 7)[0].startswith(b"WARC/1."):
-                return member
-        member = data.find(_MEMBER, member + 1, line + len(_MEMBER))
-    return line
+            if _decompressed(data, place, 7)[0].startswith(b"WARC/1."):
+                return place
+    return len(data)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -251,7 +270,8 @@ def read_archives(spark, path: str) -> DataFrame:
 
     Columns: file, record_type, page_id (of this library's record ids), url, payload BINARY (null for revisits),
     payload_bytes, payload_digest, refers_to, and for gaps gap_start, gap_end, gap_reason with all else null.
-    A file is read by one task, so files should be bounded, as `write_archives` makes them. A folder without files gives
+    A file is read by one task, in time linear in its bytes, so files should be bounded, as `write_archives` makes them.
+    A folder without files gives
     no rows.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
