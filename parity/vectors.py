@@ -239,8 +239,9 @@ SELECT max(value) FILTER (r = round_even(0.1 * (n - 1), 0)) AS q10,
        max(value) FILTER (r = round_even(0.9 * (n - 1), 0)) AS q90 FROM o""")
 def nearest_rank_quantiles(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    values = numbering.quantile_values(events, "value", [0.1, 0.5, 0.9], "nearest")
-    return events.agg(*[F.max(F.lit(v)).alias(n) for v, n in zip(values, ("q10", "q50", "q90"))])
+    found = numbering.quantiles(events, "value", [0.1, 0.5, 0.9], "nearest")
+    return found.agg(*[F.max(F.when(F.col("probability") == q, F.col("value"))).alias(n)
+                       for q, n in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90"))])
 
 
 @query("masked_summary", """

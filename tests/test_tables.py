@@ -30,6 +30,36 @@ def test_exact_quantiles(spark, buckets):
     assert got == pytest.approx(list(np.quantile(data, [0, .1, .5, .9, 1])))
 
 
+def test_quantiles_as_a_plan(spark):
+    tiny, huge = 5e-324, 1.7e308
+    data = [-huge, -1.0, -tiny, -0.0, 0.0, tiny, 1e-300, 1.0, np.nextafter(1.0, 2.0), 7.0, huge, float("inf")]
+    data += [3.0] * 500
+    df = spark.createDataFrame([(float(v),) for v in data] + [(None,)], "v double").repartition(5)
+    probabilities = [i / (len(data) - 1) for i in range(0, len(data) - 1, 7)] + [1.0]
+    got = {r["probability"]: r["value"] for r in numbering.quantiles(df, "v", probabilities, "nearest").collect()}
+    want = np.sort(np.array(data))
+    assert [got[q] for q in probabilities] == [want[round(q * (len(data) - 1))] for q in probabilities]
+    assert len(probabilities) == len(got)
+    low = numbering.quantile_values(df, "v", [i / (len(data) - 1) for i in range(9)], "nearest")
+    assert low == list(want[:9])
+    # infinity beside a finite neighbour, only when a share of it is taken
+    assert numbering.quantile_values(df, "v", [1.0, 0.0]) == [float("inf"), -huge]
+    nothing = numbering.quantiles(df.where("v > 5 and v < 0"), "v", [0.5, 0.1]).collect()
+    assert sorted(nothing) == [(0.1, None), (0.5, None)]
+    assert np.isnan(numbering.quantile_values(df.where("v is null"), "v", [0.5])[0])
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert numbering.quantile_values(nan, "v", [0.0, 0.5]) == [1.0, 2.0]
+
+
+def test_quartile_subsets(spark):
+    df = spark.createDataFrame([(i, float(i % 10)) for i in range(100)] + [(100, None)], "id int, v double")
+    parts = splits.quartile_subsets(df, "v")
+    values = np.array([i % 10 for i in range(100)])
+    for name, q in (("q1", .25), ("median", .5), ("q3", .75)):
+        assert parts[name].count() == int((values >= np.quantile(values, q)).sum())
+    assert all(p.count() == 0 for p in splits.quartile_subsets(df.where("v is null"), "v").values())
+
+
 def test_uid(spark):
     df = spark.createDataFrame([("V-12_34", 5), ("ab_c", 1)], "v string, c int")
     rows = df.select(ids.chunk_uid(F.col("v"), F.col("c")), ids.chunk_uid(F.col("v"), F.col("c"), True)).collect()

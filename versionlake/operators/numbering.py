@@ -8,6 +8,7 @@ from versionlake.session import reliable_checkpoint
 
 HEX_DIGITS = 3
 HOT_ROWS = 1_000_000
+LARGEST = 2 ** 63 - 1
 
 
 def number_by_hash(df: DataFrame, hash_col: str, out: str = "row_no", ties: tuple = ()) -> DataFrame:
@@ -72,43 +73,78 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def quantile_values(df: DataFrame, column: str, probabilities: list[float],
-                    interpolation: str = "linear", buckets: int = 1000) -> list[float]:
-    """Exact quantiles as numbers. `linear` interpolates between neighbours, `nearest` takes the value at
-    round(q * (n - 1)).
+def _sortable(value: Column) -> Column:
+    """A double as a long in the same order: its bits, with all but the sign turned round for negative numbers."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(LARGEST))).otherwise(bits)
+
+
+def _from_sortable(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit(LARGEST))).otherwise(key)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def quantiles(df: DataFrame, column: str, probabilities: list[float], interpolation: str = "linear",
+              buckets: int = 1 << 16) -> DataFrame:
+    """Exact quantiles as a plan: one row (probability, value) for each probability, in no order.
 
-    Equal values are counted first; approximate bounds cut the distinct values into `buckets` ranges, and
-    only the ranges that hold a wanted rank are sorted. The driver sees the bounds and the wanted values.
+    `linear` interpolates between neighbours, `nearest` takes the value at round(q * (n - 1)), half to even. Nulls take
+    no part, NaN is the largest number, and without any number every value is null.
+
+    Selection by rounds. A double is taken as a whole number of the same order; a round counts the numbers by their next
+    leading bits, inside the ranges only that hold a wanted rank, and keeps the ranges in which the ranks fall. After the last bits a
+    range is one number. So nothing is sorted and no row is shuffled: a task hands on at most `buckets` counts (from
+    2**8 to 2**16, raised to a power of two) for each of two ranges a probability, however hot a number is, and the
+    ranges that the next round joins are as few. The column must give the same numbers whenever it is evaluated.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count("*").alias("n"))
-    bounds = sorted(set(df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-                        .approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
-    if not bounds:
-        return [float("nan")] * len(probabilities)
-    edges = F.array(*[F.lit(b) for b in bounds])
-    placed = values.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("v"))))
-    sizes = {r["b"]: r["n"] for r in placed.groupBy("b").agg(F.sum("n").alias("n")).collect()}
-    total = sum(sizes.values())
-    spots = [q * (total - 1) for q in probabilities]
-    if interpolation == "nearest":
-        spots = [float(round(s)) for s in spots]
-    ranks = sorted({int(s) for s in spots} | {min(int(s) + 1, total - 1) for s in spots})
-    starts, seen = {}, 0
-    for b in sorted(sizes):
-        starts[b] = seen
-        seen += sizes[b]
-    wanted = [(b, starts[b]) for b in sizes if any(starts[b] <= r < starts[b] + sizes[b] for r in ranks)]
-    base = F.element_at(F.create_map(*[F.lit(x) for pair in wanted for x in pair]), F.col("b"))
-    running = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    hit = (placed.where(F.col("b").isin([b for b, _ in wanted]))
-           .withColumn("upto", running + base)
-           .withColumn("from", F.col("upto") - F.col("n"))
-           .select("v", "upto", F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank"), "from")
-           .where("rank >= from and rank < upto"))
-    at = {r["rank"]: r["v"] for r in hit.select("rank", "v").collect()}
-    out = []
-    for s in spots:
-        low, high = at[int(s)], at[min(int(s) + 1, total - 1)]
-        out.append(low + (high - low) * (s - int(s)))
-    return out
+    width = min(16, max(8, (buckets - 1).bit_length()))
+    number = F.col(column).cast("double")
+    # adding zero makes one zero of both
+    keys = df.where(F.col(column).isNotNull()).select(_sortable(number + F.lit(0.0)).alias("key"))
+    left = 64 - width
+    counts = keys.groupBy(F.shiftright("key", left).alias("range")).agg(F.count("*").alias("n"))
+    wanted_shares = F.array(*[F.lit(float(q)) for q in probabilities])
+
+    def spot(q: Column) -> Column:
+        place = q * (F.col("total") - 1)
+        return F.bround(place, 0) if interpolation == "nearest" else place
+
+    def above(place: Column) -> Column:
+        return F.least(F.floor(place) + 1, F.col("total") - 1)
+
+    ranks = F.flatten(F.transform(wanted_shares, lambda q: F.array(F.floor(spot(q)), above(spot(q)))))
+    counts = (counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
+              .withColumn("ranks", F.array_distinct(ranks))
+              .withColumn("upto", F.sum("n").over(Window.orderBy("range"))))
+
+    def holding(counted: DataFrame) -> DataFrame:
+        """The ranges that hold wanted ranks, with these and the number of values before."""
+        before = F.col("upto") - F.col("n")
+        inside = F.filter("ranks", lambda r: (r >= before) & (r < F.col("upto")))
+        return (counted.withColumn("ranks", inside).where(F.size("ranks") > 0)
+                .select("range", "ranks", before.alias("before"), "total"))
+
+    wanted = holding(counts)
+    while left > 0:
+        step = min(width, left)
+        joined = keys.withColumn("range", F.shiftright("key", left)).join(F.broadcast(wanted), "range")
+        left -= step
+        counts = (joined.groupBy("range", "ranks", "before", "total", F.shiftright("key", left).alias("next"))
+                  .agg(F.count("*").alias("n")))
+        running = F.sum("n").over(Window.partitionBy("range").orderBy("next"))
+        wanted = holding(counts.withColumn("upto", running + F.col("before")).withColumn("range", F.col("next")))
+    at = wanted.select(F.explode("ranks").alias("rank"), _from_sortable(F.col("range")).alias("v"), "total")
+    whole = at.agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"), F.first("total").alias("total"))
+    place = spot(F.col("probability"))
+    share = place - F.floor(place)
+    low, high = F.try_element_at("at", F.floor(place)), F.try_element_at("at", above(place))
+    value = F.when(share > 0, low + (high - low) * share).otherwise(low)
+    return whole.select(F.explode(wanted_shares).alias("probability"), "at", "total").select(
+        "probability", value.alias("value"))
+
+
+def quantile_values(df: DataFrame, column: str, probabilities: list[float],
+                    interpolation: str = "linear", buckets: int = 1 << 16) -> list[float]:
+    """`quantiles` as numbers in the order of `probabilities`; NaN for each if there is no number."""
+    found = {r["probability"]: r["value"] for r in quantiles(df, column, probabilities, interpolation, buckets).collect()}
+    return [float("nan") if found[float(q)] is None else found[float(q)] for q in probabilities]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from versionlake.functions.seeded import seeded_hash, seeded_unit
-from versionlake.operators.numbering import number_by_hash, number_within, quantile_values
+from versionlake.operators.numbering import number_by_hash, number_within, quantiles
 from versionlake.session import reliable_checkpoint
 
 #: Works whose running ratio one task follows.
@@ -44,11 +44,12 @@ def train_val_test(df: DataFrame, key: str = "uid", train: float = 0.8, val: flo
 
 
 def quartile_subsets(df: DataFrame, column: str) -> dict[str, DataFrame]:
-    """Rows at or above the first quartile, the median and the third quartile (nested). The thresholds are
-    numbers, so each filter reaches the scan."""
-    q1, q2, q3 = quantile_values(df, column, [0.25, 0.5, 0.75])
-    return {"q1": df.where(F.col(column) >= q1), "median": df.where(F.col(column) >= q2),
-            "q3": df.where(F.col(column) >= q3)}
+    """Rows at or above the first quartile, the median and the third quartile (nested). The thresholds are one scalar
+    subquery of the plan, which Spark evaluates once and hands to the filters. Without any number no row stays."""
+    found = quantiles(df, column, [0.25, 0.5, 0.75])
+    in_order = F.sort_array(F.collect_list(F.struct("probability", "value")))
+    thresholds = found.agg(F.transform(in_order, lambda t: t["value"])).scalar()
+    return {name: df.where(F.col(column) >= F.get(thresholds, i)) for i, name in enumerate(("q1", "median", "q3"))}
 
 
 def split_by_work(df: DataFrame, key: str, work: str = "work_id", val_unseen: float = 0.0, test_unseen: float = 0.0,
