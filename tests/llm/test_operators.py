@@ -211,6 +211,23 @@ def base_by_hand(t):
     return sorted(out)
 
 
+def test_pii_finds_short_grouped_and_signed_values(spark):
+    secrets = {"my passport: C01X00T47 ok": "C01X00T47", "his ssn 078-05-1120 there": "078-05-1120", "ssn: 078051120": "078051120",
+               "iban DE89 3704 0044 0532 0130 00 please": "DE89 3704 0044 0532 0130 00", "password = hunter2!x": "hunter2!x",
+               "api_key=sk-proj-Ab12_cd-EF34gh.": "sk-proj-Ab12_cd-EF34gh", '{"password": "pa55word"}': "pa55word",
+               "PASSWORD=correcthorsebatterystaple": "correcthorsebatterystaple", "pay to GB29 NWBK 6016 1331 9268 19": None,
+               "aws_secret = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+               "x" * 80 + "9f86d081884c7d659a2feaa0c55ad015 token=9f86d081884c7d659a2feaa0c55ad015": "9f86d081884c7d659a2feaa0c55ad015"}
+    clean = ["the token is good and password reset works", "Password: required. secret: none", "token = tokenizer.next()",
+             "see token: https://example.com/a1 now", "in 2020 there were 12345678901 rows, then 99887766554"] * 4
+    texts = [*secrets, *clean]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, texts)).collect()}
+    for i, (text, value) in enumerate(secrets.items()):
+        if value is not None:
+            assert value in [text[s["start"]:s["end"]] for s in found[i]], text
+    assert all(not found[i] for i in range(len(secrets), len(texts)))
+
+
 def test_pii(spark):
     key = "908038b7daaf91e730d2f64001c52934d43aa1b2"
     texts = [None, "", "😀 a@b.c_d@e.fg, x@y z@w.q.", "1.2.3.4 256.1.1.1 001.002.003.0255 1.2.3.4.5.6.7.8", "4111 1111-1111 1111 and 4111111111111112",

@@ -19,11 +19,25 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "secret")
 
-# A candidate is a run of letters and digits of this length with a digit in it; field names of secrets.
-LEAST = 10
-CANDIDATE = rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{0,64}}[0-9])[A-Za-z0-9]{{{LEAST},}}(?![A-Za-z0-9])"
+# Field names of secrets; shapes of numbers that are written in groups.
 FIELDS = ["password", "passwort", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key",
           "private_key", "contraseña", "passport", "ssn", "iban"]
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}(?:[\x20-]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+
+# A candidate is what follows a field name: after = or : any run without white space, else one with a digit in it; without
+# any digit it must look like WORDS (neither a short word nor a call or path of a program). Or, anywhere, a number in
+# groups, or a run of letters and digits of at least LEAST characters with a digit in it.
+LEAST = 10
+WORDS = r"^[^()\[\]{}.]{12,}$"
+_GROUPED = rf"(?:{SSN}|{IBAN})"
+_RUN = r"(?!(?i:https?)://)[^\s\"'<>,;]{3,}(?<![.:!?)])"
+_FIELD = rf"(?i:(?=[{''.join(sorted({f[0] for f in FIELDS}))}])(?:{'|'.join(FIELDS)}))[\"']?"
+_SIGN = r"[\x20\t]*+[=:][\x20\t]*+[\"']?"
+_SPACE = r"[\x20\t]++[\"']?"
+LED = rf"{_FIELD}(?:{_SIGN}(?:{_GROUPED}|{_RUN})|{_SPACE}(?:{_GROUPED}|(?=[^\s\"'<>,;0-9]*+[0-9]){_RUN}))"
+LEADER = rf"^{_FIELD}(?:{_SIGN}|{_SPACE})"
+CANDIDATE = rf"{LED}|(?<![A-Za-z0-9])(?:(?<!-){_GROUPED}|[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
 #: Code points before a candidate that its labelers see.
 CONTEXT = 24
 
@@ -31,6 +45,8 @@ CONTEXT = 24
 ROUNDS = 12
 PRIOR = 0.3
 RIGHT = 0.8
+#: A labeler keeps at least this chance of any vote, so that no single vote decides however large the data.
+WRONG = 0.02
 LABELERS = ("shape", "field", "sign", "spread")
 
 
@@ -88,22 +104,33 @@ def votes_and_features(c: Column) -> dict[str, Column]:
     """Votes of the labelers (1, 0, -1) and the categories that the span classifier sees, for a candidate."""
     value, before = c["value"], F.lower(c["before"])
     letters = F.rlike(value, F.lit("[A-Za-z]"))
+    digits = F.rlike(value, F.lit("[0-9]"))
+    plain = F.rlike(value, F.lit("^[A-Za-z0-9]+$"))
     hexa = F.rlike(value, F.lit("^[0-9a-fA-F]+$"))
-    field = F.rlike(before, F.lit(rf"(?:{'|'.join(FIELDS)})[\x20\t]*[=:]?[\x20\t]*[\"']?$"))
+    field = F.rlike(before, F.lit(rf"(?:{'|'.join(FIELDS)})[\"']?[\x20\t]*[=:]?[\x20\t]*[\"']?$"))
     sign = F.rlike(before, F.lit("[=:][\\x20\\t]*[\"']?$"))
     changes = F.size(F.split(value, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", -1))
     size = F.length(value)
+
+    def named(name: str, shape: str) -> Column:
+        return F.rlike(before, F.lit(rf"{name}[^a-z0-9]*$")) & F.rlike(value, F.lit(shape))
+
+    # the format of the field before, or of a number written in groups
+    fits = (F.rlike(value, F.lit(rf"^(?:{SSN}|{IBAN})$")) & (F.contains(value, F.lit("-")) | F.contains(value, F.lit(" ")))
+            | named("ssn", "^[0-9]{9}$") | named("passport", "^(?=.*[0-9])[A-Za-z0-9]{6,9}$") | named("iban", rf"^{IBAN}$"))
     return {
-        # regex: mixed letters and digits of some length, or plain digits
-        "shape": F.when(letters & (hexa | (size >= 16)), 1).when(letters, 0).otherwise(-1),
+        # regex: a known format, mixed letters and digits of some length, a value with signs and a digit
+        "shape": F.when(fits | letters & digits & (hexa | (size >= 16) | ~plain), 1)
+        .when(letters & (digits | (size >= 16)), 0).otherwise(-1),
         # gazetteer: a field name of secrets just before
         "field": F.when(field, 1).otherwise(-1),
         # context: an assignment just before
         "sign": F.when(sign, 1).otherwise(-1),
-        # spread: letters and digits change often
-        "spread": F.when(changes >= 6, 1).when(changes >= 3, 0).otherwise(-1),
-        "kind_of": F.when(~letters, "digits").when(hexa, "hex").otherwise("mixed"),
-        "length_of": F.when(size < 14, "short").when(size < 20, "middle").otherwise("long"),
+        # spread: letters and digits change often; nothing to say on formats and on values with signs or without digits
+        "spread": F.when(fits | ~plain | ~digits, 0).when(changes >= 6, 1).when(changes >= 3, 0).otherwise(-1),
+        "kind_of": F.when(fits, "format").when(~digits, "words").when(~letters, "digits").when(hexa, "hex")
+        .when(plain, "mixed").otherwise("signs"),
+        "length_of": F.when(fits, "given").when(size < 14, "short").when(size < 20, "middle").otherwise("long"),
         "left_of": F.when(field & sign, "assigned").when(field, "named").when(sign, "sign").otherwise("text"),
     }
 
@@ -112,10 +139,23 @@ FEATURES = ("kind_of", "length_of", "left_of")
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Candidates that meet no base span."""
-    searched = F.when(F.rlike(text, F.lit(r"[0-9]")), text).otherwise("")
-    return F.filter(matches(searched, CANDIDATE), lambda c: ~F.exists(
-        base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    """Candidates that meet no base span: the value alone, with what leads to it as the text before."""
+    searched = F.when(F.rlike(text, F.lit(r"[0-9=:]")), text).otherwise("")
+
+    def value_of(m):
+        lead = F.regexp_extract(m["value"], LEADER, 0)
+        long = F.length(lead)
+        return F.struct((m["start"] + long).alias("start"), m["end"].alias("end"),
+                        F.substr(m["value"], long + 1).alias("value"),
+                        F.when(long > 0, lead).otherwise(m["before"]).alias("before"), (long > 0).alias("led"))
+
+    def taken(c):
+        grouped = F.rlike(c["value"], F.lit("[^A-Za-z0-9]"))
+        led = c["led"] & (F.rlike(c["value"], F.lit("[0-9]")) | F.rlike(c["value"], F.lit(WORDS)))
+        return (led | ~c["led"] & (grouped | (F.length(c["value"]) >= LEAST))) & ~F.exists(
+            base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    return F.filter(F.transform(matches(searched, CANDIDATE), value_of), taken)
 
 
 def _between(x: float) -> float:
@@ -159,15 +199,15 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 for truth, side in ((1, "yes"), (-1, "no")):
                     # a little of the first guess stays, so that a vote never seen keeps a chance
                     start = 2.0 * (RIGHT if vote == truth else (1 - RIGHT) / 2)
-                    chances[name, truth, vote] = (row[f"{name}{vote}{side}"] + start) / (row[side] + 2.0)
+                    chances[name, truth, vote] = max(WRONG, (row[f"{name}{vote}{side}"] + start) / (row[side] + 2.0))
     return patterns.withColumn("posterior", posterior())
 
 
 def train_classifier(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, str], float]:
     """Log-odds of each category of each feature and of the whole ("", ""), from all candidates of all documents.
 
-    The classifier is naive Bayes over the categories, trained on the posteriors of the votes as soft labels. The
-    features don't repeat the votes, so it also judges candidates on which the labelers say little.
+    The classifier is naive Bayes over the categories, trained on the posteriors of the votes as soft labels. Its categories
+    are coarser than the votes in places (what stands on the left) and finer in others (kinds and lengths of values).
     """
     text = text_of(docs, text_col)
     spans = docs.select(F.explode(candidates(text, base_spans(text))).alias("c"))
@@ -192,7 +232,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "base", sp
     """All of `docs` with base and spans (names `base_col`, `spans_col`): ARRAY<STRUCT<start, kind, end>>, kind a number in KINDS.
 
     Base spans come from the base patterns. The method adds secrets: candidates that meet no base span and that the span
-    classifier takes for personal data. Null is the empty text and has no spans. Rows are independent but for the training
+    classifier takes for personal data. A value after a field name is one candidate, whatever signs it holds; white space,
+    quotes, commas, semicolons and angle brackets end it. Not candidates: values of less than three characters, or of less
+    than 12 without a digit. Of overlapping candidates the leftmost counts. Texts of any length are searched whole. Null is the empty text and has no spans. Rows are independent but for the training
     of the classifier, which counts all candidates of all rows; repeated rows, null ids and other columns do no harm,
     and columns of those two names are replaced. An empty table gives no rows, one without candidates a classifier that
     takes none.
