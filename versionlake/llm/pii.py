@@ -37,7 +37,7 @@ _SIGN = r"[\x20\t]*+[=:][\x20\t]*+[\"']?"
 _SPACE = r"[\x20\t]++[\"']?"
 LED = rf"{_FIELD}(?:{_SIGN}(?:{_GROUPED}|{_RUN})|{_SPACE}(?:{_GROUPED}|(?=[^\s\"'<>,;0-9]*+[0-9]){_RUN}))"
 LEADER = rf"^{_FIELD}(?:{_SIGN}|{_SPACE})"
-CANDIDATE = rf"{LED}|(?<![A-Za-z0-9])(?:(?<!-){_GROUPED}|[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
+CANDIDATE = rf"{LED}|(?<![A-Za-z0-9])(?:(?<!-){_GROUPED}|(?=[A-Za-z0-9]{{{LEAST}}})[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
 #: Code points before a candidate that its labelers see.
 CONTEXT = 24
 
@@ -147,12 +147,10 @@ def candidates(text: Column, base: Column) -> Column:
         long = F.length(lead)
         return F.struct((m["start"] + long).alias("start"), m["end"].alias("end"),
                         F.substr(m["value"], long + 1).alias("value"),
-                        F.when(long > 0, lead).otherwise(m["before"]).alias("before"), (long > 0).alias("led"))
+                        F.when(long > 0, lead).otherwise(m["before"]).alias("before"))
 
     def taken(c):
-        grouped = F.rlike(c["value"], F.lit("[^A-Za-z0-9]"))
-        led = c["led"] & (F.rlike(c["value"], F.lit("[0-9]")) | F.rlike(c["value"], F.lit(WORDS)))
-        return (led | ~c["led"] & (grouped | (F.length(c["value"]) >= LEAST))) & ~F.exists(
+        return (F.rlike(c["value"], F.lit("[0-9]")) | F.rlike(c["value"], F.lit(WORDS))) & ~F.exists(
             base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
     return F.filter(F.transform(matches(searched, CANDIDATE), value_of), taken)
