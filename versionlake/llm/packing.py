@@ -15,7 +15,7 @@ from .common import query, table, text_of
 #: Tokens of a window, documents planned together, and the share of padding up to which the window count may rise.
 WINDOW = 2048
 SHARD_DOCS = 2000
-RISE_SHARE = 0.002
+RISE_SHARE = 0.05
 #: Longer texts go through the tokenizers library itself, whose pattern engine has no backtracking limit.
 LONG_TEXT = 400_000
 
@@ -67,23 +67,31 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
     return sets + [[] for _ in range(ways - len(sets))]
 
 
+def _dealt(sizes: list[int], ways: int) -> tuple[list[list[int]], list[int]]:
+    sets = difference(sizes, ways)
+    return sets, [sum(sizes[i] for i in s) for s in sets]
+
+
 def plan_windows(sizes: list[int], window: int, rise_share: float = RISE_SHARE) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (item, start, length); items are shorter than a window.
 
-    The window count starts at the fewest that hold all tokens and rises while a set exceeds the window and the padding
-    stays within `rise_share`. What exceeds a window after that is cut off its last item and laid into windows with room.
+    The window count starts at the fewest that hold all tokens and rises while a set exceeds the window, each time by half
+    of what the heaviest set is over, until all sets fit and no item is cut. Only where they don't fit with padding within
+    `rise_share` (items that fill windows badly, such as many of just over half a window) the fewest windows are
+    taken; what exceeds one is cut off its last item and laid into windows with room.
     """
     total = sum(sizes)
     if not total:
         return []
-    ways = -(-total // window)
-    most = max(ways, int(total / window / (1 - rise_share)))
-    while True:
-        sets = difference(sizes, ways)
-        loads = [sum(sizes[i] for i in s) for s in sets]
-        if max(loads) <= window or ways >= most:
-            break
-        ways += 1
+    fewest = -(-total // window)
+    most = max(fewest, int(total / window / (1 - rise_share)))
+    sets, loads = first, heavy = _dealt(sizes, fewest)
+    ways = fewest
+    while max(loads) > window and ways < most:
+        ways = min(most, ways + max(1, ways * (max(loads) - window) // (2 * window)))
+        sets, loads = _dealt(sizes, ways)
+    if max(loads) > window:
+        sets, loads = first, heavy
     plan, spare = [], []
     for members, load in zip(sets, loads):
         pieces = [(i, 0, sizes[i]) for i in members]
