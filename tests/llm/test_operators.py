@@ -157,6 +157,37 @@ def test_hosts_with_few_judged_pages_are_seeds(spark):
     assert (got[11]["trust"], got[11]["distrust"], got[11]["verdict"]) == (0.0, 0.0, "allow")
 
 
+def test_few_blocked_pages_do_not_block_a_large_host(spark):
+    rows = [(i, f"http://big.example.com/{'de' if i < 1 else 'fr'}/{i}", "") for i in range(1000)]
+    rows += [(2000 + i, f"http://small.example.com/{'de' if i < 3 else 'fr'}/{i}", "") for i in range(5)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [i for i, v in got.items() if v == "block" and i < 2000] == [0]
+    assert all(got[2000 + i] == "block" for i in range(5))
+
+
+def test_planted_links_between_hosts(spark):
+    """100,000 links: farms link to blocked hosts and to each other, trusted hosts to good ones; one link in 50 is stray."""
+    rng = np.random.default_rng(4)
+    bad, good = [f"b{i}.net/" for i in range(100)], [f"g{i}.example.net/en/" for i in range(100)]
+    farms, clean = [f"farm{i}.com/" for i in range(1000)], [f"clean{i}.com/" for i in range(1000)]
+    links = {h: list(rng.choice(bad, 25)) + list(rng.choice(farms, 25)) for h in farms}
+    links |= {h: list(rng.choice(clean, 40)) for h in clean} | {h: list(rng.choice(clean, 100)) for h in good}
+    for targets in links.values():
+        for k in np.flatnonzero(rng.random(len(targets)) < 0.02):
+            targets[k] = rng.choice(bad + farms + clean)
+    rows = []
+    for hosts, pages in ((bad, 40), (good, 40), (farms, 2), (clean, 2)):
+        for h in hosts:
+            html = "".join(f"<a href='http://{t}'>x</a>" for t in links.get(h, []))
+            rows += [(f"http://{h}{k}", html if k == 0 else None) for k in range(pages)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    got = urls.judge_urls(pages, change=0.1).where("rule IS NULL").select(
+        F.startswith("host", F.lit("farm")).alias("farm"), (F.col("verdict") == "block").alias("block")).collect()
+    caught = sum(r["farm"] and r["block"] for r in got)
+    assert len(got) == 4000 and caught >= 0.95 * 2000 and caught >= 0.95 * sum(r["block"] for r in got)
+
+
 def test_spread_equals_power_iteration(spark):
     rng = np.random.default_rng(1)
     names = [f"h{i}" for i in range(12)]
@@ -331,6 +362,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     texts = TEXTS + [" ".join(f"w{i * j % 97}" for j in range(i * 7)) for i in range(200)]
+    texts.append("the cat's 42 mats, " * 22_000)
+    assert len(texts[-1]) > packing.LONG_TEXT
     rows = frame(spark, texts).unionByName(spark.createDataFrame([(None, "null id", "z", 1, "y")], DOCS))
     pieces = packing.pack(rows, shard_docs=60).collect()
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -367,6 +400,21 @@ def test_differencing():
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= 5
 
 
+def test_window_count_rises():
+    rng = np.random.default_rng(5)
+    sizes = [int(s) for s in np.minimum(2047, rng.exponential(600, 2000)) + 1 if s < 2048]
+    plan = packing.plan_windows(sizes, 2048)
+    assert sorted(p for pieces in plan for p in pieces) == [(i, 0, s) for i, s in enumerate(sizes)]
+    assert max(sum(p[2] for p in pieces) for pieces in plan) <= 2048
+    assert -(-sum(sizes) // 2048) < len(plan) <= sum(sizes) / 2048 / (1 - packing.RISE_SHARE)
+    # two of these never fit a window: the fewest windows, with cuts
+    plan = packing.plan_windows([1100] * 300, 2048)
+    assert len(plan) == -(-300 * 1100 // 2048) and max(sum(p[2] for p in pieces) for pieces in plan) <= 2048
+    pieces = sorted(p for pieces in plan for p in pieces)
+    assert sum(p[2] for p in pieces) == 300 * 1100 and {p[0] for p in pieces} == set(range(300))
+    assert packing.plan_windows([], 2048) == []
+
+
 def page_frame(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, size int")
 

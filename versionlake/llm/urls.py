@@ -11,10 +11,11 @@ from .common import query, table, written
 # Rules (host/path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-#: Damping, change at which rounds end, bar of distrust.
+#: Damping, change at which rounds end, bar of distrust, weight of a page without a rule against one that a rule judges.
 DAMPING = 0.85
 CHANGE = 1e-6
 BAR = 0.5
+NEUTRAL = 0.1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: the target of a link in HTML.
@@ -89,13 +90,15 @@ def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-               html_col: str = "html", bar: float = BAR) -> DataFrame:
+               html_col: str = "html", bar: float = BAR, neutral: float = NEUTRAL, change: float = CHANGE) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), trust, distrust of every page.
 
     A page that a rule fits gets the rule's verdict; the longest fitting rule counts. Every host with
     pages that rules allow (block) is a seed of trust (distrust), weighted by the number of those pages. Trust spreads
-    along links between hosts, distrust against them; a page without a rule is blocked if distrust makes up more than
-    `bar` of its host's trust and distrust, and allowed otherwise, also without either. Null URLs and URLs without :// have
+    along links between hosts, distrust against them. Trust and distrust are shares of all allowed and blocked pages, so each
+    times their number counts in pages; every page without a rule adds `neutral` pages. A page without a rule is blocked if
+    distrust makes up more than `bar` of that sum of its host, and allowed otherwise, so few blocked pages of a large
+    host don't block the rest. Rounds of spreading end below `change`. Null URLs and URLs without :// have
     empty host and path, fit no rule, link to nothing and are allowed. Null pages hold no links. Rows are independent
     but for the links; repeated rows count in seeds as often as they occur. An empty table gives no rows.
     """
@@ -109,7 +112,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     rows = rows.withColumn("by_rule", rule_verdict)
     known = rows.where("host <> ''").groupBy("host").agg(
         F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"),
-        F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
+        F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"),
+        F.count(F.when(F.col("by_rule").isNull(), 1)).alias("open"))
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     links = pages.select(host_of(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("to"))
     target = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
@@ -118,17 +122,19 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
              .where("src <> '' AND dst <> '' AND src <> dst").distinct())
     edges = written(edges)
     hosts = known.join(edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct(), "host", "full").select(
-        "host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
+        "host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"),
+        F.coalesce("open", F.lit(0)).alias("open"))
     hosts = written(hosts)
     sums = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = hosts.select("host", (F.col("good") / F.lit(float(sums["good"] or 1))).alias("trust_seed"),
                          (F.col("bad") / F.lit(float(sums["bad"] or 1))).alias("distrust_seed"))
-    scores = spread(seeds, edges)
+    scores = spread(seeds, edges, change=change).join(hosts.select("host", "open"), "host")
     # salted, because one host may hold a third of the pages
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
     spread_scores = scores.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     judged = salted.join(spread_scores, ["host", "salt"], "left")
-    share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
+    against = F.col("distrust") * F.lit(float(sums["bad"] or 0))
+    share = against / (against + F.col("trust") * F.lit(float(sums["good"] or 0)) + F.col("open") * F.lit(neutral))
     method = F.when((F.col("distrust") > 0) & (share > bar), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule",
                          F.coalesce("by_rule", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"),
