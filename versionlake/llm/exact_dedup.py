@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import query, table, text_of, written
 
-#: Salts of a hot digest, and the share of all rows from which a digest is hot. At most 1 / HOT_SHARE digests are hot.
+#: Salts of a hot digest. A digest is hot from a share of all rows on, and in large tables from HOT_ROWS rows on, so that
+#: no more come to one task; HOT_MOST bounds the list of hot digests, which is broadcast.
 SALTS = 64
 HOT_SHARE = 0.001
+HOT_ROWS = 100_000
+HOT_MOST = 200_000
+
+
+def hot_bar(total: int, share: float = HOT_SHARE) -> float:
+    """Rows above which a digest is hot. At most the larger of 1 / `share` and HOT_MOST digests are above it."""
+    return max(1.0, min(total * share, max(HOT_ROWS, total / HOT_MOST)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS,
@@ -29,10 +37,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.length("text").alias("size"), F.regexp_replace("text", r"[\x20\x09-\x0D]+", "").alias("norm"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     digests = written(rows.select("id", "digest"))
-    # a digest is hot from a share of all rows on, so the list has at most 1 / hot_share entries
     counted = digests.groupBy("digest").count()
     total = digests.count()
-    hot = written(counted.where(F.col("count") > F.lit(max(1.0, total * hot_share))).select(
+    hot = written(counted.where(F.col("count") > F.lit(hot_bar(total, hot_share))).select(
         "digest", F.lit(True).alias("hot")))
 
     def salted(df: DataFrame) -> DataFrame:
