@@ -38,6 +38,13 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(frame(spark, []), path).count() == 0
 
 
+def test_hot_digests_have_a_bound_in_rows():
+    assert exact_dedup.hot_bar(0) == 1 and exact_dedup.hot_bar(50_000) == 50
+    for total in (10 ** 8, 10 ** 10, 10 ** 12):
+        bar = exact_dedup.hot_bar(total)
+        assert bar <= max(exact_dedup.HOT_ROWS, total / exact_dedup.HOT_MOST) and total / bar <= exact_dedup.HOT_MOST
+
+
 def test_exact_groups(spark):
     texts = ["a b", "ab ", " a\tb  ", None, "", "c", "c", " ab"]
     rows = frame(spark, texts).unionByName(frame(spark, ["a b"])).unionByName(
@@ -84,6 +91,11 @@ def test_nearest_at_factor_one_is_exact_and_recall_is_high(spark):
                 assert sorted(got[q]) == want
         assert hits >= least * 90 and set(got) == set(range(0, 900, 100))
     assert ann.nearest(vectors(spark, []), vectors(spark, [])).count() == 0
+    twice = vectors(spark, [(0, points[0].tolist(), "x"), (0, points[1].tolist(), "x"), (100, points[100].tolist(), "x")])
+    got = collections.Counter((r["query_id"], r["rank"]) for r in ann.nearest(df, twice, k=3, shard_rows=250).collect())
+    assert got == {(0, r): 2 for r in (1, 2, 3)} | {(100, r): 1 for r in (1, 2, 3)}
+    with pytest.raises(TypeError, match="whole numbers"):
+        ann.nearest(df.withColumn("vec_id", F.col("vec_id").cast("string")), df)
     alone = vectors(spark, [(0, [1.0], "x"), (1, [2.0], "x")])
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(alone, alone.where("vec_id = 0")).collect()] == [(0, 1)]
 

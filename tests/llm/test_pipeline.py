@@ -88,3 +88,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, odd, path)
         assert out.columns == docs.columns and out.where(F.col("text") == "a b").count() == 1, name
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_drop_copies_keeps_the_same_of_repeated_rows(spark):
+    rows = [(1, "ab", "en"), (1, " a b", "de"), (1, "a b ", "en"), (1, "a b ", "fr"), (2, "a  b  ", None), (2, "c", "en"),
+            (None, None, "en"), (None, "", "en"), (3, "", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string").repartition(3)
+        got = sorted(map(tuple, corpus_pipeline.drop_copies(spark, docs, "").collect()), key=repr)
+        assert got == sorted([(2, "a  b  ", None), (2, "c", "en"), (None, "", "en")], key=repr)
+        one = docs.where("doc_id = 1")
+        assert [tuple(r) for r in corpus_pipeline.drop_copies(spark, one, "").collect()] == [(1, "a b ", "fr")]
+    assert corpus_pipeline.drop_copies(spark, docs.where("doc_id > 9"), "").count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import query, table, written
 
@@ -105,8 +105,12 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     Candidates with the query's own id are left out. Every candidate row is indexed: rows are hashed into shards of about
     `shard_rows`, each with a tree of its own, and every block of queries visits every shard. Fewer than k rows come only
     where fewer candidates of the same width exist. Unusable vectors (see `usable`) take no part on either side; repeated
-    candidate rows count each; queries with repeated ids should not occur. Empty tables give no rows.
+    candidate rows count each. Queries with the same id each have a list of their own, none of which holds that id. Ids
+    are whole numbers; others are an error. Empty tables give no rows.
     """
+    for side in (candidates, queries):
+        if not isinstance(side.schema[id_col].dataType, T.IntegralType):
+            raise TypeError(f"{id_col} must be of whole numbers, not {side.schema[id_col].dataType.simpleString()}")
     rows, asked = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col)
     shards = max(1, -(-candidates.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
@@ -154,11 +158,16 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, factor: floa
                 place, found, far = search_tree(
                     np.frombuffer(tile["ids"], "<i8"), vectors, (np.frombuffer(tile["places"], "<i8"), nodes),
                     asked_ids, np.frombuffer(tile["q_vectors"], "<f8").reshape(-1, width), k, factor)
+                n = len(place)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked_ids[place]), pa.array(found), pa.array(far)], ["query_id", "vec_id", "score"])
-
-    found = tiles.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+                    [pa.array(asked_ids[place]), pa.array([width] * n, pa.int32()), pa.array([tile["block"]] * n, pa.int64()),
+                     pa.array(np.asarray(place, np.int64)), pa.array(found), pa.array(far)],
+                    ["query_id", "dim", "block", "place", "vec_id", "score"])
+
+    found = tiles.mapInArrow(
+        run, "query_id bigint, dim int, block bigint, place bigint, vec_id bigint, score double")
+    # the place in its block tells a query from others with the same id
+    order = Window.partitionBy("query_id", "dim", "block", "place").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
