@@ -22,14 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the longest original, then the smallest doc_id; once if rows repeat."""
+    """One document of each group of equal texts: the longest original, then the smallest doc_id.
+
+    Null counts as the empty text. Of rows with the same doc_id and equal texts one stays: the longest text, then the last in
+    the order of all columns, so that a task that runs again keeps the same row. An empty table gives no rows.
+    """
     dropped = exact_groups(docs).where(~F.col("kept")).select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum")).distinct()
     keyed = docs.withColumn("__digest", F.sha2(
         F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", "").cast("binary"), 256))
     left = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["__id"]) & (F.col("__digest") == F.col("__sum")),
                       "left_anti")
-    return left.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    row = F.struct(F.length("text").alias("__size"), *docs.columns)
+    return left.groupBy("doc_id", "__digest").agg(F.max(row).alias("__row")).select(
+        *[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
