@@ -47,7 +47,7 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
     """
     heap, parts = [], {}
     for i, size in enumerate(sizes):
-        parts[i] = [(size, [i])]
+        parts[i] = [(-size, i, [i])]
         heap.append((-size if ways > 1 else 0, i))
     heapq.heapify(heap)
     number = len(sizes)
@@ -56,14 +56,16 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
         over = max(0, len(a) + len(b) - ways)
         # with `over` sets too many, the lightest sets of both meet in opposite order; all others meet an empty set
         merged = a[:len(a) - over] + b[:len(b) - over]
-        for (x, left), (y, right) in zip(a[len(a) - over:], reversed(b[len(b) - over:])):
-            merged.append((x + y, left + right))
-        merged.sort(key=lambda s: (-s[0], s[1][0]))
+        if over:
+            for (x, first, left), (y, _, right) in zip(a[-over:], reversed(b[-over:])):
+                merged.append((x + y, first, left + right))
+        # sets are (negated sum, first item, items), so their plain order is heaviest first
+        merged.sort()
         lightest = merged[-1][0] if len(merged) == ways else 0
         parts[number] = merged
-        heapq.heappush(heap, (lightest - merged[0][0], number))
+        heapq.heappush(heap, (merged[0][0] - lightest, number))
         number += 1
-    sets = [members for _, members in parts[heap[0][1]]] if heap else []
+    sets = [members for _, _, members in parts[heap[0][1]]] if heap else []
     return sets + [[] for _ in range(ways - len(sets))]
 
 
@@ -75,8 +77,8 @@ def _dealt(sizes: list[int], ways: int) -> tuple[list[list[int]], list[int]]:
 def plan_windows(sizes: list[int], window: int, rise_share: float = RISE_SHARE) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (item, start, length); items are shorter than a window.
 
-    The window count starts at the fewest that hold all tokens and rises while a set exceeds the window, each time by half
-    of what the heaviest set is over, until all sets fit and no item is cut. Only where they don't fit with padding within
+    The window count starts at the fewest that hold all tokens and rises while a set exceeds the window, each time by
+    the share that the heaviest set is over, until all sets fit and no item is cut. Only where they don't fit with padding within
     `rise_share` (items that fill windows badly, such as many of just over half a window) the fewest windows are
     taken; what exceeds one is cut off its last item and laid into windows with room.
     """
@@ -88,7 +90,7 @@ def plan_windows(sizes: list[int], window: int, rise_share: float = RISE_SHARE)
     sets, loads = first, heavy = _dealt(sizes, fewest)
     ways = fewest
     while max(loads) > window and ways < most:
-        ways = min(most, ways + max(1, ways * (max(loads) - window) // (2 * window)))
+        ways = min(most, ways + max(1, ways * (max(loads) - window) // window))
         sets, loads = _dealt(sizes, ways)
     if max(loads) > window:
         sets, loads = first, heavy
