@@ -1,7 +1,11 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from versionlake.functions.scorers import DenseScorer, MultiVectorScorer, SparseScorer, reduce_one, score_block
+from versionlake.functions import scorers
 from versionlake.operators import mining, ranking, tiles, vectors
 
 RNG = np.random.default_rng(0)
@@ -209,3 +213,19 @@ def test_stored_corpus_gives_the_same_and_is_not_shuffled(spark, items, tmp_path
         assert plan[plan.index("FlatMapCoGroups"):].count("Exchange hashpartitioning(gc") == 1 and "Bucketed: true" in plan
     finally:
         spark.sql("DROP TABLE stored_items")
+
+
+@pytest.mark.parametrize("redux", ["best-3", "worst-3", "best-70", "worst-70", "bestmin-2", "bpwr-5", "bpwr", "sbestmin-2", "sbpwr-2"])
+def test_reductions_take_pairs_of_a_size_together(redux, monkeypatch):
+    rng = np.random.default_rng(5)
+    q_counts, c_counts = rng.integers(1, 7, 20), rng.integers(1, 12, 25)
+    d = rng.integers(0, 15, (q_counts.sum(), c_counts.sum())).astype(float)      # with ties
+    if redux[:4] in ("best", "wors"):
+        d[rng.random(d.shape) < 0.02] = np.nan
+    q_ends, c_ends = np.cumsum(q_counts), np.cumsum(c_counts)
+    want = np.array([[reduce_one(d[q - a:q, c - b:c], redux) for c, b in zip(c_ends, c_counts)]
+                     for q, a in zip(q_ends, q_counts)])
+    # one call of Python a pair of records made the shingle queries too slow
+    monkeypatch.setattr(scorers, "reduce_one", None)
+    monkeypatch.setattr(scorers, "REDUCED", 50)
+    np.testing.assert_array_equal(scorers.reduce_grid(d, q_counts, c_counts, redux), want)
