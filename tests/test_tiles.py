@@ -229,3 +229,16 @@ def test_reductions_take_pairs_of_a_size_together(redux, monkeypatch):
     monkeypatch.setattr(scorers, "reduce_one", None)
     monkeypatch.setattr(scorers, "REDUCED", 50)
     np.testing.assert_array_equal(scorers.reduce_grid(d, q_counts, c_counts, redux), want)
+
+
+def test_small_cells_of_a_large_label_are_bounded(spark):
+    """A row is copied by the cores there are, not by label / cell_rows, until cells are full."""
+    def run(key, q, c):
+        return pa.table({"n": [q.num_rows], "m": [c.num_rows]})
+
+    rows = spark.range(6000).selectExpr("id", "if(id < 5000, 'hot', concat('c', id % 40)) AS label")
+    cells = tiles.label_cells(rows, rows, SimpleNamespace(columns=[]), run, "n long, m long", cell_rows=10).collect()
+    cores = spark.sparkContext.defaultParallelism
+    hot = [(r["n"], r["m"]) for r in cells if r["n"] * r["m"] > 100 * 100]
+    assert sum(n * m for n, m in hot) >= 5000 * 5000
+    assert sum(n for n, _ in hot) <= 6000 * (np.sqrt(tiles.GRID_CELLS * cores) + 1)
