@@ -53,3 +53,41 @@ def test_running_ratio(spark, seed, sizes, unseen, ratios):
 def test_running_ratio_without_works(spark):
     df = spark.createDataFrame([], "work_id string, id string")
     assert splits.split_by_work(df, "id", keep_ratio=True).count() == 0
+
+
+def test_thresholds_of_a_walk():
+    rng = random.Random(9)
+    for _ in range(200):
+        bounds = [rng.randint(-3, 12) for _ in range(rng.randint(0, 12))]
+        found = splits._thresholds(bounds)
+        for x in range(-8, 20):
+            done = x
+            for c in bounds:
+                done += done <= c
+            assert done == x + sum(t >= x for t in found), (bounds, x)
+
+
+@pytest.mark.parametrize("walk_works", [1, 9, 100_000])
+def test_running_ratio_in_few_jobs(spark, walk_works):
+    rng = random.Random(3)
+    sizes = [(w, rng.randint(20, 400)) for w in range(1, 241)]
+    works = spark.createDataFrame([(w, n, n // 5, n // 10) for w, n in sizes], "_w bigint, _n bigint, _v bigint, _t bigint")
+    test, train, want = sum(n for _, n in sizes[:8]), 0, []
+    for w, n in sizes[16:]:
+        less = bool(train and test / train > 0.1)
+        take = n // 10 - less
+        test, train = test + take, train + n - n // 5 - take
+        want += [w] * less
+    assert 10 < len(want) < 224
+    got = splits._reduced_works(works, 8, 16, 0.1, 3, walk_works)
+    assert sorted(r["_w"] for r in got.collect()) == want
+
+
+def test_walks_are_not_repeated_a_range(spark):
+    """One pass over walks of many ranges: the number of jobs doesn't grow with the ranges."""
+    works = spark.createDataFrame([(w, 40, 8, 4) for w in range(1, 301)], "_w bigint, _n bigint, _v bigint, _t bigint")
+    spark.sparkContext.setJobGroup("walk", "jobs of the walk")
+    found = splits._reduced_works(works, 30, 60, 0.1, 2).count()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert found > 0 and jobs < 30

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from fractions import Fraction
 
 import pyarrow as pa
@@ -88,15 +89,31 @@ def split_by_work(df: DataFrame, key: str, work: str = "work_id", val_unseen: fl
     return rows.withColumn("split", split).drop("_h", "_r", "_n", "_w", "_t")
 
 
-def _reduced_works(works: DataFrame, n_test: int, n_held: int, ratio: float, range_works: int) -> DataFrame:
+def _thresholds(bounds: list[int]) -> list[int]:
+    """Ascending thresholds t of a walk: from a count x it leads to x + number of t with t >= x.
+
+    A work with bound c counts one more where the count before it is at most c. That holds up to a certain x, which becomes a
+    threshold: the largest x that the works before lead to c or less, found by bisection as t - place rises.
+    """
+    found: list[int] = []
+    for c in bounds:
+        n = len(found)
+        at = bisect_left(range(n), c - n + 1, key=lambda j: found[j] - j)
+        found.insert(at, c - n + at)
+    return found
+
+
+def _reduced_works(works: DataFrame, n_test: int, n_held: int, ratio: float, range_works: int,
+                   walk_works: int = RANGE_WORKS) -> DataFrame:
     """Places (`_w`) of the works that give test one row less because it is above `ratio` of train.
 
     `works` has _w (place from 1), _n rows, _v and _t. Whether a work is reduced depends on all works before it, but
     only through one number: with ratio = p / q, a reduction takes q + p off q * test - p * train, and everything else in that
     difference is a sum over the works before. So work i is reduced when at most c(i) works were reduced before it,
-    c(i) coming from a prefix sum. Ranges of works count their reductions in parallel from a guess of those before
-    them; ranges whose guess was wrong count again. Two guesses meet as soon as a c(i) lies between them, so a range seldom
-    counts twice, and the result is exact however often it does. The driver sees one number a range.
+    c(i) coming from a prefix sum. The count after some works, as a function of the count x before them, is x plus the
+    number of certain thresholds not below x, one threshold a work (`_thresholds`). Walks of about `walk_works` works, each a
+    number of whole ranges, find theirs in parallel; one pass over the walks then gives the count each starts from, and the
+    works are counted once, in parallel. The driver sees one number a walk.
     """
     part = Fraction(str(ratio))
     p, q = part.numerator, part.denominator
@@ -122,33 +139,30 @@ def _reduced_works(works: DataFrame, n_test: int, n_held: int, ratio: float, ran
         .where((F.col("_w") > first) & (F.col("_t") >= 2) & (F.col("_left") >= F.col("_t")))
         .select("_range", "_w", F.floor((base - 1) / F.lit(q + p)).cast("bigint").alias("_bound")))
 
-    def count(starts: dict[int, int]):
-        """Count of reductions up to the end of each range of `starts`, and the reduced works."""
-        def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("_w", "ascending")])
-            number = group["_range"][0].as_py()
-            done, places = starts[number], []
-            for place, bound in zip(group["_w"].to_pylist(), group["_bound"].to_pylist()):
-                if done <= bound:
-                    done += 1
-                    places.append(place)
-            return pa.table({"_range": [number], "_done": [done], "_places": pa.array([places], pa.list_(pa.int64()))})
-
-        wanted = bounds.where(F.col("_range").isin(list(starts)))
-        return wanted.groupBy("_range").applyInArrow(run, "_range bigint, _done bigint, _places array<bigint>")
-
-    ranges = [r["_range"] for r in bounds.select("_range").distinct().orderBy("_range").collect()]
-    starts, ends, todo = dict.fromkeys(ranges, 0), {}, ranges
-    while todo:
-        ends.update((r["_range"], r["_done"]) for r in count({n: starts[n] for n in todo}).drop("_places").collect())
-        todo = []
-        for one, next_one in zip(ranges, ranges[1:]):
-            if starts[next_one] != ends[one]:
-                starts[next_one] = ends[one]
-                todo.append(next_one)
-    if not ranges:
-        return bounds.select("_w")
-    return count(starts).select(F.explode("_places").alias("_w"))
+    walked = bounds.withColumn("_walk", F.floor(F.col("_range") / max(1, walk_works // range_works)))
+
+    def summary(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_w", "ascending")])
+        return pa.table({"_walk": group["_walk"][:1], "_t": pa.array(
+            [_thresholds(group["_bound"].to_pylist())], pa.list_(pa.int64()))})
+
+    walks = reliable_checkpoint(walked.groupBy("_walk").applyInArrow(summary, "_walk bigint, _t array<bigint>"))
+    starts, done = {}, 0
+    for number in sorted(r["_walk"] for r in walks.select("_walk").collect()):
+        starts[number] = done
+        above = F.size(F.filter("_t", lambda t: t >= F.lit(done)))
+        done += walks.where(F.col("_walk") == number).select(above).first()[0]
+
+    def reduced(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_w", "ascending")])
+        done, places = starts[group["_walk"][0].as_py()], []
+        for place, bound in zip(group["_w"].to_pylist(), group["_bound"].to_pylist()):
+            if done <= bound:
+                done += 1
+                places.append(place)
+        return pa.table({"_w": pa.array(places, pa.int64())})
+
+    return walked.groupBy("_walk").applyInArrow(reduced, "_w bigint")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
