@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import re
 
@@ -100,3 +102,35 @@ def test_correlation_p_value():
     assert pearson_p_value(0.5, 10) == pytest.approx(0.14111, abs=1e-4)
     assert pearson_p_value(0.0, 30) == pytest.approx(1.0)
     assert pearson_p_value(None, 3) is None
+
+
+def test_bleu_counts_inside_the_row(spark):
+    """No n-gram is shuffled where keys are distinct; rows of one key are counted together; a null key has 0."""
+    rng = random.Random(4)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 30))], [rng.choice("abcd") for _ in range(rng.randint(0, 30))])
+            for i in range(80)] + [(100, None, ["a"] * 5), (101, ["a"] * 5, None), (102, [], []), (None, ["a"] * 5, ["a"] * 5)]
+    schema = "k int, c array<string>, r array<string>"
+
+    def by_hand(pairs, c, r):
+        if not c:
+            return 0.0
+        logs = 0.0
+        for n in range(1, 5):
+            left, right = (collections.Counter(tuple(p[side][i:i + n]) for p in pairs
+                                               for i in range(len(p[side] or []) - n + 1)) for side in (0, 1))
+            hits = sum(min(v, right[g]) for g, v in left.items())
+            if not hits:
+                return 0.0
+            logs += math.log(hits / sum(left.values()))
+        return min(1.0, math.exp(1 - len(r) / len(c)) if len(c) <= len(r) else 1.0) * math.exp(logs / 4)
+
+    one = T.bleu(spark.createDataFrame(rows, schema), "k", "c", "r")
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["bleu"] for r in one.collect()}
+    assert got[None] == 0.0
+    assert got == pytest.approx({k: 0.0 if k is None else by_hand([(c, r)], c, r) for k, c, r in rows})
+    assert sum(v > 0 for v in got.values()) > 20
+    twice = rows[:40] + [(k, r, c) for k, c, r in rows[:20]]
+    got = sorted((r["k"], round(r["bleu"], 9)) for r in T.bleu(spark.createDataFrame(twice, schema), "k", "c", "r").collect())
+    want = sorted((k, round(by_hand([(x, y) for j, x, y in twice if j == k], c, r), 9)) for k, c, r in twice)
+    assert [k for k, _ in got] == [k for k, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=2e-9)
