@@ -3,11 +3,12 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from versionlake.functions import text as X
-from versionlake.operators import transcripts as T
+from versionlake.operators import lexical, transcripts as T
 
 
 @pytest.mark.parametrize("given, expected", [
@@ -134,3 +135,27 @@ def test_bleu_counts_inside_the_row(spark):
     got = sorted((r["k"], round(r["bleu"], 9)) for r in T.bleu(spark.createDataFrame(twice, schema), "k", "c", "r").collect())
     want = sorted((k, round(by_hand([(x, y) for j, x, y in twice if j == k], c, r), 9)) for k, c, r in twice)
     assert [k for k, _ in got] == [k for k, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=2e-9)
+
+
+def test_pair_cosine_inside_the_row(spark):
+    rng = random.Random(8)
+    vectors = {f"d{i}": {t: rng.random() for t in rng.sample("abcdefghij", rng.randint(0, 4))} for i in range(40)}
+    rows = [(k, list(v), list(v.values())) for k, v in vectors.items()]
+    df = spark.createDataFrame(rows, "id string, terms array<string>, weights array<double>")
+    pairs = [(f"d{rng.randint(0, 45)}", f"d{rng.randint(0, 45)}") for _ in range(300)]
+    want = collections.Counter()
+    for q, c in pairs:
+        for t in vectors.get(q, {}).keys() & vectors.get(c, {}).keys():
+            want[q, c] += vectors[q][t] * vectors[c][t]
+    out = lexical.pair_cosine(spark.createDataFrame(pairs, "query_id string, corpus_id string"), df)
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == pytest.approx(dict(want))
+    # terms travel inside vectors: none is a row of its own
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_few_texts_at_a_time():
+    texts = pa.record_batch({"id": list(range(1000)), "text": [f"one two two w{i}" for i in range(1000)]})
+    found = list(X.term_counter()([texts]))
+    assert max(b.num_rows for b in found) <= 256 and sum(b.num_rows for b in found) == 1000
+    last = found[-1].to_pylist()[-1]
+    assert last == {"id": 999, "terms": ["one", "two", "w999"], "counts": [1, 2, 1], "n_tokens": 4}
