@@ -1,3 +1,4 @@
+import math
 from types import SimpleNamespace
 
 import numpy as np
@@ -242,3 +243,23 @@ def test_small_cells_of_a_large_label_are_bounded(spark):
     hot = [(r["n"], r["m"]) for r in cells if r["n"] * r["m"] > 100 * 100]
     assert sum(n * m for n, m in hot) >= 5000 * 5000
     assert sum(n for n, _ in hot) <= 6000 * (np.sqrt(tiles.GRID_CELLS * cores) + 1)
+
+
+def test_grid_copies_no_row_and_keeps_k_rows_a_query_and_task(spark):
+    """Rows were copied to all cells by a shuffle, and every cell gave k rows a query."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (240, 4)).astype(float)  # few values, so that many scores tie
+    vectors[:, 0] += 0.5
+    rows = spark.createDataFrame([(i, "l", v.tolist()) for i, v in enumerate(vectors)], "id long, label string, embedding array<double>")
+    scorer, k = DenseScorer("embedding", "dotsim"), 3
+    schema = "query_id long, corpus_id long, score double, relevant int"
+    found = tiles._grid(rows, rows, scorer, (16, 40), tiles._best_of_cell(scorer, k), schema, merge=tiles._best_of_both(k))
+    assert found.count() <= math.ceil(40 / tiles.SPAN_CELLS) * k * 240
+    assert found.groupBy("query_id", "corpus_id").count().where("count > 1").isEmpty()
+    ranked = tiles.top_k(rows, rows, scorer, k, (16, 40))
+    plan = ranked._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    scores = np.round(vectors @ vectors.T, 9)
+    np.fill_diagonal(scores, -np.inf)
+    want = {(q, int(c), r + 1) for q in range(240) for r, c in enumerate(np.lexsort((np.arange(240), -scores[q]))[:k])}
+    assert {(r.query_id, r.corpus_id, r.rank) for r in ranked.collect()} == want
