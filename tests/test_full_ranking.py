@@ -54,3 +54,23 @@ def test_metrics_of_a_hot_clique(spark, biased, skip):
         assert got[q]["n_relevant"] == n and got[q]["r1"] == hits[0]
         assert got[q]["ap"] == pytest.approx(sum((i + 1) / h for i, h in enumerate(hits)) / n)
         assert got[q]["rpc"] == pytest.approx(100 * percentile)
+
+
+@pytest.mark.parametrize("held", [1, 200, 1_000_000])
+def test_positives_stay_in_their_task(spark, monkeypatch, held):
+    """Held scores give what written parts give; with copies of ids and vectors, and no positive is written."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(70, 3)).round(1)
+    points[20:40] = points[20]
+    rows = [(i % 60, f"w{i % 3}" if i % 60 % 11 else None, points[i % 60].tolist()) for i in range(70)]
+    df = spark.createDataFrame(rows, "id bigint, label string, embedding array<double>")
+    exclude = spark.createDataFrame([(i, j) for i in range(60) for j in range(80) if (i + j) % 9 == 0], "query_id bigint, corpus_id bigint")
+
+    def metrics(skip, **more):
+        out = ranking.full_ranking_metrics(df, df, DenseScorer("embedding", "dotsim"), cells=(2, 3), exclude=skip, **more)
+        return sorted((r["query_id"], round(r["ap"], 9), r["r1"], round(r["rpc"], 9), r["n_relevant"]) for r in out.collect())
+
+    want = [metrics(skip, held_scores=0, bar_rows=8, cell_rows=16) for skip in (None, exclude)]
+    if held >= 70:
+        monkeypatch.setattr(tiles, "positive_runs", None)
+    assert [metrics(skip, held_scores=held) for skip in (None, exclude)] == want
