@@ -263,3 +263,25 @@ def test_grid_copies_no_row_and_keeps_k_rows_a_query_and_task(spark):
     np.fill_diagonal(scores, -np.inf)
     want = {(q, int(c), r + 1) for q in range(240) for r, c in enumerate(np.lexsort((np.arange(240), -scores[q]))[:k])}
     assert {(r.query_id, r.corpus_id, r.rank) for r in ranked.collect()} == want
+
+
+@pytest.mark.parametrize("mode", ["cosine", "euc", "dotsim"])
+def test_later_cells_are_read_from_the_bars_of_earlier_ones(mode, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = (rng.normal(size=(200, 3)) * 20).round(1)
+    points[50:90] = points[50]                       # ties, at the bar too
+    table = pa.table({"label": [f"w{i % 5}" for i in range(200)], "id": list(range(200)), "embedding": points.tolist()})
+    scorer, k = DenseScorer("embedding", mode), 7
+    monkeypatch.setattr(tiles, "BLOCK_CELLS", 900)
+    plainly, run, merge = tiles._best_of_cell(scorer, k), tiles._best_of_cell(scorer, k, True), tiles._best_of_both(k)
+    parts = [table.take(pa.array(np.flatnonzero(rng.integers(0, 4, 200) == 0))) for _ in range(3)]
+    cells = [table.filter(pa.array(np.arange(200) % 4 == i)) for i in range(4)]
+    for q in [table, *parts]:
+        plain = bounded = None
+        for c in cells:
+            found = plainly(None, q, c)
+            fewer = run(None, q, c, bounded)
+            assert bounded is None or fewer.num_rows < found.num_rows
+            plain, bounded = (found, fewer) if plain is None else (merge(plain, found), merge(bounded, fewer))
+        assert plain.sort_by([("query_id", "ascending"), ("corpus_id", "ascending")]).equals(
+            bounded.sort_by([("query_id", "ascending"), ("corpus_id", "ascending")]))
