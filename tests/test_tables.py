@@ -250,3 +250,21 @@ def test_literals(spark):
     row = out.first()
     assert [tuple(x) for x in row["p"]] == [(0.0, 13.5), (40.0, 70.0)] and row["g"][0]["vocalness"] == 0.9
     assert readers.unparsed_count(out, "c", "p").first()[0] == 1
+
+
+def test_pair_models_get_few_pairs_and_texts_many_partitions(spark, monkeypatch):
+    def model():
+        def score(pairs):
+            if len(pairs) > 4:
+                raise ValueError("too many pairs at once")
+            return [float(len(q) - len(d)) for q, d in pairs]
+        return score
+
+    ranked = spark.createDataFrame([(i, j, j + 1, i % 2) for i in range(5) for j in range(9)],
+                                   "query_id int, corpus_id int, rank int, relevant int")
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(9)], "version_id int, text string")
+    monkeypatch.setattr(rerank, "PART_TEXTS", 1)
+    out = rerank.rerank(ranked, texts, infer.pandas_scorer(model, "few", 4))
+    assert out._jdf.queryExecution().toString().count(", 9), REPARTITION_BY_NUM") >= 2
+    assert sorted((r["query_id"], r["corpus_id"], r["score"], r["rank"]) for r in out.collect()) == [
+        (i, j, float(i - j), j + 1) for i in range(5) for j in range(9)]

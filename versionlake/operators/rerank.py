@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from versionlake.operators.ids import require_columns
 from versionlake.operators.ranking import restrict_to, retrieval_metrics
 
+# Records whose texts, with the pairs they are in, go to one partition.
+PART_TEXTS = 4096
+
 
 def filter_candidates(ranked: DataFrame, corpus: DataFrame | None = None, corpus_column: str = "id") -> DataFrame:
     """Candidates inside the corpus, of queries with a relevant candidate, be that one inside the corpus or not."""
@@ -25,8 +29,12 @@ def rerank(ranked: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column
     def side(name: str, column: str) -> DataFrame:
         return texts.select(F.col(id_col).alias(column), F.col(text_col).alias(name))
 
-    pairs = (ranked.select("query_id", "corpus_id", F.col("rank").alias("old_rank"), "relevant")
-             .join(side("_q", "query_id"), "query_id", "left").join(side("_d", "corpus_id"), "corpus_id", "left"))
+    # texts repeat with the pairs, so partitions grow with the records; queries come last, as they have no hot key
+    session = ranked.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), math.ceil(texts.count() / PART_TEXTS))
+    pairs = ranked.select("query_id", "corpus_id", F.col("rank").alias("old_rank"), "relevant")
+    for name, column in (("_d", "corpus_id"), ("_q", "query_id")):
+        pairs = pairs.repartition(parts, column).join(side(name, column).repartition(parts, column), column, "left")
     kind = texts.schema[text_col].dataType
     empty = F.array().cast(kind) if kind.typeName() == "array" else F.lit("")
     scored = pairs.withColumn("score", F.round(scorer(F.coalesce("_q", empty), F.coalesce("_d", empty)), 9))
