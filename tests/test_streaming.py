@@ -86,3 +86,23 @@ def test_an_open_island_waits_for_what_can_still_touch_it(spark, tmp_path):
     got = {(r["md5_encoded"], r["start"], r["end"], round(r["vocalness"], 9))
            for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {g for g in got if g[0] != "c"} == {("a", 0.0, 80.0, 0.7), ("b", 0.0, 50.0, 0.9)}
+
+
+def test_a_large_batch_is_ranked_in_slices(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    corpus = spark.createDataFrame([(i, "x", [float(v) for v in rng.normal(size=4)]) for i in range(60)],
+                                   "id bigint, label string, embedding array<double>")
+    corpus.write.parquet(str(tmp_path / "in"))
+    plain, sizes = tiles.top_k_stored, []
+
+    def spy(queries, *more):
+        sizes.append(queries.count())
+        return plain(queries, *more)
+
+    monkeypatch.setattr(tiles, "top_k_stored", spy)
+    monkeypatch.setattr("versionlake.streaming.ranking.SLICE_ROWS", 20)
+    stream = spark.readStream.schema(corpus.schema).parquet(str(tmp_path / "in"))
+    rank_arrivals(stream, corpus, DenseScorer(), str(tmp_path / "out"), str(tmp_path / "cp"), k=3).awaitTermination()
+    assert len(sizes) == 3 and max(sizes) < 40 and sum(sizes) == 60
+    got = sorted((r["query_id"], r["rank"], r["corpus_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r["query_id"], r["rank"], r["corpus_id"]) for r in tiles.top_k(corpus, corpus, DenseScorer(), 3).collect())
