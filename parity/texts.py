@@ -235,9 +235,9 @@ def lexical_top(queries, corpus, k=10):
 
 @query("tfidf_topk", ranked_sql("qvec", "vec"))
 def tfidf_topk(spark, sf_dir):
-    model = lexical.tfidf_fit(docs_of(spark, sf_dir))
-    return lexical_top(lexical.tfidf_transform(items_of(spark, sf_dir), model),
-                       lexical.tfidf_transform(docs_of(spark, sf_dir), model))
+    docs = docs_of(spark, sf_dir)
+    model = lexical.tfidf_fit(docs)
+    return lexical_top(lexical.tfidf_transform(items_of(spark, sf_dir), model), lexical.tfidf_transform(docs, model))
 
 
 @query("bm25_topk", ranked_sql("(SELECT id, term, tf AS w FROM qtf)", "bm"))
@@ -256,9 +256,9 @@ def bm25_postings(spark, sf_dir):
 
 @query("tfidf_postings", ranked_sql("qvec", "vec"))
 def tfidf_postings(spark, sf_dir):
-    model = lexical.tfidf_fit(docs_of(spark, sf_dir))
-    return bounded_top(lexical.tfidf_transform(items_of(spark, sf_dir), model),
-                       lexical.tfidf_transform(docs_of(spark, sf_dir), model))
+    docs = docs_of(spark, sf_dir)
+    model = lexical.tfidf_fit(docs)
+    return bounded_top(lexical.tfidf_transform(items_of(spark, sf_dir), model), lexical.tfidf_transform(docs, model))
 
 
 @query("sparse_topk", ranked_sql("(SELECT id, term, 1 + ln(tf) AS w FROM qtf)",

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from versionlake.functions.scorers import SparseScorer
-from versionlake.operators import postings, tiles
+from versionlake.operators import lexical, postings, tiles
 
 
 def records(seed, n, words, hot, clumsy=True):
@@ -66,3 +66,53 @@ def test_postings_of_nothing_and_negative_weights(spark):
     assert postings.top_k(none, some, 3).count() == 0 and postings.top_k(some, none, 3).count() == 0
     with pytest.raises(ValueError):
         postings.top_k(some, frame(spark, [(1, "a", ["t1"], [-1.0], "x")]), 3)
+
+
+def test_pairs_stay_in_their_tasks(spark):
+    """Every record shares a word with every query, and no bound rules one out: only the best of a task may leave it."""
+    rng = np.random.default_rng(5)
+    corpus = frame(spark, [(i, None, ["the"], [float(rng.integers(1, 50))], "x") for i in range(2000)])
+    queries = frame(spark, [(5000 + i, None, ["the"], [1.0], "x") for i in range(10)])
+    sizes, plain = [], postings._scored
+
+    def spy(asked, lists, out):
+        found = plain(asked, lists, out)
+        sizes.append(found.count())
+        return found
+
+    postings._scored = spy
+    try:
+        got = rows_of(postings.top_k(queries, corpus, 3, hot_postings=100))
+    finally:
+        postings._scored = plain
+    # 3 records and the query itself, for 10 queries in the tasks of 4 partitions; there are 20,000 pairs
+    assert len(sizes) == 2 and max(sizes) <= 4 * 10 * 4
+    assert got == rows_of(tiles.top_k(queries, corpus, SparseScorer(), 3, cells=(1, 2)))
+
+
+def test_rows_of_one_id_are_summed_across_batches_and_blocks(spark):
+    """A record in many rows counts once with all its weights, however small the blocks; rows without an id are never found."""
+    rows = [(i % 7, None, ["a", "b"], [1.0, float(i % 7)], "x") for i in range(70)] + [(None, None, ["a"], [99.0], "x")]
+    rows += [(3, None, ["a", "a", None], [0.5, 0.5, 7.0], "x"), (8, None, ["a", "b", "b"], [2.0, None], "x")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {hot: postings.top_k(frame(spark, [(100, None, ["a", "b"], [1.0, 1.0], "x")]), frame(spark, rows), 20, hot_postings=hot)
+               .select("corpus_id", "score").distinct().collect() for hot in (1, 7, 1000)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {i: 10.0 + 10.0 * i + (i == 3) for i in range(7)} | {8: 2.0}
+    assert [{r["corpus_id"]: r["score"] for r in rows} for rows in got.values()] == [want] * 3
+
+
+def test_documents_of_the_fit_are_tokenised_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two two"), ("b", "two three"), ("c", None)], "id string, text string")
+    calls, plain = [], lexical.counted
+    monkeypatch.setattr(lexical, "counted", lambda *a: calls.append(a) or plain(*a))
+    model = lexical.tfidf_fit(docs)
+    once = lexical.tfidf_transform(docs, model)
+    assert len(calls) == 1
+    again = lexical.tfidf_transform(docs.select("id", "text"), model)
+    assert len(calls) == 2 and sorted(once.collect()) == sorted(again.collect())
+    # other stop words are another reading of the documents
+    assert sum(len(r["terms"]) for r in lexical.tfidf_transform(docs, model, stop_words=["two"]).collect()) == 2

@@ -7,7 +7,7 @@ does not produce a third-of-all-documents squared join.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,8 @@ def _attach(counts: DataFrame, stats: DataFrame, n_terms: int, n_docs: int) -> D
 def _vectors(weighted: DataFrame, docs: DataFrame, unit: bool) -> DataFrame:
     # the norm is an aggregate of its own: inside the lambda it would be computed again for every term
     scale = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if unit else F.lit(1.0)
-    rows = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"),
+    # dealt by document first: lists begun before the shuffle would be sorted there and again behind it
+    rows = weighted.repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"),
                                       scale.alias("scale"))
     rows = rows.select("id", F.transform("v", lambda x: x["term"]).alias("terms"),
                        F.transform("v", lambda x: x["weight"] / F.col("scale")).alias("weights"))
@@ -83,23 +84,31 @@ def _vectors(weighted: DataFrame, docs: DataFrame, unit: bool) -> DataFrame:
 
 @dataclass
 class TfidfModel:
-    """Fitted vocabulary (term, df, idf) with its size and the number of documents."""
+    """Fitted vocabulary (term, df, idf) with its size and the number of documents.
+
+    `fitted` has the documents of the fit, how they were read and their counted terms, so that they are tokenised once.
+    """
 
     stats: DataFrame
     n_terms: int
     n_docs: int
+    fitted: tuple[DataFrame, tuple, DataFrame] | None = None
 
 
 def tfidf_fit(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_features: int | None = None,
               stop_words: list[str] | None = None) -> TfidfModel:
     """idf = ln((1 + n) / (1 + df)) + 1. `max_features` keeps the terms of the highest total count."""
-    return _fit(counted(docs, id_col, text_col, stop_words), max_features)
+    rows = reliable_checkpoint(counted(docs, id_col, text_col, stop_words))
+    return replace(_fit(rows, max_features), fitted=(docs, (id_col, text_col, tuple(stop_words or ())), rows))
 
 
 def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "id", text_col: str = "text",
                     stop_words: list[str] | None = None) -> DataFrame:
     """Unit TF-IDF vectors under a fitted model: id, terms, weights; unknown terms are dropped."""
-    return _transform(counted(docs, id_col, text_col, stop_words), model)
+    fitted = model.fitted
+    if fitted is not None and fitted[0] is docs and fitted[1] == (id_col, text_col, tuple(stop_words or ())):
+        return _transform(fitted[2], model)
+    return _transform(reliable_checkpoint(counted(docs, id_col, text_col, stop_words)), model)
 
 
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_features: int | None = None,
