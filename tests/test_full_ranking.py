@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from versionlake.functions.scorers import DenseScorer
@@ -74,3 +75,25 @@ def test_positives_stay_in_their_task(spark, monkeypatch, held):
     if held >= 70:
         monkeypatch.setattr(tiles, "positive_runs", None)
     assert [metrics(skip, held_scores=held) for skip in (None, exclude)] == want
+
+
+def test_many_ties_are_placed_without_ranking_the_whole_corpus(monkeypatch):
+    """Scores are held as whole numbers of four bytes; a query of its own id looks up only values that repeat."""
+    monkeypatch.setattr(tiles, "_ahead", None)
+    rng = np.random.default_rng(6)
+    for digits, far in ((1, 0.3), (9, 0.3), (1, 300.0)):
+        points = (rng.normal(size=(300, 2)) * far).round(digits)
+        table = pa.table({"label": [str(i % 4) for i in range(300)], "id": rng.permutation(300),
+                          "embedding": pa.array(list(points), pa.list_(pa.float64()))})
+        cells = [tiles._Cell(DenseScorer("embedding", "dotsim"), table.slice(0, 40), table.slice(at, 100)) for at in (0, 100, 200)]
+        held = [tiles._held(cell) for cell in cells]
+        assert all(h.dtype == (np.float64 if far > 1 else np.int32) for h in held)
+        got = tiles._places(cells[0].q, held, pa.chunked_array([c.c_ids for c in cells]),
+                            pa.chunked_array([c.c["label"].combine_chunks() for c in cells])).to_pylist()
+        scores, ids = np.round(points @ points.T, 9), table["id"].to_pylist()
+        for q, row in enumerate(got):
+            others = sorted((j for j in range(300) if j != q), key=lambda j: (-scores[q, j], ids[j]))
+            places = [n + 1 for n, j in enumerate(others) if j % 4 == q % 4]
+            assert (row["query_id"], row["r1"], row["n_relevant"]) == (ids[q], places[0], len(places))
+            assert row["all_ahead"] == sum(places) - len(places)
+            assert row["precision"] == pytest.approx(sum((i + 1) / p for i, p in enumerate(places)))
