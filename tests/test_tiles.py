@@ -285,3 +285,24 @@ def test_later_cells_are_read_from_the_bars_of_earlier_ones(mode, monkeypatch):
             plain, bounded = (found, fewer) if plain is None else (merge(plain, found), merge(bounded, fewer))
         assert plain.sort_by([("query_id", "ascending"), ("corpus_id", "ascending")]).equals(
             bounded.sort_by([("query_id", "ascending"), ("corpus_id", "ascending")]))
+
+
+def test_hard_negatives_leave_the_task_that_scored_them(spark, monkeypatch):
+    """Rows equal a triple loop, with repeated ids and without a label; no pair above a bar is joined to the positives."""
+    monkeypatch.setattr(tiles, "above_bar", None)
+    monkeypatch.setattr(tiles, "OUT_ROWS", 7)
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(30, 3)).round(1)
+    rows = [(i % 28, None if i % 9 == 8 else f"w{i % 4}", points[i].tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, label string, embedding array<double>")
+    s, want = np.round(points @ points.T, 9), []
+    for a, (a_id, a_label, _) in enumerate(rows):
+        for p, (p_id, p_label, _) in enumerate(rows):
+            if a_label is None or a_label != p_label or a_id >= p_id or s[a, p] < 0.5:
+                continue
+            # a repeated anchor meets a pair's bar with each of its rows
+            for other in (i for i, r in enumerate(rows) if r[0] == a_id):
+                want += [(a_id, p_id, n_id, round(float(s[a, p]), 6), round(float(s[other, n]), 6)) for n, (n_id, n_label, _) in enumerate(rows)
+                         if n_id != a_id and n_label != rows[other][1] and s[other, n] > s[a, p]]
+    got = mining.hard_negatives(df, 0.5).collect()
+    assert sorted((r["anchor"], r["positive"], r["hard_negative"], round(r["sim_ap"], 6), round(r["sim_an"], 6)) for r in got) == sorted(want)
