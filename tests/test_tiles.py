@@ -306,3 +306,21 @@ def test_hard_negatives_leave_the_task_that_scored_them(spark, monkeypatch):
                          if n_id != a_id and n_label != rows[other][1] and s[other, n] > s[a, p]]
     got = mining.hard_negatives(df, 0.5).collect()
     assert sorted((r["anchor"], r["positive"], r["hard_negative"], round(r["sim_ap"], 6), round(r["sim_an"], 6)) for r in got) == sorted(want)
+
+
+def test_packed_rows_hold_a_word_once():
+    """Terms of a packed row are numbered, which changes no score; repeated terms and records without terms included."""
+    rng = np.random.default_rng(8)
+    words = [f"a rather long word {i}" for i in range(40)]
+    terms = [[words[j] for j in rng.integers(0, 40, n)] for n in (0, *rng.integers(1, 60, 49))]
+    table = pa.table({"label": pa.nulls(50, pa.string()), "id": range(50), "terms": terms,
+                      "weights": [rng.normal(size=len(t)).tolist() for t in terms]})
+    scorer = SparseScorer()
+    packed = tiles._packed_row(table.to_batches(), tiles._word_columns(scorer))["packed"][0]
+    assert len(packed.as_buffer()) < sum(len(w) for t in terms for w in t)
+    row = tiles._unpacked(packed)
+    assert len(row["terms"].combine_chunks().values.dictionary) == 40
+    want = [[sum(w * v for t, w in zip(a["terms"], a["weights"]) for u, v in zip(b["terms"], b["weights"]) if t == u)
+             for b in table.to_pylist()] for a in table.to_pylist()]
+    for left, right in ((table, table), (row, row), (row, table)):
+        np.testing.assert_allclose(scorer.score(scorer.prepare(left), scorer.prepare(right), 0, 50), want, atol=1e-9)
