@@ -316,7 +316,7 @@ def test_packed_rows_hold_a_word_once():
     table = pa.table({"label": pa.nulls(50, pa.string()), "id": range(50), "terms": terms,
                       "weights": [rng.normal(size=len(t)).tolist() for t in terms]})
     scorer = SparseScorer()
-    packed = tiles._packed_row(table.to_batches(), tiles._word_columns(scorer))["packed"][0]
+    packed = tiles._packed_row(table.to_batches(), tiles.word_columns(scorer))["packed"][0]
     assert len(packed.as_buffer()) < sum(len(w) for t in terms for w in t)
     row = tiles._unpacked(packed)
     assert len(row["terms"].combine_chunks().values.dictionary) == 40
